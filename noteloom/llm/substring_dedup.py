@@ -10,9 +10,10 @@ broadcast, and streaming each document past every shard would be quadratic
    windows name equal anchors. One aggregation finds the anchors that occur in
    two documents, and marks them in a bit field of fixed size;
 2. windows whose anchor is marked are hashed (128 bits) and the least document
-   of each is taken. Windows of very frequent anchors are aggregated before the
-   shuffle and joined back, the others share one shuffle with a window function
-   whose groups are then bounded by rows / HOT_SHARE;
+   of each is taken. Windows more frequent than anchors / HOT_SHARE, at most
+   window * HOT_SHARE of them, are found by an aggregation that combines before
+   its shuffle, and are broadcast; the others share one shuffle with a window
+   function, whose groups are then that small;
 3. each document gets the hashes of its windows to remove and cuts them.
 """
 
@@ -70,7 +71,10 @@ def _emit_anchors(window: int):
     return run
 
 
-def _emit_windows(window: int, field, hot: np.ndarray, want_hot: bool):
+def _emit_windows(window: int, field, anchors: np.ndarray | None, without: np.ndarray):
+    """Windows whose anchor is marked (and one of anchors, if given), except
+    those whose h1 is in without."""
+
     def run(batches):
         bits = np.frombuffer(field.value, np.uint8)
         shift = np.uint64(64 - FIELD_BITS)
@@ -80,35 +84,48 @@ def _emit_windows(window: int, field, hot: np.ndarray, want_hot: bool):
                 at, text, anchor = _anchors(texts, window)
                 slot = (anchor >> shift).astype(np.int64)
                 keep = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                if len(hot):
-                    keep &= np.isin(anchor.view(np.int64), hot) == want_hot
+                if anchors is not None:
+                    keep &= np.isin(anchor.view(np.int64), anchors)
                 at, text = at[keep], text[keep]
                 h1 = spans_hash(texts.hashes, at, at + window, _WIN1)
+                if len(without):
+                    keep = ~np.isin(h1.view(np.int64), without)
+                    at, text, h1 = at[keep], text[keep], h1[keep]
                 h2 = spans_hash(texts.hashes, at, at + window, _WIN2)
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[i:j][text])], ["h1", "h2", "doc_id"])
 
     return run
 
 
-def _cut(window: int, carried: int):
+def _cut(window: int, carried: int, sent):
     def run(batches):
+        hot1, hot2, first = sent.value
         for batch in batches:
             gone_lists = batch.column("gone")
             lengths = np.diff(gone_lists.offsets.to_numpy()) if len(batch) else np.empty(0, np.int64)
             gone_all = gone_lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             edge = np.concatenate([[0], np.cumsum(lengths)])
+            # a null id is before all others: nothing is smaller
+            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             for i, j, texts in slices(batch.column("t")):
                 n = len(texts.starts)
                 count = np.diff(texts.first)
                 cover = np.zeros(n + 1, dtype=np.int64)
                 gone = gone_all[edge[i] : edge[j]]
-                if len(gone) and n >= window:
+                if (len(gone) or len(hot1)) and n >= window:
                     owner = np.repeat(np.arange(j - i), lengths[i:j]).astype(np.uint64)
                     text = np.repeat(np.arange(j - i), count)
                     at = np.flatnonzero(text[: n - window + 1] == text[window - 1 :])
                     h1 = spans_hash(texts.hashes, at, at + window, _WIN1)
                     salt = mix64(np.arange(j - i, dtype=np.uint64) + np.uint64(77))
-                    hit = at[np.isin(h1 ^ salt[text[at]], gone ^ salt[owner])]
+                    hit = np.isin(h1 ^ salt[text[at]], gone ^ salt[owner])
+                    if len(hot1):
+                        place = np.minimum(np.searchsorted(hot1, h1.view(np.int64)), len(hot1) - 1)
+                        same = np.flatnonzero(hot1[place] == h1.view(np.int64))
+                        h2 = spans_hash(texts.hashes, at[same], at[same] + window, _WIN2).view(np.int64)
+                        place = place[same]
+                        hit[same] |= (hot2[place] == h2) & (first[place] < ids[i:j][text[at[same]]])
+                    hit = at[hit]
                     np.add.at(cover, hit, 1)
                     np.add.at(cover, hit + window, -1)
                 stay = np.cumsum(cover[:-1]) == 0
@@ -150,7 +167,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, carry: tuple[str
     )
     repeated = written(anchors.select("anchor", "n"), "op1-anchors")
     total = repeated.agg(F.sum("n")).first()[0] or 0
-    hot = np.array(sorted(r[0] for r in repeated.where(F.col("n") > max(1000, total // HOT_SHARE)).select("anchor").collect()), dtype=np.int64)
+    frequent = max(1000, total // HOT_SHARE)
+    anchored = np.array(sorted(r[0] for r in repeated.where(F.col("n") > frequent).select("anchor").collect()), dtype=np.int64)
     place = F.shiftrightunsigned("anchor", 64 - FIELD_BITS)
     marks = (
         repeated.groupBy(F.shiftright(place, 6).alias("at"))
@@ -161,21 +179,23 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, carry: tuple[str
     bits[marks["at"].to_numpy()] = marks["bits"].to_numpy()
     field = spark.sparkContext.broadcast(bits.tobytes())
 
-    def windows(want_hot: bool) -> DataFrame:
-        return known.mapInArrow(_emit_windows(window, field, hot, want_hot), "h1 long, h2 long, doc_id long")
+    def windows(anchors: np.ndarray | None, without: np.ndarray) -> DataFrame:
+        return known.mapInArrow(_emit_windows(window, field, anchors, without), "h1 long, h2 long, doc_id long")
 
+    hot = np.empty((0, 3), np.int64)
+    if len(anchored):
+        counted = windows(anchored, hot[:, 0]).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        rows = counted.where(F.col("n") > frequent).select("h1", "h2", "first").collect()
+        hot = np.array(sorted(map(tuple, rows)), dtype=np.int64).reshape(-1, 3)
+    sent = spark.sparkContext.broadcast(tuple(np.ascontiguousarray(c) for c in hot.T))
     own = Window.partitionBy("h1", "h2")
-    gone = windows(False).withColumn("first", F.min("doc_id").over(own)).where("first < doc_id").select("doc_id", "h1")
-    if len(hot):
-        least = windows(True).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-        again = windows(True).join(least.withColumnRenamed("h1", "k1").withColumnRenamed("h2", "k2"), F.expr("h1 = k1 and h2 = k2 and first < doc_id"))
-        gone = gone.unionAll(again.select("doc_id", "h1"))
+    gone = windows(None, hot[:, 0].copy()).withColumn("first", F.min("doc_id").over(own)).where("first < doc_id").select("doc_id", "h1")
     lists = gone.groupBy(F.col("doc_id").alias("k")).agg(F.collect_list("h1").alias("gone"))
     kept = ["doc_id", *carry]
     named = docs.select(F.col("doc_id").cast("long").alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry, 1)), F.col("text").alias("t"))
     joined = named.join(lists, F.col("c0") == F.col("k"), "left").select(*(f"c{i}" for i in range(len(kept))), "t", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
     fields = ", ".join(f"c{i} {joined.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(kept)))
-    out = joined.mapInArrow(_cut(window, len(kept)), f"{fields}, n_words long, n_removed long, kept_text string")
+    out = joined.mapInArrow(_cut(window, len(kept), sent), f"{fields}, n_words long, n_removed long, kept_text string")
     return out.toDF(*kept, "n_words", "n_removed", "kept_text")
 
 
