@@ -3,6 +3,7 @@ their SQL."""
 
 from __future__ import annotations
 
+from noteloom.llm.ann_search import op10_ann_search
 from noteloom.llm.packing import op7_packing
 from noteloom.llm.quality import op5_quality
 from noteloom.llm.sentencepiece_sampling import op6_sentencepiece_sampling
@@ -25,6 +26,7 @@ QUERIES = {
         op7_packing,
         op8_toxicity,
         op9_token_file,
+        op10_ann_search,
     )
 }
 ORACLES = {"op2_topk_search": OP2_SQL, "op4_url_filter": OP4_SQL}
