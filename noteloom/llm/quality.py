@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import slices, table
-from noteloom.llm.linear import fit_logistic
+from noteloom.llm.linear import fit_in_task, fit_logistic, flat_lists
 
 SAMPLE = 3000
 BITS = 13
@@ -146,17 +146,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     sides = [marked.where("d is not null").where(side).orderBy(F.xxhash64("d"), "d").limit(sample) for side in (F.col("pattern").isin(bad), ~F.col("pattern").isin(bad))]
     wanted = F.broadcast(sides[0].unionAll(sides[1]).select(F.col("d").alias("k"), "pattern").dropDuplicates(["k"]))
     texts = plain.join(wanted, F.col("d") == F.col("k")).select("pattern", "t").limit(4 * sample)
-    got = texts.mapInArrow(_features, "pattern long, features array<int>, parts array<float>").toArrow()
 
-    def split(name: str) -> list[np.ndarray]:
-        return [f for c in got[name].chunks for f in np.split(c.flatten().to_numpy(), c.offsets.to_numpy()[1:-1] - c.offsets.to_numpy()[0])]
+    def fit(got: pa.Table) -> tuple[np.ndarray, float]:
+        good = 1 - np.array([posterior[k] for k in got["pattern"].to_pylist()])
+        (index, edge), (values, _) = flat_lists(got["features"]), flat_lists(got["parts"])
+        w, b = fit_logistic(index, edge, good, SIZE, l2=1e-7, values=values, rounds=400, rate=1.0)
+        odds = np.clip(good.mean() / max(1e-6, 1 - good.mean()), 1e-3, 1e3)
+        return w, float(b + np.log((1 - share) / share) - np.log(odds))
 
-    good = 1 - np.array([posterior[k] for k in got["pattern"].to_pylist()])
-    if not len(good):
-        return np.zeros(SIZE), 3.0
-    w, b = fit_logistic(split("features"), split("parts"), good, SIZE, l2=1e-7, rounds=400, rate=1.0)
-    odds = np.clip(good.mean() / max(1e-6, 1 - good.mean()), 1e-3, 1e3)
-    return w, float(b + np.log((1 - share) / share) - np.log(odds))
+    return fit_in_task(texts.mapInArrow(_features, "pattern long, features array<int>, parts array<float>"), fit) or (np.zeros(SIZE), 3.0)
 
 
 def _score(sent):

@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import slices, table
-from noteloom.llm.linear import fit_logistic
+from noteloom.llm.linear import fit_in_task, fit_logistic, flat_lists
 
 BITS = 17
 SAMPLE = 3000
 THRESHOLD = 0.3
+#: Features of fewer sampled texts are not used.
+LEAST_TEXTS = 3
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
@@ -70,18 +72,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("k"), "k").limit(sample) for c in (0, 1)]
     wanted = F.broadcast(chosen[0].unionAll(chosen[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")).join(wanted, F.col("d") == F.col("k")).select("label", "t").limit(4 * sample)
-    got = texts.mapInArrow(_features, "label int, features array<int>").toArrow()
-    y = got["label"].to_numpy()
     rate = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
-    if len(set(y.tolist())) < 2:
-        return np.zeros(1 << BITS), float(np.log(rate / (1 - rate)))
-    rows = [f for c in got["features"].chunks for f in np.split(c.flatten().to_numpy(), c.offsets.to_numpy()[1:-1] - c.offsets.to_numpy()[0])]
-    index, owner = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
-    counts = [np.bincount(index[owner == c], minlength=1 << BITS) + 1.0 for c in (0, 1)]
-    ratio = np.log(counts[1] / (np.sum(y == 1) + 2)) - np.log(counts[0] / (np.sum(y == 0) + 2))
-    w, b = fit_logistic(rows, [ratio[r] for r in rows], y.astype(float), 1 << BITS, l2=1e-5, rounds=120, rate=0.02)
-    b += np.log(rate / (1 - rate)) - np.log(np.mean(y == 1) / np.mean(y == 0))
-    return w * ratio, float(b)
+
+    def fit(got: pa.Table) -> tuple[np.ndarray, float] | None:
+        y = got["label"].to_numpy()
+        if y.min() == y.max():
+            return None
+        index, edge = flat_lists(got["features"])
+        counts = []
+        for c in (0, 1):
+            total = np.ones(1 << BITS)
+            for r in np.flatnonzero(y == c).tolist():
+                total[index[edge[r] : edge[r + 1]]] += 1
+            counts.append(total / (np.sum(y == c) + 2))
+        ratio = np.log(counts[1]) - np.log(counts[0])
+        ratio[np.bincount(index, minlength=1 << BITS) < LEAST_TEXTS] = 0
+        w, b = fit_logistic(index, edge, y.astype(float), 1 << BITS, l2=1e-3, scale=ratio.astype(np.float32), rounds=120, rate=0.02)
+        return w * ratio, b + np.log(rate / (1 - rate)) - np.log(np.mean(y == 1) / np.mean(y == 0))
+
+    found = fit_in_task(texts.mapInArrow(_features, "label int, features array<int>"), fit)
+    return found or (np.zeros(1 << BITS), float(np.log(rate / (1 - rate))))
 
 
 def _score(sent):
