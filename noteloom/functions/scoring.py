@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Categories, decay, boost, hints, weights and patterns of the
+# retrieval model.
 FAILURE_CATEGORIES = ("失敗模式", "failure-modes", "failures")
 DECISION_CATEGORIES = ("架構決策", "decisions", "adr")
 BASE_LAMBDA, FLOOR = 0.003, 0.5

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.text import unbracketed, wikilinks
 
+# The largest tag group and the tags that say nothing.
 MOST_MEMBERS = 16
 GENERIC_TAGS = ("LLM-synthesized", "概念", "策略", "系統", "架構", "raw")
 

@@ -100,17 +100,18 @@ def cut(pool: DataFrame, top_k: int, least: float = LEAST_SCORE) -> DataFrame:
     return pool.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
-def two_stage_hybrid(keyword: DataFrame, vector: DataFrame | None, pages: DataFrame, edges: DataFrame, top_k: int = 10, intents: DataFrame | None = None, weights: DataFrame | None = None, snapshot: DataFrame | None = None, now: Column | None = None, least: float = LEAST_SCORE) -> DataFrame:
+def two_stage_hybrid(keyword: DataFrame, vector: DataFrame | None, pages: DataFrame, edges: DataFrame, top_k: int = 10, intents: DataFrame | None = None, weights: DataFrame | None = None, snapshot: DataFrame | None = None, now: Column | None = None, least: float = LEAST_SCORE, recency: dict | None = None) -> DataFrame:
     """The ranking of a batch of queries, in the one order that holds for all
     callers: merge and weigh, recency, graph boost, intent boost, cutoff.
-    Without a vector side it degrades to the keyword side."""
+    Without a vector side it degrades to the keyword side. recency: settings of
+    with_recency."""
     if vector is None:
         vector = keyword.select("query_id", "rank", "concept", F.lit(None).cast("string").alias("section"), "score").where("false")
     pool = hybrid_merge(keyword, vector, weights)
     category = pages.select(F.col("name").alias("cn"), "category")
     pool = pool.join(category, F.col("concept") == F.col("cn"), "left").drop("cn")
     if snapshot is not None and now is not None:
-        pool = with_recency(pool, snapshot, now)
+        pool = with_recency(pool, snapshot, now, **(recency or {}))
     pool = graph_boost(pool, edges, top_k)
     if intents is not None:
         pool = intent_boost(pool, pages, intents)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Limits, file kinds, skipped paths and hints of the recall model.
 MOST_PICKED = 6
 COOLDOWN_S = 1800.0
 CODE_EXTENSIONS = ("py", "js", "jsx", "ts", "tsx", "go", "rs", "java", "sql", "yml", "yaml", "sh", "ps1", "toml", "conf")

@@ -27,7 +27,6 @@ def query(sql: str):
 # -- text ---------------------------------------------------------------------
 
 _CJK_SAMPLES = ((1, "caché 設計文件ab說 x_1"), (2, "知識圖譜 graph"), (3, "a"), (4, ""))
-_CJK = "c-龥㐀-䶿"
 
 
 @query("""
@@ -71,12 +70,6 @@ def content_hash(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), text.file_hash(F.col("text")).alias("file_hash"))
 
 
-_PROMPTS = (
-    (1, "<channel source='x'>please look  at\nthe index</channel><system-reminder>\nnot this\n</system-reminder>"),
-    (2, "/compact"),
-    (3, "plain words of a person"),
-    (4, "<command-name>x</command-name> short"),
-)
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<system-reminder>.*?</system-reminder>', ' ', 'gs'), '<command-(?:name|message|args)>.*?</command-(?:name|message|args)>', ' ', 'gs'), '</?(?:channel|pasted_content)\\b[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 

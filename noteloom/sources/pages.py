@@ -16,12 +16,13 @@ PARSED = "path string, header_ok boolean, node_type string, tags array<string>,
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """path (below root), content, mtime, size of every file, by Spark's reader."""
-    reader = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", pattern)
+    """path (below root), content, mtime, size of every file that is not empty
+    (Spark's readers leave out files of no bytes); contents are only read if
+    used."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/").split("://")[-1].rstrip("/")
-    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    below = F.substring_index(name, base + "/", -1)
-    return reader.text(root).select(below.alias("path"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"))
+    below = F.substring_index("path", base + "/", -1)
+    return found.select(below.alias("path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -59,3 +59,13 @@ def replace(df: DataFrame, path: str) -> None:
 def replace_repo(df: DataFrame, path: str) -> None:
     """The partitions of the repos in df, and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One text file, in place of one of that name."""
+    p, fs = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
