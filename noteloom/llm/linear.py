@@ -46,6 +46,23 @@ def fit_logistic(
     return w, float(b)
 
 
+def fit_curve(scores: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope (not negative) and shift of the logistic curve that turns scores
+    into probabilities of y, by Newton's method."""
+    mean, spread = float(scores.mean()), float(scores.std()) + 1e-9
+    z = np.stack([(scores - mean) / spread, np.ones(len(scores))])
+    at = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(at @ z, -30, 30)))
+        curve = (z * (p * (1 - p) + 1e-9)) @ z.T + 1e-3 * np.eye(2)
+        step = np.linalg.solve(curve, z @ (p - y) + 1e-3 * at)
+        at = at - np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    slope = max(0.0, float(at[0])) / spread
+    return slope, float(at[1]) - slope * mean
+
+
 def flat_lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All entries of a list column, and where each list starts."""
     parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]

@@ -1,60 +1,107 @@
 """Toxicity scores from character n-grams scaled by naive Bayes log-count
 ratios.
 
-Features are hashed n-grams of 3 to 5 bytes of the text with A-Z lower-cased
+Features are hashed n-grams of 4 to 8 bytes of the text with A-Z lower-cased
 and all white space as spaces, present or absent in a text. A bounded sample of
 labelled rows (SAMPLE of either class, by hash order) gives the log-count ratio
-of every feature and a logistic regression on the features scaled by it.
+of every feature; features that are rare or say little are left out. A logistic
+regression runs on the rest, scaled by their ratios. Chosen features flatter the
+texts they were chosen on, so its scores are made probabilities by a curve
+fitted on scores of texts that had no part in choice or regression (FOLDS).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import slices, table
-from noteloom.llm.linear import fit_in_task, fit_logistic, flat_lists
+from noteloom.llm.common import slices, table, written
+from noteloom.llm.linear import fit_curve, fit_in_task, fit_logistic, flat_lists
 
-BITS = 17
+BITS = 20
+SIZES = (4, 5, 6, 7, 8)
 SAMPLE = 3000
+FOLDS = 3
 THRESHOLD = 0.3
-#: Features of fewer sampled texts are not used.
-LEAST_TEXTS = 3
+#: Features of fewer sampled texts, or of a smaller log-count ratio, are not used.
+LEAST_TEXTS = 8
+LEAST_RATIO = 1.5
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
-_MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
+_MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], dtype=np.uint32)
 
 
-def _ngrams(data: np.ndarray) -> list[np.ndarray]:
-    """Bucket of the 3-, 4- and 5-gram that starts at each byte."""
+def _ngrams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Length, and bucket of the n-gram that starts at each byte."""
     folded = _FOLD[data].astype(np.uint32) + np.uint32(1)
-    padded = np.concatenate([folded, np.zeros(4, np.uint32)])
+    padded = np.concatenate([folded, np.zeros(len(_MULT), np.uint32)])
     n = len(folded)
     h = np.zeros(n, dtype=np.uint32)
-    out = []
-    for k in range(5):
-        h = h + padded[k : k + n] * _MULT[k]
-        if k >= 2:
-            x = h ^ (h >> np.uint32(15))
-            x = x * np.uint32(0x2C1B3C6D)
-            out.append((x >> np.uint32(32 - BITS)).astype(np.int32))
-    return out
+    for k, m in enumerate(_MULT):
+        h = h + padded[k : k + n] * m
+        if k + 1 in SIZES:
+            x = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+            yield k + 1, (x >> np.uint32(32 - BITS)).astype(np.int32)
+
+
+def _present(run, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text and feature of the different features in each text of a run, of
+    those in mask only."""
+    found = []
+    for n, bucket in _ngrams(run.data):
+        at = np.arange(len(bucket)) if mask is None else np.flatnonzero(mask[bucket])
+        text = np.searchsorted(run.offsets, at, "right") - 1
+        whole = at + n <= run.offsets[text + 1]
+        found.append(text[whole] << BITS | bucket[at[whole]])
+    pairs = np.unique(np.concatenate(found))
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
+def _counts(batches):
+    """One row a task: texts with each feature, by fold and label."""
+    total = np.zeros((FOLDS * 2, 1 << BITS), dtype=np.int32)
+    for batch in batches:
+        group = 2 * batch.column("fold").to_numpy() + batch.column("label").to_numpy()
+        for i, _, run in slices(batch.column("t")):
+            text, feature = _present(run)
+            own = group[i + text]
+            for g in np.unique(own).tolist():
+                total[g] += np.bincount(feature[own == g], minlength=1 << BITS).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
 
-def _present(run, k: int, grams: list[np.ndarray]) -> list[np.ndarray]:
-    a, b = run.offsets[k], run.offsets[k + 1]
-    return [g[a : max(a, b - n)] for n, g in zip((2, 3, 4), grams, strict=True)]
+def _sum_counts(batches):
+    total = np.zeros(FOLDS * 2 << BITS, dtype=np.int32)
+    for batch in batches:
+        for x in batch.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
 
-def _features(batches):
-    for batch in batches:
-        for i, j, run in slices(batch.column("t")):
-            grams = _ngrams(run.data)
-            rows = [np.unique(np.concatenate(_present(run, k, grams))) for k in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.array(rows, pa.list_(pa.int32()))], ["label", "features"])
+def _features(sent):
+    def run(batches):
+        mask = sent.value
+        for batch in batches:
+            for i, j, texts in slices(batch.column("t")):
+                text, feature = _present(texts, mask)
+                edge = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(edge, pa.array(feature.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), batch.column("fold").slice(i, j - i), lists], ["label", "fold", "features"])
+
+    return run
+
+
+def _ratio(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Log-count ratio of each feature; 0 of those not used."""
+    ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
+    ratio[(clean + toxic < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    return ratio
 
 
 def held_out(doc_id) -> F.Column:
@@ -65,55 +112,69 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weight of each bucket and intercept. Labels of held-out or null ids are
     not read; of several labels of an id the highest counts. Without labelled
-    texts of both classes all scores are the base rate."""
+    texts of both classes in every fold all scores are the base rate."""
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("k")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("k"), "k").limit(sample) for c in (0, 1)]
-    wanted = F.broadcast(chosen[0].unionAll(chosen[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")).join(wanted, F.col("d") == F.col("k")).select("label", "t").limit(4 * sample)
     rate = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
-
-    def fit(got: pa.Table) -> tuple[np.ndarray, float] | None:
-        y = got["label"].to_numpy()
-        if y.min() == y.max():
-            return None
+    prior = float(np.log(rate / (1 - rate)))
+    none = np.zeros(1 << BITS), prior
+    chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("k"), "k").limit(sample) for c in (0, 1)]
+    wanted = F.broadcast(chosen[0].unionAll(chosen[1]).withColumn("fold", F.pmod(F.xxhash64("k"), F.lit(FOLDS)).cast("int")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")).join(wanted, F.col("d") == F.col("k")).select("label", "fold", "t").limit(4 * sample)
+    texts = written(texts, "op8-sample")
+    group = np.zeros(FOLDS * 2, dtype=np.int64)
+    for r in texts.groupBy("fold", "label").agg(F.count("*").alias("n")).collect():
+        group[2 * r["fold"] + r["label"]] = r["n"]
+    if not group.all():
+        return none
+    found = texts.mapInArrow(_counts, "counts binary").repartition(1).mapInArrow(_sum_counts, "counts binary").first()
+    counts = np.frombuffer(found["counts"], np.int32).reshape(FOLDS, 2, -1)
+    group = group.reshape(FOLDS, 2)
+    folds = [np.arange(FOLDS) != f for f in range(FOLDS)] + [np.ones(FOLDS, dtype=bool)]
+    ratios = [_ratio(*counts[f].sum(axis=0), *group[f].sum(axis=0).tolist()).astype(np.float32) for f in folds]
+    used = np.flatnonzero(np.any([r != 0 for r in ratios], axis=0))
+    mask = np.zeros(1 << BITS, dtype=bool)
+    mask[used] = True
+    sent = spark.sparkContext.broadcast((used, [r[used] for r in ratios]))
+
+    def fit(got: pa.Table) -> tuple[np.ndarray, float]:
+        used, ratios = sent.value
+        y, fold = got["label"].to_numpy(), got["fold"].to_numpy()
         index, edge = flat_lists(got["features"])
-        counts = []
-        for c in (0, 1):
-            total = np.ones(1 << BITS)
-            for r in np.flatnonzero(y == c).tolist():
-                total[index[edge[r] : edge[r + 1]]] += 1
-            counts.append(total / (np.sum(y == c) + 2))
-        ratio = np.log(counts[1]) - np.log(counts[0])
-        ratio[np.bincount(index, minlength=1 << BITS) < LEAST_TEXTS] = 0
-        w, b = fit_logistic(index, edge, y.astype(float), 1 << BITS, l2=1e-3, scale=ratio.astype(np.float32), rounds=120, rate=0.02)
-        return w * ratio, b + np.log(rate / (1 - rate)) - np.log(np.mean(y == 1) / np.mean(y == 0))
+        index = np.searchsorted(used, index)
+        owner = np.repeat(np.arange(len(y)), np.diff(edge))
+
+        def model(rows: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+            keep = rows[owner] & (ratio[index] != 0)
+            edges = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(y))[rows])])
+            w, b = fit_logistic(index[keep], edges, y[rows].astype(float), len(used), l2=1e-4, scale=ratio, rounds=60, rate=0.05)
+            return w * ratio, b
+
+        def score(w: np.ndarray, b: float) -> np.ndarray:
+            return np.bincount(owner, w[index], minlength=len(y)) + b
+
+        unseen = np.zeros(len(y))
+        for f in range(FOLDS):
+            unseen[fold == f] = score(*model(fold != f, ratios[f]))[fold == f]
+        slope, shift = fit_curve(unseen, y)
+        w, b = model(np.ones(len(y), dtype=bool), ratios[FOLDS])
+        out = np.zeros(1 << BITS)
+        out[used] = slope * w
+        return out, slope * b + shift + prior - float(np.log(np.mean(y == 1) / np.mean(y == 0)))
 
-    found = fit_in_task(texts.mapInArrow(_features, "label int, features array<int>"), fit)
-    return found or (np.zeros(1 << BITS), float(np.log(rate / (1 - rate))))
+    return fit_in_task(texts.mapInArrow(_features(spark.sparkContext.broadcast(mask)), "label int, fold int, features array<int>"), fit) or none
 
 
 def _score(sent):
     def run(batches):
         weights, bias = sent.value
-        weights = weights.astype(np.float32)
-        seen = np.zeros(1 << BITS, dtype=np.float32)
+        mask = weights != 0
         for batch in batches:
-            for i, j, run_ in slices(batch.column("t")):
-                grams = _ngrams(run_.data)
-                scores = np.empty(j - i)
-                for k in range(j - i):
-                    parts = _present(run_, k, grams)
-                    if len(parts[0]) < 300:
-                        scores[k] = float(weights[np.unique(np.concatenate(parts))].sum(dtype=np.float64))
-                        continue
-                    for p in parts:
-                        seen[p] = 1
-                    scores[k] = float(weights @ seen)
-                    for p in parts:
-                        seen[p] = 0
-                z = np.clip(scores + bias, -30, 30)
+            for i, j, texts in slices(batch.column("t")):
+                text, feature = _present(texts, mask)
+                z = np.clip(np.bincount(text, weights[feature], minlength=j - i) + bias, -30, 30)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(1 / (1 + np.exp(-z)))], [*batch.schema.names[:-1], "score"])
 
     return run
