@@ -208,8 +208,11 @@ class _Scorer:
 
 
 def _merged(lists: DataFrame, key: str, k: int) -> DataFrame:
-    """The k best different neighbours of each key over its few lists."""
-    return lists.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("nbrs")))), 1, k).alias("nbrs"))
+    """The k best different neighbours of each key over its few lists. Equal
+    ones are side by side once sorted: array_distinct would compare all pairs."""
+    every = lists.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("nbrs"))).alias("every"))
+    different = F.filter("every", lambda x, i: (i == 0) | (F.get("every", i - 1) != x))
+    return every.select(key, F.slice(different, 1, k).alias("nbrs"))
 
 
 def _adjacency(graph: DataFrame, k: int) -> DataFrame:
