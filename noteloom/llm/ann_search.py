@@ -9,8 +9,8 @@ backward, and keeps the best. A query starts at its own node; each round
 expands the best nodes of its pool that have not been expanded.
 
 Vectors never travel to candidates: nodes are dealt into shards of at most
-about SHARD vectors, a task holds one shard, and rows that ask for scores
-stream past it. No step gathers more than a shard, a leaf chunk or a bounded
+about SHARD vectors, a task holds one shard (of which there are at most COPIES
+where shards are few), and rows that ask for scores stream past it. No step gathers more than a shard, a leaf chunk or a bounded
 list.
 """
 
@@ -30,6 +30,7 @@ LEAF = 512
 ROUNDS = 2
 TASTE = 10
 SHARD = 16_384
+COPIES = 12
 EXPAND = 64
 STEPS = 5
 POOL = 512
@@ -195,7 +196,7 @@ class _Scorer:
     def __init__(self, nodes: DataFrame, n: int):
         self.tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.shards = max(1, -(-n // SHARD))
-        self.copies = max(1, self.tasks // self.shards)
+        self.copies = max(1, min(COPIES, self.tasks // self.shards))
         self.nodes = nodes.select("node", "v")
 
     def best(self, asking: DataFrame, k: int) -> DataFrame:
