@@ -1,5 +1,8 @@
-"""Approximate nearest neighbours by inner product: a neighbour graph built by
-NN-descent, searched greedily.
+"""Nearest neighbours by inner product: exact products while the queries are
+few enough that these cost a row no more than a graph would, above that an
+approximation: a neighbour graph built by NN-descent, searched greedily. Both
+take the effort that the table needs: rounds end when few lists change, a query
+expands until the best of its pool are expanded, and the pool grows with n.
 
 Equal vectors are one node (of the smallest vec_id), so a vector that a third
 of the rows share is no hot group; a node keeps its k + 1 smallest ids, more
@@ -16,24 +19,32 @@ list.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import table, written
-from noteloom.llm.topk_search import clean_vectors
+from noteloom.llm.common import dropped, table, written
+from noteloom.llm.topk_search import Best, by_width, clean_vectors
 
 NEIGHBOURS = 32
 TREES = 4
 LEAF = 512
-ROUNDS = 2
+FINE = 40
+SETTLED = 0.02
 TASTE = 10
 SHARD = 16_384
 COPIES = 12
 EXPAND = 64
-STEPS = 5
 POOL = 512
+POOL_ROWS = 16_384
+SCANNED = 200_000
+SCAN_BLOCK = 20_000
+SCAN_CHUNK = 2_000
+SCAN_ROWS = 8_192
+SPARE = 8
 SEED = 11
 
 _LIST = "array<struct<s:float,id:long>>"
@@ -62,19 +73,21 @@ def _leaves(depth: int, trees: int, seed: int):
                 part = batch.take(rows)
                 x = _matrix(part.column("v"))
                 if w not in planes:
-                    planes[w] = np.random.default_rng([seed, w]).standard_normal((w, depth * trees)).astype(np.float32)
-                side = (x @ planes[w] > 0).reshape(len(x), trees, depth)
-                code = (side.astype(np.int64) << np.arange(depth)).sum(axis=2) if depth else np.zeros((len(x), trees), np.int64)
+                    planes[w] = np.random.default_rng([seed, w]).standard_normal((w, (depth + FINE) * trees)).astype(np.float32)
+                side = (x @ planes[w] > 0).reshape(len(x), trees, depth + FINE).astype(np.int64)
+                code = (side[:, :, :depth] << np.arange(depth)).sum(axis=2)
+                fine = (side[:, :, depth:] << np.arange(FINE)[::-1]).sum(axis=2)
                 for t in range(trees):
                     leaf = pa.array((code[:, t] * trees + t) * 65536 + w)
-                    yield pa.RecordBatch.from_arrays([leaf, *part.columns], ["leaf", "node", "v"])
+                    yield pa.RecordBatch.from_arrays([leaf, pa.array(fine[:, t].copy()), *part.columns], ["leaf", "fine", "node", "v"])
 
     return run
 
 
 def _within_leaves(k: int):
-    """Of rows sorted by leaf: each node's best in its leaf; of a leaf over
-    2 * LEAF rows, in runs of that many."""
+    """Of rows sorted by leaf and, in it, by further hyperplanes: each node's
+    best in its leaf; of a leaf over 2 * LEAF rows, in runs of that many, which
+    the further hyperplanes keep together."""
 
     def best(nodes: np.ndarray, x: np.ndarray):
         score = x @ x.T
@@ -216,10 +229,11 @@ def _merged(lists: DataFrame, key: str, k: int) -> DataFrame:
     return every.select(key, F.slice(different, 1, k).alias("nbrs"))
 
 
-def _adjacency(graph: DataFrame, k: int) -> DataFrame:
-    """node, adj: neighbours and up to k of those that name the node."""
+def _adjacency(graph: DataFrame, k: int, r: int = 0) -> DataFrame:
+    """node, adj: neighbours and up to k of those that name the node, others
+    for each r."""
     forward = graph.select("node", F.explode("nbrs.id").alias("other"))
-    order = Window.partitionBy("other").orderBy(F.xxhash64("node", "other"), "node")
+    order = Window.partitionBy("other").orderBy(F.xxhash64("node", "other", F.lit(r)), "node")
     backward = forward.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(F.col("other").alias("node"), F.col("node").alias("other"))
     return forward.unionAll(backward).groupBy("node").agg(F.array_distinct(F.collect_list("other")).alias("adj"))
 
@@ -233,14 +247,15 @@ def build_nodes(vectors: DataFrame, k: int) -> DataFrame:
     return written(grouped.select(F.element_at("ids", 1).alias("node"), "ids", F.col("v").alias("exact"), F.col("v").cast("array<float>").alias("v")), "op10-nodes")
 
 
-def build_graph(nodes: DataFrame, scorer: _Scorer, n: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """node, nbrs: k neighbours of each node, best first."""
+def build_graph(nodes: DataFrame, scorer: _Scorer, n: int, k: int = NEIGHBOURS) -> DataFrame:
+    """node, nbrs: k neighbours of each node, best first. Rounds go on until
+    one brings less than SETTLED of all neighbours anew."""
     depth = max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
-    leaves = nodes.select("node", "v").mapInArrow(_leaves(depth, TREES, SEED), "leaf long, node long, v array<float>")
-    dealt = leaves.repartition(scorer.tasks, "leaf").sortWithinPartitions("leaf")
+    leaves = nodes.select("node", "v").mapInArrow(_leaves(depth, TREES, SEED), "leaf long, fine long, node long, v array<float>")
+    dealt = leaves.repartition(scorer.tasks, "leaf").sortWithinPartitions("leaf", "fine")
     graph = written(_merged(dealt.mapInArrow(_within_leaves(k), f"node long, nbrs {_LIST}"), "node", k), "op10-graph")
-    for r in range(rounds):
-        adj = written(_adjacency(graph, k), "op10-adjacency")
+    for r in count():
+        adj = written(_adjacency(graph, k, r), "op10-adjacency")
         pairs = adj.select("node", F.explode("adj").alias("via"))
         far = adj.select(F.col("node").alias("n2"), F.col("adj").alias("a2"))
         start = F.pmod(F.xxhash64("node", "via", F.lit(r)), F.greatest(F.size("a2") - TASTE + 1, F.lit(1))).cast("int") + 1
@@ -254,33 +269,88 @@ def build_graph(nodes: DataFrame, scorer: _Scorer, n: int, k: int = NEIGHBOURS,
             .select(F.col("node").alias("asker"), "v", F.array_except("some", F.array_append("have", F.col("node"))).alias("cands"))
         )
         found = scorer.best(asking, k).select(F.col("asker").alias("node"), "nbrs")
-        graph = written(_merged(graph.unionAll(found), "node", k), "op10-graph")
-    return graph
+        after = written(_merged(graph.select("node", "nbrs").unionAll(found), "node", k), "op10-graph")
+        was = graph.select(F.col("node").alias("g"), F.col("nbrs.id").alias("have"))
+        anew = F.size(F.array_except("nbrs.id", "have"))
+        new, held = after.join(was, F.col("node") == F.col("g")).agg(F.sum(anew), F.sum(F.size("nbrs"))).first()
+        dropped(adj)
+        dropped(graph)
+        graph = after
+        if (new or 0) <= SETTLED * (held or 0):
+            return graph
 
 
-def nearest(vectors: DataFrame, chosen: F.Column, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row that `chosen` holds for, the
-    k nearest found among all others by inner product in doubles, ties to the
-    smaller vec_id.
+def _scan(sent, most: int):
+    """asker, near, s: each query's best of the nodes of a task, without those
+    that begin with its own id."""
 
-    Rows that are null, zero, have a null id, or null or non-finite components
-    take no part. Rows that share a query's vec_id count as its own. With
-    fewer than k candidates all reachable ones are returned. Vectors of
-    different lengths are never compared. An empty table gives an empty result.
-    """
-    nodes = build_nodes(vectors, k)
-    n = nodes.count()
+    def run(batches):
+        held = {w: [(names, q, Best(len(names), most)) for names, q in chunks] for w, chunks in sent.value.items()}
+        for whole in batches:
+            for at in range(0, len(whole), SCAN_CHUNK):
+                for nodes, x in by_width(whole.slice(at, SCAN_CHUNK), "node", "exact"):
+                    for names, q, best in held.get(x.shape[1], ()):
+                        score = q @ x.T
+                        score[names[:, None] == nodes[None, :]] = -np.inf
+                        cut = best.floor[:, None]
+                        if score.shape[1] > most and np.isinf(best.floor).any():
+                            cut = np.maximum(cut, np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most, None])
+                        a, b = np.nonzero((score >= cut) & (score > -np.inf))
+                        best.add(a, score[a, b], nodes[b])
+        for chunks in held.values():
+            for names, _, best in chunks:
+                query, score, ids = best.rows
+                yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(score.astype(np.float64))], ["asker", "near", "s"])
+
+    return run
+
+
+def _scanned(nodes: DataFrame, n: int, asked: DataFrame, queries: int, k: int) -> DataFrame:
+    """asker, near: by exact products with all nodes, the k best of each query
+    and SPARE more, as sums round in another order here; and the nodes that
+    begin with the query's own id but have others."""
+    spark, most = nodes.sparkSession, k + SPARE
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SCAN_ROWS)))
+    dealt = nodes.select("node", "exact").repartition(tasks)
+    order = Window.partitionBy("asker").orderBy(F.desc("s"), "near")
+    own = nodes.where(F.exists("ids", lambda x: x != F.col("node"))).select(F.col("node").alias("near"))
+    out = asked.join(own, F.col("vec_id") == F.col("near")).select(F.col("vec_id").alias("asker"), "near")
+    blocks = max(1, -(-queries // SCAN_BLOCK))
+    for b in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+        got: dict[int, list] = {}
+        for batch in mine.toArrow().combine_chunks().to_batches():
+            for names, q in by_width(batch, "vec_id", "q"):
+                got.setdefault(q.shape[1], []).extend((names[i : i + SCAN_CHUNK], q[i : i + SCAN_CHUNK]) for i in range(0, len(names), SCAN_CHUNK))
+        sent = spark.sparkContext.broadcast(got)
+        found = dealt.mapInArrow(_scan(sent, most), "asker long, near long, s double")
+        out = out.unionAll(written(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("asker", "near"), "op10-scan"))
+        sent.destroy()
+    return out
+
+
+def _walked(nodes: DataFrame, n: int, asked: DataFrame, k: int) -> DataFrame:
+    """asker, near: the best 3 * k nodes of each query that a greedy search of
+    the graph meets. A query is done when its best nodes, as many as half its
+    pool, are all expanded; the pool grows with the root of n."""
     scorer = _Scorer(nodes, n)
     graph = build_graph(nodes, scorer, n)
     adj = written(_adjacency(graph, NEIGHBOURS), "op10-adjacency")
-    asked = clean_vectors(vectors.where(chosen)).where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("q"))
+    dropped(graph)
+    size = max(POOL, int(POOL * np.sqrt(n / POOL_ROWS)), 6 * k)
     home = nodes.select(F.col("node").alias("home"), F.col("exact").alias("e"))
-    queries = written(asked.join(home, F.col("q") == F.col("e")).select(F.col("vec_id").alias("asker"), F.col("q").cast("array<float>").alias("v"), "q", "home"), "op10-queries")
+    queries = written(asked.join(home, F.col("q") == F.col("e")).select(F.col("vec_id").alias("asker"), F.col("q").cast("array<float>").alias("v"), "home"), "op10-queries")
     # the own node first: it is in the pool and expanded in the first step
     pool = queries.select("asker", F.array(F.struct(F.lit(float("-inf")).cast("float").alias("s"), F.col("home").alias("id"))).alias("nbrs"), F.array().cast("array<long>").alias("done"))
-    for _ in range(STEPS):
-        front = F.slice(F.filter(F.slice(F.col("nbrs.id"), 1, 4 * EXPAND), lambda x: ~F.array_contains("done", x)), 1, EXPAND)
+    before = None
+    while True:
+        front = F.slice(F.array_except(F.slice(F.col("nbrs.id"), 1, size // 2), "done"), 1, max(EXPAND, size // 8))
         pool = written(pool.withColumn("front", front), "op10-pool")
+        if before is not None:
+            dropped(before)
+        before = pool
+        if not pool.where(F.size("front") > 0).limit(1).count():
+            return pool.select("asker", F.explode(F.slice(F.col("nbrs.id"), 1, 3 * k)).alias("near"))
         steps = pool.select("asker", F.explode("front").alias("at")).join(adj, F.col("at") == F.col("node"))
         met = steps.groupBy("asker").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("met"))
         asking = (
@@ -288,15 +358,31 @@ def nearest(vectors: DataFrame, chosen: F.Column, k: int = 20) -> DataFrame:
             .join(queries.select(F.col("asker").alias("b"), "v"), F.col("asker") == F.col("b"))
             .select("asker", "v", F.array_except("met", "have").alias("cands"))
         )
-        found = scorer.best(asking, POOL)
-        merged = _merged(pool.select("asker", "nbrs").unionAll(found), "asker", POOL)
+        found = scorer.best(asking, size)
+        merged = _merged(pool.select("asker", "nbrs").unionAll(found), "asker", size)
         done = pool.select(F.col("asker").alias("c"), F.array_union("done", "front").alias("done"))
         pool = merged.join(done, F.col("asker") == F.col("c")).select("asker", "nbrs", "done")
-    last = pool.select("asker", F.explode(F.slice(F.col("nbrs.id"), 1, 3 * k)).alias("near"))
+
+
+def nearest(vectors: DataFrame, chosen: F.Column, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that `chosen` holds for, the
+    k nearest among all others by inner product in doubles, ties to the smaller
+    vec_id: exact for up to SCANNED queries, the nearest found above that.
+
+    Rows that are null, zero, have a null id, or null or non-finite components
+    take no part. Rows that share a query's vec_id count as its own. With
+    fewer than k candidates all reachable ones are returned. Vectors of
+    different lengths are never compared. An empty table gives an empty result.
+    """
+    nodes = build_nodes(vectors, k)
+    n = nodes.count()
+    asked = written(clean_vectors(vectors.where(chosen)).where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("q")), "op10-asked")
+    queries = asked.count()
+    last = _scanned(nodes, n, asked, queries, k) if queries <= SCANNED else _walked(nodes, n, asked, k)
     exact = nodes.select(F.col("node").alias("m"), "ids", "exact")
     score = F.aggregate(F.zip_with("q", "exact", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     rows = (
-        last.join(queries.select(F.col("asker").alias("a"), "q"), F.col("asker") == F.col("a"))
+        last.join(asked.select(F.col("vec_id").alias("a"), "q"), F.col("asker") == F.col("a"))
         .join(exact, F.col("near") == F.col("m"))
         .select(F.col("asker").alias("query_id"), F.explode("ids").alias("vec_id"), score.alias("score"))
         .where("vec_id <> query_id")
@@ -306,5 +392,5 @@ def nearest(vectors: DataFrame, chosen: F.Column, k: int = 20) -> DataFrame:
 
 
 def op10_ann_search(spark, sf_dir: str) -> DataFrame:
-    """The 20 nearest found of every row whose vec_id is divisible by 20."""
+    """The 20 nearest of every row whose vec_id is divisible by 20."""
     return nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))

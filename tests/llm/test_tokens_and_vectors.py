@@ -206,3 +206,14 @@ def test_nearest_neighbours_of_the_tables(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
     x = np.array([r.embedding for r in rows], dtype=np.float32)
     assert recall_of(spark, vectors(spark, [(r.vec_id, r.embedding) for r in rows]), x, [r.vec_id for r in rows], 20) >= 0.9
+
+
+@pytest.mark.parametrize("scanned", [ann_search.SCANNED, 0])
+def test_nearest_neighbours_without_clusters(spark, monkeypatch, scanned):
+    monkeypatch.setattr(ann_search, "SCANNED", scanned)
+    for name, size in (("LEAF", 32), ("NEIGHBOURS", 8), ("POOL", 128), ("EXPAND", 16)) if not scanned else ():
+        monkeypatch.setattr(ann_search, name, size)
+    x = np.random.default_rng(4).standard_normal((2000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert recall_of(spark, df, x, list(range(2000)), 50) >= (1 if scanned else 0.8)
