@@ -101,8 +101,9 @@ def _search(sent, k: int):
                     score = _products(q, part)
                     valid = names[:, None] != some[None, :]
                     cut = need
-                    if score.shape[1] > k + 1:
-                        kth = np.partition(score, score.shape[1] - k - 1, axis=1)[:, score.shape[1] - k - 1]
+                    if score.shape[1] > k:
+                        others = np.where(valid, score, np.iinfo(np.int64).min)
+                        kth = np.partition(others, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
                         cut = np.maximum(need, kth[:, None])
                     a, b = np.nonzero(valid & (score >= cut))
                     best.add(a, score[a, b], some[b])

@@ -172,6 +172,15 @@ def test_top_k_equals_brute_force(spark):
     assert exact_top_k(df.where("vec_id < 3"), df.where("vec_id = 1")).count() == 2
 
 
+def test_top_k_with_a_repeated_id(spark):
+    x = np.random.default_rng(6).integers(-9, 9, (60, 4)).astype(np.float32)
+    rows = [(0, [50.0] * 4)] * 3 + [(i, v.tolist()) for i, v in enumerate(x) if i]
+    df = vectors(spark, rows).coalesce(1)
+    got = [(r.vec_id, r.score) for r in exact_top_k(df, df.where("vec_id = 0"), 10).orderBy("rank").collect()]
+    want = sorted((-int(1024 * 1024 * 50 * v.sum()), i) for i, v in enumerate(x) if i)[:10]
+    assert got == [(i, -s) for s, i in want]
+
+
 def recall_of(spark, df, x, ids, every, k=20):
     got = defaultdict(list)
     for r in ann_search.nearest(df, F.expr(f"vec_id % {every} = 0"), k).collect():
