@@ -7,6 +7,7 @@ text nor a large batch makes a Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) is a temporary
-    folder made, and then set for the session.
+    Only a session on one machine (local, as in tests) may leave it unset: a
+    temporary folder is made then, and set for the session. On a cluster that
+    would be another disk on every executor, so it is an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="noteloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,18 +54,61 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.scratch_path = path
+    return table_
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a written() table that nothing reads any more."""
-    spark = df.sparkSession
-    root = scratch_dir(spark)
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.removeprefix("file://") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of written() tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot that holds over one HOT_SHARE-th of all rows: there are fewer than HOT_SHARE.
+HOT_SHARE = 1000
+LEAST_HOT = 100
+
+
+def joined_by_key(rows: DataFrame, key: str, found: DataFrame, named: str, n: str, total: int) -> DataFrame:
+    """rows inner-joined with found, which has one row for each value `named`
+    of the key and, as column n, how many of the `total` rows meet it.
+
+    Hot keys are broadcast, fewer than HOT_SHARE (or total / LEAST_HOT) of
+    them; the other rows are shuffled, and their groups are small.
+    """
+    hot = F.col(n) > max(LEAST_HOT, total // HOT_SHARE)
+    by_hot = rows.join(F.broadcast(found.where(hot)), F.col(key) == F.col(named), "left")
+    met = by_hot.where(F.col(named).isNotNull())
+    others = by_hot.where(F.col(named).isNull()).select(*rows.columns)
+    return met.unionByName(others.join(found.where(~hot), F.col(key) == F.col(named)))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted (np.unique hashes, which takes far longer)."""
+    values = np.sort(values)
+    keep = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
+def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of values are in some, a sorted array."""
+    if not len(some):
+        return np.zeros(len(values), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def freed() -> None:
+    """Give memory that is no longer in use back to the system: a worker lives
+    on after its task, next to those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -79,12 +126,16 @@ class Powers:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, b, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        found = []
+        for b in (self.base, self.inverse):
+            steps = np.full(n, b, dtype=np.uint64)
+            steps[0] = 1
+            found.append(np.cumprod(steps, dtype=np.uint64))
+        if n <= 2 * SLICE_BYTES:  # those of a very long text are not kept
+            self.up, self.down = found
+        return found[0], found[1]
 
 
 _BYTES = Powers(_BASE)
@@ -138,16 +189,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """(from, to, texts) for runs of rows of about `most` bytes; a longer
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, Texts]]:
+    """(from, to, texts) for runs of at most `rows` rows and about `most` bytes; a longer
     text is a run of its own."""
     data, offsets = text_buffers(column)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = max(i + 1, min(i + rows, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
         yield i, j, Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 
 
-def id_column(df: DataFrame, name: str = "doc_id"):
-    return F.col(name).cast("long")
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32

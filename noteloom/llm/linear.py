@@ -1,7 +1,7 @@
 """Logistic regression over the sparse rows of a bounded sample.
 
 fit_in_task trains in one executor task, as the driver may be small: the sample
-is bounded by its caller, and only the weights come back.
+is bounded by its caller, in texts and in bytes, and only the weights come back.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK = 1 << 20
+from noteloom.llm.common import freed
+
+CHUNK = 1 << 18
 
 
 def fit_logistic(
@@ -76,6 +78,8 @@ def fit_in_task(features: DataFrame, fit: Callable[[pa.Table], tuple[np.ndarray,
     def run(batches):
         held = [b for b in batches if b.num_rows]
         got = fit(pa.Table.from_batches(held)) if held else None
+        held.clear()
+        freed()
         if got is not None:
             yield pa.RecordBatch.from_arrays([pa.array([got[0].astype("<f8").tobytes()], pa.binary()), pa.array([got[1]])], ["w", "b"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import Powers, Texts, mix64, slices, spans_hash, table, written
+from noteloom.llm.common import Powers, Texts, among, freed, mix64, slices, spans_hash, table, written
 
 FIELD_BITS = 27
 HOT_SHARE = 2000
@@ -85,14 +85,15 @@ def _emit_windows(window: int, field, anchors: np.ndarray | None, without: np.nd
                 slot = (anchor >> shift).astype(np.int64)
                 keep = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
                 if anchors is not None:
-                    keep &= np.isin(anchor.view(np.int64), anchors)
+                    keep &= among(anchor.view(np.int64), anchors)
                 at, text = at[keep], text[keep]
                 h1 = spans_hash(texts.hashes, at, at + window, _WIN1)
                 if len(without):
-                    keep = ~np.isin(h1.view(np.int64), without)
+                    keep = ~among(h1.view(np.int64), without)
                     at, text, h1 = at[keep], text[keep], h1[keep]
                 h2 = spans_hash(texts.hashes, at, at + window, _WIN2)
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[i:j][text])], ["h1", "h2", "doc_id"])
+        freed()
 
     return run
 
@@ -118,7 +119,7 @@ def _cut(window: int, carried: int, sent):
                     at = np.flatnonzero(text[: n - window + 1] == text[window - 1 :])
                     h1 = spans_hash(texts.hashes, at, at + window, _WIN1)
                     salt = mix64(np.arange(j - i, dtype=np.uint64) + np.uint64(77))
-                    hit = np.isin(h1 ^ salt[text[at]], gone ^ salt[owner])
+                    hit = among(h1 ^ salt[text[at]], np.sort(gone ^ salt[owner]))
                     if len(hot1):
                         place = np.minimum(np.searchsorted(hot1, h1.view(np.int64)), len(hot1) - 1)
                         same = np.flatnonzero(hot1[place] == h1.view(np.int64))

@@ -15,7 +15,8 @@ import numpy as np
 import regex
 import tiktoken
 
-MOST_KEPT = 500_000
+#: Words whose ids a worker keeps; beyond that it starts anew.
+MOST_KEPT = 100_000
 
 _GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -150,8 +151,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
+    """This worker's encoder for a vocabulary file; it keeps one at a time."""
     if path not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
