@@ -4,8 +4,8 @@
    fires; patterns are counted over all documents.
 2. Expectation-maximisation over the pattern counts estimates how often each
    labeller fires on good and on bad documents, and the share of bad ones.
-3. The posteriors of a bounded sample (SAMPLE documents on either side of one
-   half, by hash order) train a linear scorer over hashed runs of three byte
+3. The posteriors of a bounded sample (SAMPLE documents and SAMPLE_BYTES on
+   either side of one half, by hash order) train a linear scorer over hashed runs of three byte
    classes and over word lengths (apart for words that repeat the one before),
    which then scores every document.
 """
@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import slices, table
+from noteloom.llm.common import dropped, freed, slices, table, written
 from noteloom.llm.linear import fit_in_task, fit_logistic, flat_lists
 
 SAMPLE = 3000
+SAMPLE_BYTES = 64 << 20
+#: Tasks that share the sample.
+SAMPLE_TASKS = 8
 BITS = 13
 SIZE = (1 << BITS) + 32
 #: A labeller fires on at most this share of good documents.
@@ -113,6 +116,7 @@ def _patterns(batches):
     for batch in batches:
         for i, j, run in slices(batch.column("t")):
             yield pa.RecordBatch.from_arrays([batch.column("d").slice(i, j - i), pa.array(fires(run))], ["d", "pattern"])
+    freed()
 
 
 def _features(batches):
@@ -128,33 +132,43 @@ def _features(batches):
                 rows.append(np.concatenate([f for f, _ in parts]).astype(np.int32))
                 values.append(np.concatenate([v for _, v in parts]).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("pattern").slice(i, j - i), pa.array(rows, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["pattern", "features", "parts"]
+                [batch.column("k").slice(i, j - i), batch.column("pattern").slice(i, j - i), pa.array(rows, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+                ["k", "pattern", "features", "parts"],
             )
+    freed()
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights (of the share of each bucket) and intercept of the log odds that
     a document is good."""
     plain = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t"))
-    marked = plain.mapInArrow(_patterns, "d long, pattern long")
+    marked = written(plain.mapInArrow(_patterns, "d long, pattern long"), "op5-marked")
     counts = {r["pattern"]: r["n"] for r in marked.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior = estimate(counts) if counts else {}
     bad = [k for k, p in posterior.items() if p >= 0.5]
     share = sum(counts[k] for k in bad) / max(1, sum(counts.values()))
     if not 0 < share < 1:
         return np.zeros(SIZE), 3.0
-    sides = [marked.where("d is not null").where(side).orderBy(F.xxhash64("d"), "d").limit(sample) for side in (F.col("pattern").isin(bad), ~F.col("pattern").isin(bad))]
-    wanted = F.broadcast(sides[0].unionAll(sides[1]).select(F.col("d").alias("k"), "pattern").dropDuplicates(["k"]))
-    texts = plain.join(wanted, F.col("d") == F.col("k")).select("pattern", "t").limit(4 * sample)
+    is_bad = F.col("pattern").isin(bad)
+    sides = [marked.where("d is not null").where(side).groupBy("d").agg(F.min("pattern").alias("pattern")).orderBy(F.xxhash64("d"), "d").limit(sample) for side in (is_bad, ~is_bad)]
+    wanted = F.broadcast(sides[0].unionAll(sides[1]).groupBy(F.col("d").alias("k")).agg(F.min("pattern").alias("pattern")))
+    texts = plain.join(wanted, F.col("d") == F.col("k")).groupBy("k", "pattern").agg(F.min(F.coalesce("t", F.lit(""))).alias("t"))
+    so_far = Window.partitionBy(is_bad).orderBy(F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = written(texts.repartition(SAMPLE_TASKS, "k"), "op5-sample")
+    fits = held.select(F.col("k").alias("kept"), "pattern", F.sum(F.octet_length("t")).over(so_far).alias("bytes")).where(F.col("bytes") <= SAMPLE_BYTES).select("kept")
+    texts = held.join(F.broadcast(fits), F.col("k") == F.col("kept")).drop("kept")
 
     def fit(got: pa.Table) -> tuple[np.ndarray, float]:
+        got = got.sort_by("k")
         good = 1 - np.array([posterior[k] for k in got["pattern"].to_pylist()])
         (index, edge), (values, _) = flat_lists(got["features"]), flat_lists(got["parts"])
         w, b = fit_logistic(index, edge, good, SIZE, l2=1e-7, values=values, rounds=400, rate=1.0)
         odds = np.clip(good.mean() / max(1e-6, 1 - good.mean()), 1e-3, 1e3)
         return w, float(b + np.log((1 - share) / share) - np.log(odds))
 
-    return fit_in_task(texts.mapInArrow(_features, "pattern long, features array<int>, parts array<float>"), fit) or (np.zeros(SIZE), 3.0)
+    model = fit_in_task(texts.mapInArrow(_features, "k long, pattern long, features array<int>, parts array<float>"), fit)
+    dropped(marked, held)
+    return model or (np.zeros(SIZE), 3.0)
 
 
 def _score(sent):
@@ -169,6 +183,7 @@ def _score(sent):
                     z += (part[edges[1:]] - part[edges[:-1]]) / np.maximum(np.diff(edges), 1)
                 score = np.where(size > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(score)], [*batch.schema.names[:-1], "score"])
+        freed()
 
     return run
 
@@ -177,7 +192,8 @@ def score_quality(docs: DataFrame, carry: tuple[str, ...] = (), sample: int = SA
     """doc_id, the carried columns, score (of being good, 0 to 1): one row for
     each input row; accept from ACCEPT on.
 
-    Null and empty texts score 0. Rows with null or repeated doc_ids are scored
+    Null and empty texts score 0; a very long text is scored whole, as one
+    slice. Rows with null or repeated doc_ids are scored
     like any other. Where the labellers never disagree with good, everything
     scores high. An empty table gives an empty result. Only doc_id, text and
     the carried columns are read.
