@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import dropped, written
+from noteloom.llm.common import dropped, joined_by_key, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least one."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return joined_by_key(both.where("b > a"), "a", least, "u", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, go to the least one."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    moved = down.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = joined_by_key(down, "a", least, "u", "n", total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: for each node on an edge (a, b: long), the least node of its
-    component. Each round is written to the shared folder, so a lost executor
-    repeats one round at most; joins on a hot node can be split by AQE, and its
-    minimum is aggregated before the shuffle."""
+    """node, root: for each node on an edge (a, b: long) but the least of its
+    component, that least one. Edges with a null end, loops and repeated edges count for nothing;
+    no edges give no rows.
+
+    Each star is written to the shared folder, so a lost executor repeats one at
+    most; minima are aggregated before the shuffle, and nodes that hold over a
+    thousandth of all edges are joined by broadcast. Rounds grow with the
+    logarithm of the longest path; RuntimeError after most_rounds.
+    """
     now = written(edges.select("a", "b").where("a <> b").distinct(), "cc")
     seen = None
     for _ in range(most_rounds):
@@ -35,7 +40,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark[0] == 0 or tuple(mark) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(mark)
-        after = written(_small_star(_large_star(now)).distinct(), "cc")
-        dropped(now)
+        large = written(_large_star(now, mark[0]).distinct(), "cc")
+        after = written(_small_star(large, mark[0]).distinct(), "cc")
+        dropped(now, large)
         now = after
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -22,19 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import slices, table, written
+from noteloom.llm.common import LOWER, freed, joined_by_key, slices, table, written
 from noteloom.llm.components import connected_components
 
 RADIUS = 4
 MOST_PAIRED = 64
 _BLOCKS = ((0, 21), (21, 42), (42, 64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def fingerprints_of(run, size: int) -> list[int]:
     """The fingerprint of each text of a run, as signed 64-bit integers."""
-    raw = _LOWER[run.data].tobytes()
+    raw = LOWER[run.data].tobytes()
     out = np.zeros(len(run.first) - 1, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     for k in range(len(out)):
@@ -63,6 +61,7 @@ def _fingerprint(size: int):
         for batch in batches:
             for i, j, texts in slices(batch.column("t")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(fingerprints_of(texts, size))], ["doc_id", "fp"])
+        freed()
 
     return run
 
@@ -112,6 +111,15 @@ def _whole_ball(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(masks)).view(np.int64))], ["key", "fp"])
 
 
+def different(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """The different rows (a, b)."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    keep = np.ones(len(x), dtype=bool)
+    keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], ["a", "b"])
+
+
 def _groups(batches):
     """Rows sorted by key, in runs that end with a group. Of a group too large
     to hold, rows are passed on in several runs, each large by itself."""
@@ -153,8 +161,7 @@ def _verified(batches):
             near = np.bitwise_count((x ^ y).view(np.uint64)) <= RADIUS
             a.append(np.minimum(x, y)[near])
             b.append(np.maximum(x, y)[near])
-        links = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+        yield different(np.concatenate(a), np.concatenate(b))
 
 
 def _stars(batches):
@@ -168,8 +175,7 @@ def _stars(batches):
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         root = np.where(at >= 0, fp[np.maximum(at, 0)], last_fp if last_fp is not None else 0)
         last_key, last_fp = key[-1], root[-1]
-        links = np.unique(np.stack([root, fp], axis=1)[root != fp], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+        yield different(root[root != fp], fp[root != fp])
 
 
 def links(distinct: DataFrame, whole: bool = False) -> DataFrame:
@@ -196,15 +202,18 @@ def near_duplicate_groups(docs: DataFrame, size: int = 4) -> DataFrame:
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null doc_id get a fingerprint and take part in links, but never name
     a component (null where nothing else is in it). Repeated rows give repeated
-    rows. An empty table gives an empty result. Only doc_id and text are read.
+    rows. A very long text is hashed whole, by one task, a shingle at a time. An
+    empty table gives an empty result. Only doc_id and text are read.
     """
     prints = written(fingerprints(docs, size), "op3-fp")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "op3-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "op3-distinct")
     roots = connected_components(links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("p"), "component_id")
-    return prints.join(by_print, F.col("fp") == F.col("p")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "op3-rooted")
+    total, classes = rooted.agg(F.sum("n"), F.count("*")).first()
+    named = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    by_print = written(joined_by_key(rooted, "root", named, "r", "m", classes).select(F.col("fp").alias("p"), "n", "component_id"), "op3-named")
+    found = joined_by_key(prints, "fp", by_print, "p", "n", total or 0)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
