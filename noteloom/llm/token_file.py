@@ -1,17 +1,21 @@
 """Token-id files: adaptive context-mixing range coding in blocks.
 
-A block codes at most BLOCK ids from reset models and carries the crc32 of its
-ids, so a damaged block is found and the others stay readable. Three predictors
-are mixed: the id last seen after the same two ids (order 2), after the same id
-(order 1), and adaptive frequencies of all ids (order 0: frequencies of ranges
-of 128 ids, even within a range). The weight of each predictor adapts in a
-context made of the confidences of the other two, and one interval of a 64-bit
-carry-less range coder codes an id. Blocks are independent, so thousands of
-them are coded in step, one id of each at a time, with array operations.
-
-A segment holds whole documents (about SEGMENT ids): a header, the number of
-documents, their lengths and their blocks. Segments are rows of a table with
-binary payloads, which makes writing them atomic in any store Spark reaches.
+Three predictions of the next id are mixed, their probabilities added by weight:
+the id last seen after the same two ids (order 2), the one last seen after the
+same id (order 1), and the id frequencies of the segment (order 0). With weights
+w0 + w1 + w2 = 1, an id x has the interval that starts at w0 * C(x) + w1 * [x >
+id1] + w2 * [x > id2] and is w0 * f(x) + w1 * [x = id1] + w2 * [x = id2] wide.
+The order 1 and 2 predictions adapt with every id, and so do the weights, in a
+context made of the confidences of both predictions. One interval of a 64-bit
+carry-less range coder codes an id.
+
+A block codes at most BLOCK ids; its predictions, weights and coder are reset,
+and it carries the crc32 of its ids, so a damaged block is found and the others
+stay readable. Blocks are coded in step, one id of each at a time, with array
+operations. A segment holds whole documents (about SEGMENT ids): a header, the
+lengths, the frequencies (with a crc32 of both) and the blocks. Segments are rows
+of a table with binary payloads, which makes writing them atomic in any store
+Spark reaches. Ids must be below 65,536.
 """
 
 from __future__ import annotations
@@ -25,213 +29,212 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import table, written
+from noteloom.llm.common import freed, table, written
 from noteloom.llm.tokens import encoder, text_runs
 
 BLOCK = 2048
 LANES = 2048
 SEGMENT = 1 << 22
 MAGIC = b"NLTF"
-VERSION = 1
+VERSION = 2
+#: Characters of a text that deal out rows of one doc_id.
+PREFIX = 64
 
 _U = np.uint64
-_LOW_BITS = 7
-_RANGES = 512
 _SLOTS1, _SLOTS2 = 1024, 512
-_REBUILD = 64
-_TOP, _BOTTOM = _U(1 << 48), _U(1 << 40)
-_EVENT = (1 << 20) - 1
+#: Bits of an order 0 frequency and of a weight.
+_FINE, _PARTS = 18, 12
+_MOST_WEIGHT = (1 << _PARTS) - 64
+_RATE = 4
+_WORD, _LOW = _U(32), _U((1 << 32) - 1)
+_HEAD = "<4sHIIQIII"
+#: First weights (order 2 << 16 | order 1) by confidence of order 2 and of order 1; 0: nothing seen yet.
+_FIRST = np.array([(w2 << 16) | w1 for w2, w1 in ((0, 0), (0, 500), (0, 1600), (0, 2800), (900, 0), (900, 300), (900, 800), (800, 1600),
+                   (2200, 0), (2200, 200), (2200, 400), (2000, 1000), (3300, 0), (3300, 100), (3300, 200), (3300, 400))], dtype=np.int32)
+
+
+class Frequencies:
+    """Order 0: a share of 2**_FINE for each id that occurs, in id order."""
+
+    def __init__(self, known: np.ndarray, share: np.ndarray):
+        self.known, self.share = known, share
+        size = int(known.max(initial=0)) + 2
+        # one place before each id, as -1 stands for no prediction
+        self.f = np.zeros(size, dtype=np.int64)
+        self.f[known + 1] = share
+        self.c = np.cumsum(self.f) - self.f
+        self.slot = np.repeat(known, share).astype(np.int32)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Frequencies:
+        count = np.bincount(ids)
+        known = np.flatnonzero(count)
+        share = np.maximum(1, count[known] * ((1 << _FINE) - len(known)) // max(1, len(ids)))
+        if len(known):
+            share[np.argmax(share)] += (1 << _FINE) - share.sum()
+        return cls(known, share)
+
+    def packed(self) -> bytes:
+        return zlib.compress(np.diff(self.known, prepend=0).astype("<u4").tobytes() + self.share.astype("<u4").tobytes())
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Frequencies:
+        both = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64).reshape(2, -1)
+        return cls(np.cumsum(both[0]), both[1])
 
 
 class _Models:
-    """The models of n blocks, all reset. Predictor entries hold an id plus one
-    and, above 17 bits, a confidence; event entries pack three frequencies of
-    20 bits; range entries pack cumulated frequency and frequency."""
+    """The adaptive models of n blocks, all reset. Prediction entries hold an id
+    plus one and, above 17 bits, a confidence of 1 to 3; 0: nothing seen."""
 
     def __init__(self, n: int):
-        self.n = n
-        lane = np.arange(n, dtype=np.int64)
-        self.one = np.zeros(n * _SLOTS1, dtype=np.uint32)
-        self.two = np.zeros(n * _SLOTS2, dtype=np.uint32)
-        self.event = np.full(n * 16, 1 | 1 << 20 | 8 << 40, dtype=np.int64)
-        self.count = np.ones((n, _RANGES), dtype=np.int64)
-        self.lane1, self.lane2, self.lane16, self.lane_r = lane * _SLOTS1, lane * _SLOTS2, lane * 16, lane * _RANGES
-        self.last = np.zeros(n, dtype=np.int64)
-        self.before = np.zeros(n, dtype=np.int64)
-        self.step = 0
-        self._cumulate()
-
-    def _cumulate(self) -> None:
-        big = self.count.sum(axis=1) > 1 << 13
-        if big.any():
-            self.count[big] = (self.count[big] >> 1) | 1
-        cum = np.cumsum(self.count, axis=1)
-        self.total = cum[:, -1].copy()
-        self.range = ((cum - self.count) << 20 | self.count).ravel()
+        lane = np.arange(n, dtype=np.int32)
+        self.one = np.zeros(n * _SLOTS1, dtype=np.int32)
+        self.two = np.zeros(n * _SLOTS2, dtype=np.int32)
+        self.weight = np.tile(_FIRST, n)
+        self.lane1, self.lane2, self.lane16 = lane * _SLOTS1, lane * _SLOTS2, lane * 16
+        self.last = np.zeros(n, dtype=np.int32)
+        self.before = np.zeros(n, dtype=np.int32)
 
     def shrink(self, n: int) -> None:
         """Keep the first n blocks."""
-        self.n = n
-        self.one, self.two, self.event = self.one[: n * _SLOTS1], self.two[: n * _SLOTS2], self.event[: n * 16]
-        self.count, self.range, self.total = self.count[:n], self.range[: n * _RANGES], self.total[:n]
-        for name in ("lane1", "lane2", "lane16", "lane_r", "last", "before"):
+        for name in ("lane1", "lane2", "lane16", "last", "before"):
             setattr(self, name, getattr(self, name)[:n])
 
     def look(self) -> None:
-        """Predictions and event frequencies for the next id of each block."""
+        """Predictions and weights for the next id of each block."""
         self.at1 = self.lane1 + ((self.last * 40503 >> 4) & (_SLOTS1 - 1))
-        self.at2 = self.lane2 + (((self.last * 30011 + self.before * 7919) >> 3) & (_SLOTS2 - 1))
-        p1, p2 = self.one[self.at1].astype(np.int64), self.two[self.at2].astype(np.int64)
-        self.id1, self.id2 = (p1 & 0x1FFFF) - 1, (p2 & 0x1FFFF) - 1
-        self.conf1, self.conf2 = p1 >> 17, p2 >> 17
-        self.at_e = self.lane16 + (self.conf2 << 2 | self.conf1)
-        e = self.event[self.at_e]
-        self.e = e
-        self.f2, self.f1, self.f0 = e & _EVENT, e >> 20 & _EVENT, e >> 40
-
-    def learn(self, ids: np.ndarray) -> None:
-        hit1, hit2 = ids == self.id1, ids == self.id2
-        kind = np.where(hit2, 0, np.where(hit1, 20, 40))
-        e = self.e + (np.int64(24) << kind)
-        full = self.f0 + self.f1 + self.f2 > 4000
-        if full.any():
-            half = (e >> 1) & (_EVENT >> 1 | _EVENT >> 1 << 20 | _EVENT >> 1 << 40) | 1 | 1 << 20 | 1 << 40
-            e = np.where(full, half, e)
-        self.event[self.at_e] = e
-        for table_, at, hit, conf, old in ((self.one, self.at1, hit1, self.conf1, self.id1), (self.two, self.at2, hit2, self.conf2, self.id2)):
-            sure = np.where(hit, np.minimum(conf + 1, 3), np.maximum(conf - 1, 0))
-            keep = hit | (conf > 0)
-            table_[at] = (sure << 17) | np.where(keep, old + 1, ids + 1)
-        self.count.ravel()[self.lane_r + (ids >> _LOW_BITS)] += 24
-        self.before, self.last = self.last, ids
-        self.step += 1
-        if self.step % _REBUILD == 0 or self.step in (4, 16, 32):
-            self._cumulate()
-
-
-def _settle(low: np.ndarray, span: np.ndarray, shifted) -> None:
-    """Shift out, 16 bits at a time, what is settled; shifted(which) is called
-    with the blocks that shift, before low is changed."""
-    while True:
-        same = (low ^ (low + span)) < _TOP
-        tight = ~same & (span < _BOTTOM)
-        which = np.flatnonzero(same | tight)
-        if not len(which):
-            return
-        if tight.any():
-            t = np.flatnonzero(tight)
-            span[t] = (~low[t] + _U(1)) & (_BOTTOM - _U(1))
-        shifted(which)
-        low[which] <<= _U(16)
-        span[which] <<= _U(16)
-
-
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        self.at2 = self.lane2 + ((self.last * 30011 + self.before * 7919 >> 3) & (_SLOTS2 - 1))
+        self.p1, self.p2 = self.one[self.at1], self.two[self.at2]
+        self.id1, self.id2 = (self.p1 & 0x1FFFF) - 1, (self.p2 & 0x1FFFF) - 1
+        self.sure1, self.sure2 = self.p1 >> 17, self.p2 >> 17
+        self.at_w = self.lane16 + (self.sure2 << 2 | self.sure1)
+        w = self.weight[self.at_w]
+        self.w1, self.w2 = w & 0xFFFF, w >> 16
+        self.w0 = (1 << _PARTS) - self.w1 - self.w2
+
+    def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        """Where both predictions were right, the weight of order 2 grows."""
+        w1 = self.w1 + ((hit1 & ~hit2) * np.int32(_MOST_WEIGHT) - self.w1 >> _RATE)
+        w2 = self.w2 + (hit2 * np.int32(_MOST_WEIGHT) - self.w2 >> _RATE)
+        self.weight[self.at_w] = w2 << 16 | w1
+        fresh = x + np.int32(1 + (1 << 17))
+        for slots, at, hit, sure, old in ((self.one, self.at1, hit1, self.sure1, self.p1), (self.two, self.at2, hit2, self.sure2, self.p2)):
+            kept = old + np.where(hit, sure < 3, np.int32(-1)) * np.int32(1 << 17)
+            slots[at] = np.where(hit | (sure > 1), kept, fresh)
+        self.before, self.last = self.last, x
+
+
+class _Coder:
+    """Interval and word streams of the blocks."""
+
+    def __init__(self, n: int):
+        self.low, self.span = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+
+    def narrow(self, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Take the interval; the blocks whose top word is settled."""
+        n = len(unit)
+        self.low[:n] += unit * start.view(np.uint64)
+        np.multiply(unit, width.view(np.uint64), out=self.span[:n])
+        return np.flatnonzero(self.span[:n] <= _LOW)
+
+    def shift(self, which: np.ndarray) -> np.ndarray:
+        """Shift the top words out; a span across two of them is cut short."""
+        low, span = self.low[which], self.span[which]
+        across = (low + span) >> _WORD != low >> _WORD
+        span = np.where(across, (~low + _U(1)) & _LOW, span)
+        self.low[which], self.span[which] = low << _WORD, span << _WORD
+        return low >> _WORD
+
+
+def _steps(sizes: np.ndarray):
+    """(step, number of blocks that have an id there); sizes do not grow."""
+    live = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))))
+    return enumerate(live.tolist())
+
+
+def encode_blocks(ids: np.ndarray, sizes: np.ndarray, base: Frequencies) -> list[bytes]:
     """The payload of each block; blocks lie in ids one after another and their
     sizes do not grow."""
-    n = len(sizes)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    m = _Models(n)
-    low, span = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    owners, words = [], []
-
-    def put(which):
-        owners.append(which.astype(np.int32))
-        words.append((low[which] >> _U(48)).astype("<u2"))
-
-    finished: list[tuple[np.ndarray, np.ndarray]] = []
-    for step in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-sizes, -step))
-        if live < m.n:
-            finished.append((np.arange(live, m.n), low[live:].copy()))
+    n, longest = len(sizes), int(sizes.max(initial=0))
+    rows = np.zeros(n * longest, dtype=np.int32)
+    rows[: len(ids)] = ids
+    columns = np.ascontiguousarray(rows.reshape(n, longest).T)
+    m, coder = _Models(n), _Coder(n)
+    out, at = np.zeros((n, longest + 2), dtype="<u4"), np.zeros(n, dtype=np.int64)
+    for step, live in _steps(sizes):
+        if live < len(m.last):
             m.shrink(live)
-            low, span = low[:live].copy(), span[:live].copy()
-        x = ids[first[:live] + step]
+        x = columns[step, :live]
         m.look()
-        r = m.range[m.lane_r + (x >> _LOW_BITS)]
-        total0 = m.total << _LOW_BITS
-        f = r & 0xFFFFF
-        start0 = ((r >> 20) << _LOW_BITS) + (x & (1 << _LOW_BITS) - 1) * f
-        hit2, hit1 = x == m.id2, x == m.id1
-        start = np.where(hit2, 0, np.where(hit1, m.f2 * total0, (m.f2 + m.f1) * total0 + m.f0 * start0))
-        width = np.where(hit2, m.f2 * total0, np.where(hit1, m.f1 * total0, m.f0 * f))
-        unit = span // ((m.f0 + m.f1 + m.f2) * total0).astype(np.uint64)
-        low += unit * start.astype(np.uint64)
-        np.multiply(unit, width.astype(np.uint64), out=span)
-        _settle(low, span, put)
-        m.learn(x)
-    finished.append((np.arange(m.n), low))
-    for which, value in finished:
-        for shift in (48, 32, 16, 0):
-            owners.append(which.astype(np.int32))
-            words.append((value >> _U(shift)).astype("<u2"))
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    raw = np.concatenate(words)[order].tobytes()
-    edge = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]) * 2
-    return [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-
-
-def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """The ids of blocks whose sizes do not grow, one block after another."""
-    n = len(sizes)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    ids = np.zeros(int(sizes.sum()), dtype=np.int64)
-    words = np.frombuffer(b"".join(payloads), dtype="<u2").astype(np.uint64)
-    at = np.concatenate([[0], np.cumsum([len(p) // 2 for p in payloads])])[:-1].astype(np.int64)
-    words = np.concatenate([words, np.zeros(4, dtype=np.uint64)])
-    code = np.zeros(n, dtype=np.uint64)
-    for _ in range(4):
-        code = code << _U(16) | words[at]
-        at += 1
-    m = _Models(n)
-    low, span = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-
-    def get(which):
-        code[which] = code[which] << _U(16) | words[at[which]]
+        hit1, hit2 = x == m.id1, x == m.id2
+        place = x + np.int32(1)
+        start = m.w0 * base.c[place] + (((x > m.id1) * m.w1 + (x > m.id2) * m.w2).astype(np.int64) << _FINE)
+        width = m.w0 * base.f[place] + ((hit1 * m.w1 + hit2 * m.w2).astype(np.int64) << _FINE)
+        which = coder.narrow(coder.span[:live] >> _U(_FINE + _PARTS), start, width)
+        out[which, at[which]] = coder.shift(which)
         at[which] += 1
+        m.learn(x, hit1, hit2)
+    lanes = np.arange(n)
+    out[lanes, at], out[lanes, at + 1] = coder.low >> _WORD, coder.low & _LOW
+    return [out[k, : at[k] + 2].tobytes() for k in range(n)]
 
-    for step in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-sizes, -step))
-        if live < m.n:
+
+def decode_blocks(payloads: list[bytes], sizes: np.ndarray, base: Frequencies) -> np.ndarray:
+    """The ids of blocks whose sizes do not grow, one block after another."""
+    n, longest = len(sizes), int(sizes.max(initial=0))
+    columns = np.zeros((longest, n), dtype=np.int32)
+    words = np.concatenate([np.frombuffer(b"".join(payloads), dtype="<u4"), np.zeros(2, "<u4")]).astype(np.uint64)
+    at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in payloads])])[:-1].astype(np.int64)
+    code = words[at] << _WORD | words[at + 1]
+    at += 2
+    m, coder = _Models(n), _Coder(n)
+    most = len(words) - 1
+    for step, live in _steps(sizes):
+        if live < len(m.last):
             m.shrink(live)
-            low, span, code, at = low[:live].copy(), span[:live].copy(), code[:live].copy(), at[:live].copy()
         m.look()
-        total0 = m.total << _LOW_BITS
-        unit = span // ((m.f0 + m.f1 + m.f2) * total0).astype(np.uint64)
-        v = ((code - low) // unit).astype(np.int64)
-        edge2, edge1 = m.f2 * total0, (m.f2 + m.f1) * total0
-        v0 = np.maximum(v - edge1, 0) // m.f0
-        want = (v0 >> _LOW_BITS) << 20 | 0xFFFFF
-        lo = np.zeros(live, dtype=np.int64)
-        for bit in range(_RANGES.bit_length() - 2, -1, -1):
-            lo += (m.range[m.lane_r + lo + (1 << bit)] <= want).astype(np.int64) << bit
-        r = m.range[m.lane_r + lo]
-        f, cum = r & 0xFFFFF, (r >> 20) << _LOW_BITS
-        x0 = (v0 - cum) // f
-        is2, is1 = v < edge2, v < edge1
-        start = np.where(is2, 0, np.where(is1, edge2, edge1 + m.f0 * (cum + x0 * f)))
-        width = np.where(is2, edge2, np.where(is1, edge1 - edge2, m.f0 * f))
-        x = np.where(is2, m.id2, np.where(is1, m.id1, lo << _LOW_BITS | x0))
-        low += unit * start.astype(np.uint64)
-        np.multiply(unit, width.astype(np.uint64), out=span)
-        _settle(low, span, get)
-        ids[first[:live] + step] = x
-        m.learn(x)
-    return ids
+        unit = coder.span[:live] >> _U(_FINE + _PARTS)
+        v = ((code[:live] - coder.low[:live]) // np.maximum(unit, _U(1))).view(np.int64)
+        # with the lesser prediction a and the greater b: before a, a, between, b, behind
+        swap, same = m.id1 > m.id2, m.id1 == m.id2
+        a, b = np.minimum(m.id1, m.id2), np.maximum(m.id1, m.id2)
+        wa = np.where(same, m.w1 + m.w2, np.where(swap, m.w2, m.w1)).astype(np.int64) << _FINE
+        wb = np.where(same, 0, np.where(swap, m.w1, m.w2)).astype(np.int64) << _FINE
+        pa_, pb = a + np.int32(1), b + np.int32(1)
+        from_a, from_b = m.w0 * base.c[pa_], m.w0 * base.c[pb] + wa
+        to_a, to_b = from_a + m.w0 * base.f[pa_] + wa, from_b + m.w0 * base.f[pb] + wb
+        is_a, is_b = (v >= from_a) & (v < to_a), (v >= from_b) & (v < to_b)
+        other = (v - np.where(v >= to_a, wa, 0) - np.where(v >= to_b, wb, 0)) / m.w0
+        x = np.where(is_a, a, np.where(is_b, b, base.slot[np.clip(other.astype(np.int64), 0, len(base.slot) - 1)]))
+        hit1, hit2 = x == m.id1, x == m.id2
+        place = x + np.int32(1)
+        start = m.w0 * base.c[place] + (((x > m.id1) * m.w1 + (x > m.id2) * m.w2).astype(np.int64) << _FINE)
+        width = m.w0 * base.f[place] + ((hit1 * m.w1 + hit2 * m.w2).astype(np.int64) << _FINE)
+        which = coder.narrow(unit, start, width)
+        coder.shift(which)
+        code[which] = code[which] << _WORD | words[np.minimum(at[which], most)]
+        at[which] += 1
+        columns[step, :live] = x
+        m.learn(x, hit1, hit2)
+    return np.ascontiguousarray(columns.T).ravel()[: int(sizes.sum())]
 
 
 def encode_segment(lengths: list[int], raw: bytes) -> bytes:
     """A segment of documents with `lengths` ids each, whose ids (32-bit
-    little-endian, below 65,535) are raw."""
-    ids = np.frombuffer(raw, dtype="<u4").astype(np.int64)
+    little-endian, below 65,536) are raw."""
+    ids = np.frombuffer(raw, dtype="<u4").view("<i4")
+    if len(ids) and int(ids.max()) >= 1 << 16:
+        raise ValueError("ids must be below 65,536")
     sizes = np.full(-(-len(ids) // BLOCK), BLOCK, dtype=np.int64)
     if len(ids) % BLOCK:
         sizes[-1] = len(ids) % BLOCK
+    base = Frequencies.of(ids)
+    front = [np.array(lengths, dtype="<u4").tobytes(), base.packed()]
     payloads: list[bytes] = []
     for at in range(0, len(sizes), LANES):
-        payloads += encode_blocks(ids[at * BLOCK : (at + LANES) * BLOCK], sizes[at : at + LANES])
-    out = [struct.pack("<4sHIIQ", MAGIC, VERSION, len(lengths), len(sizes), len(ids)), np.array(lengths, dtype="<u4").tobytes()]
+        payloads += encode_blocks(ids[at * BLOCK : (at + LANES) * BLOCK], sizes[at : at + LANES], base)
+    out = [struct.pack(_HEAD, MAGIC, VERSION, len(lengths), len(sizes), len(ids), len(front[1]), zlib.crc32(front[0]), zlib.crc32(front[1])), *front]
     for k, p in enumerate(payloads):
         part = raw[4 * k * BLOCK : 4 * (k + 1) * BLOCK]
         out += [struct.pack("<III", len(part) // 4, zlib.crc32(part), len(p)), p]
@@ -240,12 +243,15 @@ def encode_segment(lengths: list[int], raw: bytes) -> bytes:
 
 def decode_segment(data: bytes) -> tuple[np.ndarray, bytes]:
     """Document lengths and raw ids; ValueError if a block fails its check."""
-    magic, version, n_docs, n_blocks, n_ids = struct.unpack_from("<4sHIIQ", data)
+    magic, version, n_docs, n_blocks, n_ids, packed, crc_lengths, crc_base = struct.unpack_from(_HEAD, data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a segment of this format")
-    at = struct.calcsize("<4sHIIQ")
-    lengths = np.frombuffer(data, "<u4", n_docs, at).astype(np.int64)
-    at += 4 * n_docs
+    at = struct.calcsize(_HEAD)
+    front = data[at : at + 4 * n_docs], data[at + 4 * n_docs : at + 4 * n_docs + packed]
+    if (zlib.crc32(front[0]), zlib.crc32(front[1])) != (crc_lengths, crc_base):
+        raise ValueError("the head of the segment is damaged")
+    lengths, base = np.frombuffer(front[0], "<u4").astype(np.int64), Frequencies.unpacked(front[1])
+    at += 4 * n_docs + packed
     sizes, sums, payloads = [], [], []
     for _ in range(n_blocks):
         size, crc, n = struct.unpack_from("<III", data, at)
@@ -256,7 +262,7 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, bytes]:
         at += n
     parts = []
     for k in range(0, n_blocks, LANES):
-        parts.append(decode_blocks(payloads[k : k + LANES], np.array(sizes[k : k + LANES], dtype=np.int64)).astype("<u4").tobytes())
+        parts.append(decode_blocks(payloads[k : k + LANES], np.array(sizes[k : k + LANES], dtype=np.int64), base).tobytes())
     raw = b"".join(parts)
     for k, (size, crc) in enumerate(zip(sizes, sums, strict=True)):
         if zlib.crc32(raw[4 * k * BLOCK : 4 * (k * BLOCK + size)]) != crc:
@@ -294,6 +300,7 @@ def _segments(path: str, end_id: int):
                         yield flush()
         if docs:
             yield flush()
+        freed()
 
     return run
 
@@ -309,15 +316,18 @@ def _read(batches):
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
             columns = [docs, pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.full(n, part.as_py())), pa.array(np.full(n, segment.as_py()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "n_tokens", "ids_crc32", "part", "segment"])
+            del raw, view
+    freed()
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """part, segment, n_ids, doc_ids, data: the files, written to the shared
     folder in ascending order of doc_id (part, then segment, then position);
-    nulls first, rows with equal doc_id in the order of their texts."""
+    nulls first, rows with equal doc_id in the order of their texts, by whose
+    beginnings they are dealt out too. Only doc_id and text are read."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
-    dealt = plain.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "t")
+    dealt = plain.repartitionByRange(n, F.col("doc_id"), F.substring("t", 1, PREFIX)).sortWithinPartitions("doc_id", "t")
     return written(dealt.mapInArrow(_segments(path, end_id), "part long, segment long, n_ids long, doc_ids array<long>, data binary"), "op9-ids")
 
 
@@ -336,8 +346,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def op9_token_file(spark, sf_dir: str) -> DataFrame:
     """All documents' ids, written in ascending doc_id order and read back.
 
-    Null and empty texts hold the end id alone; every input row gives one row;
-    an empty table gives an empty result."""
+    Null and empty texts hold the end id alone; a text of any length is one
+    document, in as many blocks as it fills; every input row gives one row; an
+    empty table gives an empty result; other columns are not read."""
     import public_tokenizers
 
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
