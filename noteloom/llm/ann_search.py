@@ -1,390 +1,642 @@
-"""Nearest neighbours by inner product: exact products while the queries are
-few enough that these cost a row no more than a graph would, above that an
-approximation: a neighbour graph built by NN-descent, searched greedily. Both
-take the effort that the table needs: rounds end when few lists change, a query
-expands until the best of its pool are expanded, and the pool grows with n.
+"""Nearest neighbours by inner product: a neighbour graph built by NN-descent,
+searched greedily.
 
 Equal vectors are one node (of the smallest vec_id), so a vector that a third
 of the rows share is no hot group; a node keeps its k + 1 smallest ids, more
-can never be among a query's k. The graph starts from random-hyperplane leaves,
-then each round joins every node with neighbours of its neighbours, forward and
-backward, and keeps the best. A query starts at its own node; each round
-expands the best nodes of its pool that have not been expanded.
-
-Vectors never travel to candidates: nodes are dealt into shards of at most
-about SHARD vectors, a task holds one shard (of which there are at most COPIES
-where shards are few), and rows that ask for scores stream past it. No step gathers more than a shard, a leaf chunk or a bounded
-list.
+can never be among a query's k. Nodes are dealt into shards of about SHARD, and
+shards exchange messages, one row for each pair of shards that have something to
+say. A round of NN-descent is four exchanges:
+
+1. merge: each node keeps its NEIGHBOURS best, and tells a sample of them so;
+2. gather: each node makes a list of neighbours, forward and backward, new and
+   old, a bounded sample of each, and its shard asks for their vectors once;
+3. answer: shards send the vectors that were asked for, 8 bits a component;
+4. join: neighbours of one node are scored against each other, and a pair that
+   beats the worst neighbour of either is sent there.
+
+Rounds end when one changes under SETTLED of all neighbours. The graph starts
+from the leaves of random-hyperplane trees and from random groups, so every node
+has neighbours, in however many clusters the vectors lie. A query starts at its
+own node's neighbours; each step expands the best nodes of its pool that are
+not expanded, until the best half of the pool is, and the pool grows with the
+root of the number of nodes. Scores of the result are exact.
+
+A task holds one shard at a time: its nodes, bounded lists of each, and the
+vectors it has asked for. A hub is asked for once by a shard, and what is kept
+of its backward neighbours is capped before the shuffle and after it.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import dropped, table, written
-from noteloom.llm.topk_search import Best, by_width, clean_vectors
+from noteloom.llm.common import distinct, dropped, freed, joined_by_key, mix64, table, written
+from noteloom.llm.topk_search import clean_vectors
 
-NEIGHBOURS = 32
-TREES = 4
+NEIGHBOURS = 48
+TREES = 6
 LEAF = 512
-FINE = 40
-SETTLED = 0.02
-TASTE = 10
-SHARD = 16_384
-COPIES = 12
-EXPAND = 64
-POOL = 512
-POOL_ROWS = 16_384
-SCANNED = 200_000
-SCAN_BLOCK = 20_000
-SCAN_CHUNK = 2_000
-SCAN_ROWS = 8_192
-SPARE = 8
+RANDOM_GROUP = 128
+SHARD = 4096
+#: Neighbours of a list of each kind: new and old, forward; new and old, backward.
+SAMPLES = (18, 10, 14, 8)
+#: Of the improvements that a shard has for a node, the best so many are sent.
+SENT = 24
+SETTLED = 0.01
+EXPAND = 48
+POOL = 256
+POOL_NODES = 16_384
 SEED = 11
+_PAIRS = 1 << 16
 
-_LIST = "array<struct<s:float,id:long>>"
+_MESSAGE = "dst long, kind int, src long, a binary, b binary, c binary, d binary"
+_VECTORS, _GRAPH, _BETTER, _NOTICE, _LIST, _ASK, _ANSWER, _CHANGED, _POOL, _EXPAND, _MET, _TO_SCORE, _SCORED = range(13)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A list column whose lists have one length, as float32 rows."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+def _message(dst: int, kind: int, src: int, *parts: np.ndarray) -> tuple:
+    return (dst, kind, src, *(p.tobytes() for p in parts), *(None,) * (4 - len(parts)))
 
 
-def _lists(ids: list[np.ndarray], scores: list[np.ndarray]) -> pa.Array:
-    """Neighbour lists; s is the score negated, so that lists sort best first."""
-    edge = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    flat = pa.StructArray.from_arrays([pa.array(-np.concatenate([*scores, np.empty(0)]), pa.float32()), pa.array(np.concatenate([*ids, np.empty(0, np.int64)]).astype(np.int64))], ["s", "id"])
-    return pa.ListArray.from_arrays(edge, flat)
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    types = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["dst", "kind", "src", "a", "b", "c", "d"])
 
 
-def _leaves(depth: int, trees: int, seed: int):
+def _shards(batches) -> Iterator[tuple[int, dict[int, list[tuple]]]]:
+    """(shard, its messages by kind: (src, parts)) from rows sorted by dst."""
+    now, held = None, {}
+    for batch in batches:
+        for dst, kind, src, *parts in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if dst != now:
+                if held:
+                    yield now, held
+                now, held = dst, {}
+            held.setdefault(kind, []).append((src, parts))
+    if held:
+        yield now, held
+
+
+def _by_shard(step):
+    """mapInArrow function: step(shard, messages) gives the rows to send."""
+
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            column = batch.column("v")
-            width = np.diff(column.offsets.to_numpy())
-            for w in np.unique(width).tolist():
-                rows = pa.array(np.flatnonzero(width == w))
-                part = batch.take(rows)
-                x = _matrix(part.column("v"))
-                if w not in planes:
-                    planes[w] = np.random.default_rng([seed, w]).standard_normal((w, (depth + FINE) * trees)).astype(np.float32)
-                side = (x @ planes[w] > 0).reshape(len(x), trees, depth + FINE).astype(np.int64)
-                code = (side[:, :, :depth] << np.arange(depth)).sum(axis=2)
-                fine = (side[:, :, depth:] << np.arange(FINE)[::-1]).sum(axis=2)
-                for t in range(trees):
-                    leaf = pa.array((code[:, t] * trees + t) * 65536 + w)
-                    yield pa.RecordBatch.from_arrays([leaf, pa.array(fine[:, t].copy()), *part.columns], ["leaf", "fine", "node", "v"])
+        for dst, held in _shards(batches):
+            rows = step(dst, held)
+            for at in range(0, len(rows), 64):
+                yield _sent(rows[at : at + 64])
+            del rows, held
+        freed()
 
     return run
 
 
-def _within_leaves(k: int):
-    """Of rows sorted by leaf and, in it, by further hyperplanes: each node's
-    best in its leaf; of a leaf over 2 * LEAF rows, in runs of that many, which
-    the further hyperplanes keep together."""
+def shard_of(nodes: np.ndarray, width: int, shards: int) -> np.ndarray:
+    """Shards hold vectors of one length."""
+    return (mix64(nodes.view(np.uint64)) % np.uint64(shards)).astype(np.int64) | np.int64(width << 32)
 
-    def best(nodes: np.ndarray, x: np.ndarray):
-        score = x @ x.T
-        np.fill_diagonal(score, -np.inf)
-        n = min(k, len(nodes) - 1)
-        if n < 1:
-            return [np.empty(0, np.int64)] * len(nodes), [np.empty(0)] * len(nodes)
-        at = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        return list(nodes[at]), list(np.take_along_axis(score, at, axis=1))
 
-    def run(batches):
-        leaf, nodes, rows = None, [], []
+def _joined(messages: list[tuple], *types: str) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(parts[k], t) for _, parts in messages] or [np.empty(0, t)]) for k, t in enumerate(types)]
 
-        def flush():
-            ids, scores = best(np.array(nodes), np.stack(rows))
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(ids, scores)], ["node", "nbrs"])
 
-        for batch in batches:
-            values = batch.column("v")
-            for at, (name, node) in enumerate(zip(batch.column("leaf").to_pylist(), batch.column("node").to_pylist(), strict=True)):
-                if nodes and (name != leaf or len(nodes) >= 2 * LEAF):
-                    yield flush()
-                    nodes, rows = [], []
-                leaf = name
-                nodes.append(node)
-                rows.append(values[at].values.to_numpy(zero_copy_only=False).astype(np.float32))
-        if nodes:
-            yield flush()
+def _cut(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys)) if len(keys) else np.zeros(1, np.int64)
 
-    return run
 
+def _rank(keys: np.ndarray) -> np.ndarray:
+    """Place of each entry in its run of equal keys."""
+    edge = _cut(keys)
+    return np.arange(len(keys)) - np.repeat(edge[:-1], np.diff(edge))
 
-def _deal(shards: int):
-    """Asking rows (asker, v, cands), one for each shard with candidates."""
 
-    def run(batches):
-        for batch in batches:
-            cands = batch.column("cands")
-            flat = cands.flatten().to_numpy(zero_copy_only=False)
-            at = cands.offsets.to_numpy()
-            owner = np.repeat(np.arange(len(batch)), np.diff(at))
-            shard = _shard_of(flat, shards)
-            order = np.lexsort((shard, owner))
-            flat, owner, shard = flat[order], owner[order], shard[order]
-            new = np.flatnonzero(np.concatenate([[len(flat) > 0], (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])])[: len(flat)])
-            lists = pa.ListArray.from_arrays(np.append(new, len(flat)).astype(np.int32), pa.array(flat))
-            rows = pa.array(owner[new])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[new]), pa.array(np.ones(len(new), np.int32)), batch.column("asker").take(rows), batch.column("v").take(rows), lists], ["shard", "kind", "asker", "v", "cands"]
-            )
+def _to_shards(kind: int, src: int, shards: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """One message to each shard with its entries of the columns."""
+    order = np.argsort(shards, kind="stable")
+    shards, columns = shards[order], [c[order] for c in columns]
+    edge = _cut(shards)
+    return [_message(int(shards[a]), kind, src, *(c[a:b] for c in columns)) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
-    return run
+
+class _Vectors:
+    """Nodes of a shard, sorted, with their vectors."""
+
+    def __init__(self, messages: list[tuple], width: int):
+        ids, scale = _joined([(s, (p[0], p[2])) for s, p in messages], "<i8", "<f4")
+        (flat,) = _joined([(s, (p[1],)) for s, p in messages], "i1")
+        order = np.argsort(ids)
+        self.ids, self.scale, self.flat, self.order = ids[order], scale[order], flat.reshape(-1, width), order
+
+    def rows(self, nodes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, nodes)
+        return self.flat[self.order[at]].astype(np.float32) * self.scale[at][:, None]
+
+    def coded(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.ids, nodes)
+        return self.flat[self.order[at]], self.scale[at]
 
 
-def _shard_of(nodes: np.ndarray, shards: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        mixed = (nodes.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return (mixed % np.uint64(shards)).astype(np.int64)
+def _coded(column: pa.Array, width: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """8 bits a component and the scale, a share of the largest component of all."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) / most
+    scale = np.abs(x).max(axis=1) / 127
+    safe = np.where(scale > 0, scale, 1)
+    return np.rint(x / safe[:, None]).astype(np.int8), scale.astype(np.float32)
 
 
-def _named_shards(shards: int, copies: int):
+def _spread(shards: int, most: float):
+    """Vectors of the nodes, to their shards."""
+
     def run(batches):
         for batch in batches:
-            shard = _shard_of(batch.column("node").to_numpy(zero_copy_only=False), shards)
-            none = pa.nulls(len(batch), pa.list_(pa.int64()))
-            for c in range(copies):
-                kind = pa.array(np.zeros(len(batch), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(batch), c, np.int32)), kind, batch.column("node"), batch.column("v"), none], ["shard", "copy", "kind", "asker", "v", "cands"])
+            width = np.diff(batch.column("exact").offsets.to_numpy())
+            for w in distinct(width).tolist():
+                part = batch.take(pa.array(np.flatnonzero(width == w)))
+                nodes = part.column("node").to_numpy(zero_copy_only=False)
+                codes, scale = _coded(part.column("exact"), w, most)
+                yield _sent(_to_shards(_VECTORS, 0, shard_of(nodes, w, shards), nodes, codes, scale))
+        freed()
 
     return run
 
 
-def _score(k: int):
-    """Of rows sorted by shard, copy and kind: a shard's vectors, then who asks
-    for scores with some of them; each gets its k best."""
+def _planted(counts: dict[int, int], most: float):
+    """Each node once for each tree, by leaf and further hyperplanes, and once
+    for its random group. counts: nodes of each length."""
 
     def run(batches):
-        name, ids, parts, ready = None, [], [], None
+        planes: dict[int, np.ndarray] = {}
+        fine = 30
         for batch in batches:
-            key = list(zip(batch.column("shard").to_pylist(), batch.column("copy").to_pylist(), batch.column("kind").to_pylist(), strict=True))
-            cut = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if a == b:
-                    continue
-                part, (shard, copy, kind) = batch.slice(a, b - a), key[a]
-                if (shard, copy) != name:
-                    name, ids, parts, ready = (shard, copy), [], [], None
-                if kind == 0:
-                    ids.append(part.column("asker").to_numpy(zero_copy_only=False))
-                    parts += list(np.split(part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32), (part.column("v").offsets.to_numpy() - part.column("v").offsets.to_numpy()[0])[1:-1]))
-                    continue
-                if ready is None:
-                    node = np.concatenate(ids)
-                    order = np.argsort(node)
-                    width = {len(p) for p in parts}
-                    x = np.stack([parts[i] for i in order]) if len(width) == 1 else [parts[i] for i in order]
-                    ready, parts = (node[order], x), []
-                node, x = ready
-                flat = part.column("cands").flatten().to_numpy(zero_copy_only=False)
-                at = part.column("cands").offsets.to_numpy()
-                place = np.searchsorted(node, flat)
-                out_i, out_s = [], []
-                for r, (s, e) in enumerate(zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)):
-                    q = part.column("v")[r].values.to_numpy(zero_copy_only=False).astype(np.float32)
-                    rows = place[s:e]
-                    score = x[rows] @ q if isinstance(x, np.ndarray) else np.array([x[i] @ q for i in rows])
-                    c = flat[s:e]
-                    if len(c) > k:
-                        top = np.argpartition(-score, k)[:k]
-                        c, score = c[top], score[top]
-                    out_i.append(c)
-                    out_s.append(score)
-                yield pa.RecordBatch.from_arrays([part.column("asker"), _lists(out_i, out_s)], ["asker", "nbrs"])
+            width = np.diff(batch.column("exact").offsets.to_numpy())
+            for w in distinct(width).tolist():
+                part = batch.take(pa.array(np.flatnonzero(width == w)))
+                nodes = part.column("node").to_numpy(zero_copy_only=False)
+                codes, scale = _coded(part.column("exact"), w, most)
+                depth, groups = max(0, int(np.ceil(np.log2(counts[w] / LEAF)))), -(-counts[w] // RANDOM_GROUP)
+                if w not in planes:
+                    planes[w] = np.random.default_rng([SEED, w]).standard_normal((w, (depth + fine) * TREES)).astype(np.float32)
+                side = (codes.astype(np.float32) @ planes[w] > 0).reshape(len(nodes), TREES, depth + fine).astype(np.int64)
+                leaf = (side[:, :, :depth] << np.arange(depth)).sum(axis=2) * (TREES + 1) + np.arange(TREES)
+                order = (side[:, :, depth:] << np.arange(fine)[::-1]).sum(axis=2)
+                group = (mix64(nodes.view(np.uint64) ^ np.uint64(SEED)) % np.uint64(groups)).astype(np.int64) * (TREES + 1) + TREES
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(max(1, w)), len(nodes), [None, pa.py_buffer(codes.tobytes() or b"\0" * len(nodes))]).cast(pa.binary())
+                for name, at in [*((leaf[:, t], order[:, t]) for t in range(TREES)), (group, np.zeros(len(nodes), np.int64))]:
+                    columns = [pa.array(name), pa.array(np.full(len(nodes), w)), pa.array(at.copy()), part.column("node"), rows, pa.array(scale)]
+                    yield pa.RecordBatch.from_arrays(columns, ["leaf", "w", "fine", "node", "v", "scale"])
+        freed()
 
     return run
 
 
-class _Scorer:
-    def __init__(self, nodes: DataFrame, n: int):
-        self.tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.shards = max(1, -(-n // SHARD))
-        self.copies = max(1, min(COPIES, self.tasks // self.shards))
-        self.nodes = nodes.select("node", "v")
+def _best_of(nodes: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Node, neighbour, score of each node's k best among all."""
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    n = min(k, len(nodes) - 1)
+    at = np.argpartition(-score, n - 1, axis=1)[:, :n]
+    return np.repeat(nodes, n), nodes[at].ravel(), np.take_along_axis(score, at, axis=1).ravel()
 
-    def best(self, asking: DataFrame, k: int) -> DataFrame:
-        """asker, nbrs: for each row (asker, v, cands), up to k of every shard."""
-        held = self.nodes.mapInArrow(_named_shards(self.shards, self.copies), "shard long, copy int, kind int, asker long, v array<float>, cands array<long>")
-        asked = asking.select("asker", "v", "cands").mapInArrow(_deal(self.shards), "shard long, kind int, asker long, v array<float>, cands array<long>")
-        asked = asked.withColumn("copy", F.pmod(F.xxhash64("asker"), F.lit(self.copies)).cast("int")).select("shard", "copy", "kind", "asker", "v", "cands")
-        rows = held.unionAll(asked).repartition(self.tasks, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
-        return rows.mapInArrow(_score(k), f"asker long, nbrs {_LIST}")
 
+def _in_leaves(shards: int):
+    """Of rows sorted by leaf and further hyperplanes: each node's best in its
+    leaf; of a leaf over 2 * LEAF rows, in runs of LEAF to 2 * LEAF."""
 
-def _merged(lists: DataFrame, key: str, k: int) -> DataFrame:
-    """The k best different neighbours of each key over its few lists. Equal
-    ones are side by side once sorted: array_distinct would compare all pairs."""
-    every = lists.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("nbrs"))).alias("every"))
-    different = F.filter("every", lambda x, i: (i == 0) | (F.get("every", i - 1) != x))
-    return every.select(key, F.slice(different, 1, k).alias("nbrs"))
+    def run(batches):
+        name, held = None, []
 
+        def flush():
+            nodes = np.array([h[0] for h in held], dtype=np.int64)
+            if len(nodes) > 1:
+                x = np.frombuffer(b"".join(h[1] for h in held), "i1").reshape(len(nodes), -1)[:, : name[1] or 1].astype(np.float32) * np.array([h[2] for h in held], np.float32)[:, None]
+                to, other, score = _best_of(nodes, x, NEIGHBOURS)
+                yield _sent(_to_shards(_BETTER, 0, shard_of(to, name[1], shards), to, other, score.astype("<f4")))
 
-def _adjacency(graph: DataFrame, k: int, r: int = 0) -> DataFrame:
-    """node, adj: neighbours and up to k of those that name the node, others
-    for each r."""
-    forward = graph.select("node", F.explode("nbrs.id").alias("other"))
-    order = Window.partitionBy("other").orderBy(F.xxhash64("node", "other", F.lit(r)), "node")
-    backward = forward.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(F.col("other").alias("node"), F.col("node").alias("other"))
-    return forward.unionAll(backward).groupBy("node").agg(F.array_distinct(F.collect_list("other")).alias("adj"))
+        for batch in batches:
+            for leaf, w, node, v, scale in zip(*(batch.column(c).to_pylist() for c in ("leaf", "w", "node", "v", "scale")), strict=True):
+                if (leaf, w) != name:
+                    yield from flush()
+                    name, held = (leaf, w), []
+                elif len(held) >= 2 * LEAF:
+                    tail = held[LEAF:]
+                    held = held[:LEAF]
+                    yield from flush()
+                    held = tail
+                held.append((node, v, scale))
+        if name:
+            yield from flush()
+        freed()
 
+    return run
 
-def build_nodes(vectors: DataFrame, k: int) -> DataFrame:
-    """node, ids, v: the different vectors, with their k + 1 smallest ids."""
-    plain = clean_vectors(vectors).where(F.exists("v", lambda x: x != 0))
-    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    few = plain.withColumn("r", first).where(F.col("r") <= k + 1)
-    grouped = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return written(grouped.select(F.element_at("ids", 1).alias("node"), "ids", F.col("v").alias("exact"), F.col("v").cast("array<float>").alias("v")), "op10-nodes")
-
-
-def build_graph(nodes: DataFrame, scorer: _Scorer, n: int, k: int = NEIGHBOURS) -> DataFrame:
-    """node, nbrs: k neighbours of each node, best first. Rounds go on until
-    one brings less than SETTLED of all neighbours anew."""
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
-    leaves = nodes.select("node", "v").mapInArrow(_leaves(depth, TREES, SEED), "leaf long, fine long, node long, v array<float>")
-    dealt = leaves.repartition(scorer.tasks, "leaf").sortWithinPartitions("leaf", "fine")
-    graph = written(_merged(dealt.mapInArrow(_within_leaves(k), f"node long, nbrs {_LIST}"), "node", k), "op10-graph")
-    for r in count():
-        adj = written(_adjacency(graph, k, r), "op10-adjacency")
-        pairs = adj.select("node", F.explode("adj").alias("via"))
-        far = adj.select(F.col("node").alias("n2"), F.col("adj").alias("a2"))
-        start = F.pmod(F.xxhash64("node", "via", F.lit(r)), F.greatest(F.size("a2") - TASTE + 1, F.lit(1))).cast("int") + 1
-        met = pairs.join(far, F.col("via") == F.col("n2")).select("node", F.slice("a2", start, TASTE).alias("some"))
-        wide = met.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("some"))
-        known = graph.select(F.col("node").alias("g"), F.col("nbrs.id").alias("have"))
-        vectors = nodes.select(F.col("node").alias("m"), "v")
-        asking = (
-            wide.join(known, F.col("node") == F.col("g"))
-            .join(vectors, F.col("node") == F.col("m"))
-            .select(F.col("node").alias("asker"), "v", F.array_except("some", F.array_append("have", F.col("node"))).alias("cands"))
-        )
-        found = scorer.best(asking, k).select(F.col("asker").alias("node"), "nbrs")
-        after = written(_merged(graph.select("node", "nbrs").unionAll(found), "node", k), "op10-graph")
-        was = graph.select(F.col("node").alias("g"), F.col("nbrs.id").alias("have"))
-        anew = F.size(F.array_except("nbrs.id", "have"))
-        new, held = after.join(was, F.col("node") == F.col("g")).agg(F.sum(anew), F.sum(F.size("nbrs"))).first()
-        dropped(adj)
-        dropped(graph)
-        graph = after
-        if (new or 0) <= SETTLED * (held or 0):
-            return graph
-
-
-def _scan(sent, most: int):
-    """asker, near, s: each query's best of the nodes of a task, without those
-    that begin with its own id."""
 
+def _random(seed: int, *names: int) -> np.random.Generator:
+    return np.random.default_rng([seed % (1 << 32), *(n % (1 << 32) for n in names)])
+
+
+def _merge(shards: int, r: int):
+    """Graph rows (neighbours -1 where there are fewer) with the better ones
+    that arrived; how many changed; and notices to neighbours."""
+
+    def step(dst: int, held: dict) -> list[tuple]:
+        width, k = dst >> 32, NEIGHBOURS
+        to, other, score = _joined(held.get(_BETTER, []), "<i8", "<i8", "<f4")
+        fresh = np.ones(len(to), dtype=np.uint8)
+        if _GRAPH in held:
+            ids, near, s, new = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
+            real = s > -np.inf
+            owner = np.repeat(ids, k)[real]
+            to, other, score, fresh = np.concatenate([owner, to]), np.concatenate([near[real], other]), np.concatenate([s[real], score]), np.concatenate([new[real], fresh + 1])
+        else:
+            ids = distinct(to)
+        row = np.searchsorted(ids, to)
+        # entries of one pair: the one that is in the graph first, then the best
+        order = np.lexsort((-score, fresh, other, row))
+        row, other, score, fresh = row[order], other[order], score[order], fresh[order]
+        first = np.ones(len(row), dtype=bool)
+        first[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
+        row, other, score, fresh = row[first], other[first], score[first], fresh[first]
+        order = np.lexsort((-score, row))
+        row, other, score, fresh = row[order], other[order], score[order], fresh[order]
+        rank = _rank(row)
+        top = rank < k
+        row, other, score, fresh, rank = row[top], other[top], score[top], fresh[top], rank[top]
+        near, s, new = np.full((len(ids), k), -1, "<i8"), np.full((len(ids), k), -np.inf, "<f4"), np.zeros((len(ids), k), "u1")
+        near[row, rank], s[row, rank], new[row, rank] = other, score, fresh > 0
+        out = [_message(dst, _GRAPH, dst, ids, near, s, new), _message(dst, _CHANGED, dst, np.array([(fresh == 2).sum() if _GRAPH in held else len(row), len(row)], "<i8"))]
+        # backward samples: at most so many of each kind for a node from here
+        draw = _random(SEED, r, dst).random(len(row))
+        order = np.lexsort((draw, fresh == 0, other))
+        named, by, new_ = other[order], ids[row[order]], (fresh[order] > 0).astype("u1")
+        keep = _rank(named * 2 + (new_ == 0)) < np.where(new_ == 1, SAMPLES[2], SAMPLES[3])
+        return out + _to_shards(_NOTICE, dst, shard_of(named[keep], width, shards), named[keep], by[keep], new_[keep])
+
+    return _by_shard(step)
+
+
+def _gather(shards: int, r: int):
+    """Lists of neighbours, forward and backward; graph rows whose listed new
+    neighbours are old from now on; and questions for vectors."""
+
+    def step(dst: int, held: dict) -> list[tuple]:
+        width, k = dst >> 32, NEIGHBOURS
+        if _GRAPH not in held:
+            return []
+        ids, near, s, new = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
+        draw = _random(SEED, r, dst, 1)
+        row = np.repeat(np.arange(len(ids)), k)
+        place = np.flatnonzero(s > -np.inf)
+        order = place[np.lexsort((draw.random(len(place)), new[place] == 0, row[place]))]
+        keep = _rank(row[order] * 2 + (new[order] == 0)) < np.where(new[order] == 1, SAMPLES[0], SAMPLES[1])
+        order = order[keep]
+        to, by, is_new = _joined(held.get(_NOTICE, []), "<i8", "<i8", "u1")
+        at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+        back = np.lexsort((draw.random(len(to)), is_new == 0, at))
+        back = back[_rank(at[back] * 2 + (is_new[back] == 0)) < np.where(is_new[back] == 1, SAMPLES[2], SAMPLES[3])]
+        of = np.concatenate([row[order], at[back]])
+        member = np.concatenate([near[order], by[back]])
+        fresh = np.concatenate([new[order], is_new[back]])
+        sort = np.lexsort((fresh == 0, member, of))
+        of, member, fresh = of[sort], member[sort], fresh[sort]
+        first = np.ones(len(of), dtype=bool)
+        first[1:] = (of[1:] != of[:-1]) | (member[1:] != member[:-1])
+        of, member, fresh = of[first], member[first], fresh[first]
+        size = np.bincount(of, minlength=len(ids)).astype("<i4")
+        new = new.copy()
+        new[order] = 0
+        wanted = distinct(member)
+        out = [_message(dst, _GRAPH, dst, ids, near, s, new), _message(dst, _LIST, dst, size, member, fresh)]
+        out += [_message(dst, _CHANGED, src, np.frombuffer(p[0], "<i8")) for src, p in held.get(_CHANGED, [])]
+        return out + _to_shards(_ASK, dst, shard_of(wanted, width, shards), wanted)
+
+    return _by_shard(step)
+
+
+def _answer(step_seed: int):
+    """The vectors that were asked for, with the score of the worst neighbour."""
+
+    def step(dst: int, held: dict) -> list[tuple]:
+        out = [_message(dst, _LIST, dst, *(np.frombuffer(x, t) for x, t in zip(p, ("<i4", "<i8", "u1"), strict=False))) for _, p in held.get(_LIST, [])]
+        if _ASK in held:
+            v = _Vectors(held[_VECTORS], dst >> 32)
+            ids, _, s, _ = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
+            worst = s.reshape(len(ids), NEIGHBOURS).min(axis=1)
+            for src, p in held[_ASK]:
+                nodes = np.frombuffer(p[0], "<i8")
+                codes, scale = v.coded(nodes)
+                out.append(_message(src, _ANSWER, dst, nodes, codes, scale, worst[np.searchsorted(ids, nodes)]))
+        return out
+
+    return _by_shard(step)
+
+
+def _join(shards: int):
+    """Members of one list against each other, where one of them is new."""
+
+    def step(dst: int, held: dict) -> list[tuple]:
+        if _LIST not in held or _ANSWER not in held:
+            return []
+        width = dst >> 32
+        v = _Vectors(held[_ANSWER], width)
+        _, _, _, worst = _joined(held[_ANSWER], "<i8", "i1", "<f4", "<f4")
+        worst = worst[v.order]
+        size, member, fresh = _joined(held[_LIST], "<i4", "<i8", "u1")
+        place = np.searchsorted(v.ids, member)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        found = []
+        for n in distinct(size).tolist():
+            if n < 2:
+                continue
+            lists = np.flatnonzero(size == n)
+            for lo in range(0, len(lists), max(1, _PAIRS // n)):
+                at = edge[lists[lo : lo + max(1, _PAIRS // n)]][:, None] + np.arange(n)
+                who, new = place[at], fresh[at]
+                x = v.flat[v.order[who]].astype(np.float32) * v.scale[who][:, :, None]
+                score = np.matmul(x, x.transpose(0, 2, 1))
+                better = (score > worst[who][:, :, None]) & ((new[:, :, None] | new[:, None, :]) == 1)
+                better[:, np.arange(n), np.arange(n)] = False
+                i, a, b = np.nonzero(better)
+                found.append((who[i, a], who[i, b], score[i, a, b]))
+        if not found:
+            return []
+        to, other, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        pair = to * len(v.ids) + other
+        order = np.argsort(pair)
+        order = order[_cut(pair[order])[:-1]]
+        to, other, score = to[order], other[order], score[order]
+        order = np.lexsort((-score, to))
+        order = order[_rank(to[order]) < SENT]
+        nodes = v.ids[to[order]]
+        return _to_shards(_BETTER, dst, shard_of(nodes, width, shards), nodes, v.ids[other[order]], score[order].astype("<f4"))
+
+    return _by_shard(step)
+
+
+class Graph:
+    """The neighbour graph of a table of nodes (node, exact)."""
+
+    def __init__(self, nodes: DataFrame, n: int):
+        spark = nodes.sparkSession
+        self.n = n
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.shards = max(1, -(-n // SHARD), min(2 * tasks, n // 1024))
+        most = float(nodes.agg(F.max(F.array_max(F.transform("exact", F.abs)))).first()[0] or 1.0)
+        self.vectors = written(self.sent(nodes.select("node", "exact").mapInArrow(_spread(self.shards, most), _MESSAGE)), "op10-vectors")
+        counts = {r["w"]: r["n"] for r in nodes.groupBy(F.size("exact").alias("w")).agg(F.count("*").alias("n")).collect()}
+        leaves = nodes.select("node", "exact").mapInArrow(_planted(counts, most), "leaf long, w long, fine long, node long, v binary, scale float")
+        better = leaves.repartition(max(tasks, self.shards), "leaf", "w").sortWithinPartitions("leaf", "w", "fine", "node").mapInArrow(_in_leaves(self.shards), _MESSAGE)
+        now, self.rounds = None, 0
+        while True:
+            after = written(self.exchange(self.exchange(better, _merge(self.shards, self.rounds)), _gather(self.shards, self.rounds)), "op10-graph")
+            changed = sum((np.frombuffer(r["a"], "<i8") for r in after.where(f"kind = {_CHANGED}").select("a").collect()), np.zeros(2, np.int64))
+            if now is not None:
+                dropped(now)
+            now = after
+            if self.rounds and changed[0] <= SETTLED * changed[1] or not changed[1]:
+                break
+            self.rounds += 1
+            asked = now.where(f"kind in ({_GRAPH}, {_LIST}, {_ASK})").unionAll(self.vectors)
+            joined = self.exchange(self.exchange(asked, _answer(self.rounds)), _join(self.shards))
+            better = joined.unionAll(now.where(f"kind = {_GRAPH}"))
+        self.rows = now
+
+    def sent(self, messages: DataFrame) -> DataFrame:
+        return messages.repartition(self.shards, "dst").sortWithinPartitions("dst")
+
+    def exchange(self, messages: DataFrame, step) -> DataFrame:
+        return self.sent(messages).mapInArrow(step, _MESSAGE)
+
+
+def _links_back(shards: int):
+    """Notices of all neighbours, for the links that a search follows."""
+
+    def step(dst: int, held: dict) -> list[tuple]:
+        if _GRAPH not in held:
+            return []
+        ids, near, s, _ = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
+        real = s > -np.inf
+        to, by = near[real], np.repeat(ids, NEIGHBOURS)[real]
+        order = np.lexsort((mix64(by.view(np.uint64) ^ mix64(to.view(np.uint64))), to))
+        order = order[_rank(to[order]) < NEIGHBOURS]
+        return [_message(dst, _GRAPH, dst, ids, near, s), *_to_shards(_NOTICE, dst, shard_of(to[order], dst >> 32, shards), to[order], by[order])]
+
+    return _by_shard(step)
+
+
+def _links(dst: int, held: dict) -> list[tuple]:
+    """Node, number of links, links: forward, and NEIGHBOURS backward at most."""
+    if _GRAPH not in held:
+        return []
+    ids, near, s = _joined(held[_GRAPH], "<i8", "<i8", "<f4")
+    to, by = _joined(held.get(_NOTICE, []), "<i8", "<i8")
+    order = np.lexsort((mix64(by.view(np.uint64) ^ mix64(to.view(np.uint64))), to))
+    order = order[_rank(to[order]) < NEIGHBOURS]
+    real = s > -np.inf
+    of = np.concatenate([np.repeat(np.arange(len(ids)), NEIGHBOURS)[real], np.searchsorted(ids, to[order])])
+    link = np.concatenate([near[real], by[order]])
+    order = np.lexsort((link, of))
+    of, link = of[order], link[order]
+    first = np.ones(len(of), dtype=bool)
+    first[1:] = (of[1:] != of[:-1]) | (link[1:] != link[:-1])
+    return [_message(dst, _LIST, dst, ids, np.bincount(of[first], minlength=len(ids)).astype("<i4"), link[first])]
+
+
+def _start(dst: int, held: dict) -> list[tuple]:
+    """Pools (asker, neighbour, score, 0) of the nodes that ask: their neighbours."""
+    if _ASK not in held or _GRAPH not in held:  # nodes that no other is comparable with
+        return []
+    ids, near, s, _ = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
+    asking = distinct(_joined(held[_ASK], "<i8")[0])
+    rows = np.searchsorted(ids, asking)
+    asking, rows = asking[rows < len(ids)], rows[rows < len(ids)]
+    asking, rows = asking[ids[rows] == asking], rows[ids[rows] == asking]
+    near, s = near.reshape(len(ids), -1)[rows], s.reshape(len(ids), -1)[rows]
+    real = s > -np.inf
+    owner = np.repeat(asking, NEIGHBOURS)[real.ravel()]
+    return [_message(dst, _POOL, dst, owner, near[real], s[real], np.zeros(len(owner), "u1"))]
+
+
+def _expanding(size: int, shards: int):
+    """Pools with the scored that arrived (state 0; expanded: 1; met, but not
+    among the best `size`: 2), and whom each expands next."""
+
+    def step(dst: int, held: dict) -> list[tuple]:
+        if _POOL not in held:
+            return []
+        of, near, s, state = _joined([*held[_POOL], *held.get(_SCORED, [])], "<i8", "<i8", "<f4", "u1")
+        order = np.lexsort((near, -s, state == 2, of))
+        of, near, s, state = of[order], near[order], s[order], state[order].copy()
+        rank = _rank(of)
+        state[(rank >= size) & (state == 0)] = 2
+        s[state == 2] = -np.inf
+        best = np.flatnonzero((state == 0) & (rank < size // 2))
+        best = best[_rank(of[best]) < max(EXPAND, size // 8)]
+        state[best] = 1
+        out = [_message(dst, _POOL, dst, of, near, s, state)]
+        return out + _to_shards(_EXPAND, dst, shard_of(near[best], dst >> 32, shards), of[best], near[best])
+
+    return _by_shard(step)
+
+
+def _meet(dst: int, held: dict) -> list[tuple]:
+    """The links of the nodes to expand, back to the shards of those who ask."""
+    out = [_message(dst, _POOL, dst, *_joined(held[_POOL], "<i8", "<i8", "<f4", "u1"))] if _POOL in held else []
+    if _EXPAND not in held:
+        return out
+    ids, size, link = _joined(held[_LIST], "<i8", "<i4", "<i8")
+    edge = np.concatenate([[0], np.cumsum(size)])
+    for src, p in held[_EXPAND]:
+        of, node = np.frombuffer(p[0], "<i8"), np.frombuffer(p[1], "<i8")
+        row = np.searchsorted(ids, node)
+        n = size[row]
+        at = np.repeat(edge[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out.append(_message(src, _MET, dst, np.repeat(of, n), link[at]))
+    return out
+
+
+def _asking(shards: int):
+    """Those met for the first time, to their shards, with the asker's vector."""
+
+    def step(dst: int, held: dict) -> list[tuple]:
+        if _POOL not in held:
+            return []
+        of, near, s, state = _joined(held[_POOL], "<i8", "<i8", "<f4", "u1")
+        out = [_message(dst, _POOL, dst, of, near, s, state)]
+        by, met = _joined(held.get(_MET, []), "<i8", "<i8")
+        known = np.concatenate([np.zeros(len(of), bool), np.ones(len(by), bool)])
+        of, near = np.concatenate([of, by]), np.concatenate([near, met])
+        order = np.lexsort((known, near, of))
+        of, near, known = of[order], near[order], known[order]
+        first = np.ones(len(of), dtype=bool)
+        first[1:] = (of[1:] != of[:-1]) | (near[1:] != near[:-1])
+        keep = first & known & (of != near)
+        of, near = of[keep], near[keep]
+        if not len(of):
+            return out
+        v = _Vectors(held[_VECTORS], dst >> 32)
+        where = shard_of(near, dst >> 32, shards)
+        order = np.lexsort((of, where))
+        of, near, where = of[order], near[order], where[order]
+        edge = _cut(where)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            cut = _cut(of[a:b])
+            askers = of[a:b][cut[:-1]]
+            codes, scale = v.coded(askers)
+            out.append(_message(int(where[a]), _TO_SCORE, dst, askers, np.concatenate([np.diff(cut).astype("<i8"), near[a:b]]), codes, scale))
+        return out
+
+    return _by_shard(step)
+
+
+def _scoring(size: int):
+    """Scores of those met, the best `size` of each asker; of the others only
+    that they were met."""
+
+    def step(dst: int, held: dict) -> list[tuple]:
+        width = dst >> 32
+        out = [_message(dst, _POOL, dst, *_joined(held[_POOL], "<i8", "<i8", "<f4", "u1"))] if _POOL in held else []
+        if _TO_SCORE not in held:
+            return out
+        v = _Vectors(held[_VECTORS], width)
+        for src, (askers, rest, codes, scale) in held[_TO_SCORE]:
+            askers, rest = np.frombuffer(askers, "<i8"), np.frombuffer(rest, "<i8")
+            n, near = rest[: len(askers)], rest[len(askers) :]
+            q = np.frombuffer(codes, "i1").reshape(-1, width).astype(np.float32) * np.frombuffer(scale, "<f4")[:, None]
+            of = np.repeat(np.arange(len(askers)), n)
+            s = np.empty(len(of), "<f4")
+            for lo in range(0, len(of), _PAIRS):
+                hi = min(lo + _PAIRS, len(of))
+                s[lo:hi] = np.einsum("ij,ij->i", v.rows(near[lo:hi]), q[of[lo:hi]])
+            out.append(_message(src, _SCORED, dst, askers[of], near, s, np.zeros(len(of), "u1")))
+        return out
+
+    return _by_shard(step)
+
+
+def _best_nodes(most: int):
     def run(batches):
-        held = {w: [(names, q, Best(len(names), most)) for names, q in chunks] for w, chunks in sent.value.items()}
-        for whole in batches:
-            for at in range(0, len(whole), SCAN_CHUNK):
-                for nodes, x in by_width(whole.slice(at, SCAN_CHUNK), "node", "exact"):
-                    for names, q, best in held.get(x.shape[1], ()):
-                        score = q @ x.T
-                        score[names[:, None] == nodes[None, :]] = -np.inf
-                        cut = best.floor[:, None]
-                        if score.shape[1] > most and np.isinf(best.floor).any():
-                            cut = np.maximum(cut, np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most, None])
-                        a, b = np.nonzero((score >= cut) & (score > -np.inf))
-                        best.add(a, score[a, b], nodes[b])
-        for chunks in held.values():
-            for names, _, best in chunks:
-                query, score, ids = best.rows
-                yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(score.astype(np.float64))], ["asker", "near", "s"])
+        for _, held in _shards(batches):
+            of, near, s, state = _joined(held[_POOL], "<i8", "<i8", "<f4", "u1")
+            real = state < 2
+            of, near, s = of[real], near[real], s[real]
+            order = np.lexsort((near, -s, of))
+            of, near = of[order], near[order]
+            top = _rank(of) < most
+            of, near = of[top], near[top]
+            edge = _cut(of)
+            yield pa.RecordBatch.from_arrays([pa.array(of[edge[:-1]]), pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(near))], ["home", "near"])
 
     return run
 
 
-def _scanned(nodes: DataFrame, n: int, asked: DataFrame, queries: int, k: int) -> DataFrame:
-    """asker, near: by exact products with all nodes, the k best of each query
-    and SPARE more, as sums round in another order here; and the nodes that
-    begin with the query's own id but have others."""
-    spark, most = nodes.sparkSession, k + SPARE
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SCAN_ROWS)))
-    dealt = nodes.select("node", "exact").repartition(tasks)
-    order = Window.partitionBy("asker").orderBy(F.desc("s"), "near")
-    own = nodes.where(F.exists("ids", lambda x: x != F.col("node"))).select(F.col("node").alias("near"))
-    out = asked.join(own, F.col("vec_id") == F.col("near")).select(F.col("vec_id").alias("asker"), "near")
-    blocks = max(1, -(-queries // SCAN_BLOCK))
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        got: dict[int, list] = {}
-        for batch in mine.toArrow().combine_chunks().to_batches():
-            for names, q in by_width(batch, "vec_id", "q"):
-                got.setdefault(q.shape[1], []).extend((names[i : i + SCAN_CHUNK], q[i : i + SCAN_CHUNK]) for i in range(0, len(names), SCAN_CHUNK))
-        sent = spark.sparkContext.broadcast(got)
-        found = dealt.mapInArrow(_scan(sent, most), "asker long, near long, s double")
-        out = out.unionAll(written(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("asker", "near"), "op10-scan"))
-        sent.destroy()
-    return out
+def search(graph: Graph, homes: DataFrame, k: int) -> DataFrame:
+    """home, near (nodes, best first): up to 3 * k nodes that a greedy search of
+    the graph finds for each node `home`, without itself."""
+    size = max(POOL, int(POOL * np.sqrt(graph.n / POOL_NODES)), 6 * k)
+    shards, vectors = graph.shards, graph.vectors
+
+    def ask(batches):
+        for batch in batches:
+            home, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "width"))
+            for w in distinct(width).tolist():
+                some = home[width == w]
+                yield _sent(_to_shards(_ASK, 0, shard_of(some, w, shards), some))
+
+    nodes = graph.rows.where(f"kind = {_GRAPH}")
+    asked = homes.mapInArrow(ask, _MESSAGE)
+    links = written(graph.exchange(graph.exchange(nodes, _links_back(shards)), _by_shard(_links)), "op10-links")
+    pool = written(graph.exchange(graph.exchange(nodes.unionAll(asked), _by_shard(_start)), _expanding(size, shards)), "op10-pool")
+    while pool.where(f"kind = {_EXPAND}").limit(1).count():
+        met = graph.exchange(pool.unionAll(links), _by_shard(_meet))
+        scored = graph.exchange(graph.exchange(met.unionAll(vectors), _asking(shards)).unionAll(vectors), _scoring(size))
+        after = written(graph.exchange(scored, _expanding(size, shards)), "op10-pool")
+        dropped(pool)
+        pool = after
+    dropped(links)
+    return pool.where(f"kind = {_POOL}").repartition(shards, "dst").sortWithinPartitions("dst").mapInArrow(_best_nodes(3 * k), "home long, near array<long>")
 
 
-def _walked(nodes: DataFrame, n: int, asked: DataFrame, k: int) -> DataFrame:
-    """asker, near: the best 3 * k nodes of each query that a greedy search of
-    the graph meets. A query is done when its best nodes, as many as half its
-    pool, are all expanded; the pool grows with the root of n."""
-    scorer = _Scorer(nodes, n)
-    graph = build_graph(nodes, scorer, n)
-    adj = written(_adjacency(graph, NEIGHBOURS), "op10-adjacency")
-    dropped(graph)
-    size = max(POOL, int(POOL * np.sqrt(n / POOL_ROWS)), 6 * k)
-    home = nodes.select(F.col("node").alias("home"), F.col("exact").alias("e"))
-    queries = written(asked.join(home, F.col("q") == F.col("e")).select(F.col("vec_id").alias("asker"), F.col("q").cast("array<float>").alias("v"), "home"), "op10-queries")
-    # the own node first: it is in the pool and expanded in the first step
-    pool = queries.select("asker", F.array(F.struct(F.lit(float("-inf")).cast("float").alias("s"), F.col("home").alias("id"))).alias("nbrs"), F.array().cast("array<long>").alias("done"))
-    before = None
-    while True:
-        front = F.slice(F.array_except(F.slice(F.col("nbrs.id"), 1, size // 2), "done"), 1, max(EXPAND, size // 8))
-        pool = written(pool.withColumn("front", front), "op10-pool")
-        if before is not None:
-            dropped(before)
-        before = pool
-        if not pool.where(F.size("front") > 0).limit(1).count():
-            return pool.select("asker", F.explode(F.slice(F.col("nbrs.id"), 1, 3 * k)).alias("near"))
-        steps = pool.select("asker", F.explode("front").alias("at")).join(adj, F.col("at") == F.col("node"))
-        met = steps.groupBy("asker").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("met"))
-        asking = (
-            met.join(pool.select(F.col("asker").alias("a"), F.col("nbrs.id").alias("have")), F.col("asker") == F.col("a"))
-            .join(queries.select(F.col("asker").alias("b"), "v"), F.col("asker") == F.col("b"))
-            .select("asker", "v", F.array_except("met", "have").alias("cands"))
-        )
-        found = scorer.best(asking, size)
-        merged = _merged(pool.select("asker", "nbrs").unionAll(found), "asker", size)
-        done = pool.select(F.col("asker").alias("c"), F.array_union("done", "front").alias("done"))
-        pool = merged.join(done, F.col("asker") == F.col("c")).select("asker", "nbrs", "done")
+def build_nodes(vectors: DataFrame, k: int) -> DataFrame:
+    """node, ids, exact: the different vectors, with their k + 1 smallest ids."""
+    plain = clean_vectors(vectors).where(F.exists("v", lambda x: x != 0))
+    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = plain.withColumn("r", first).where(F.col("r") <= k + 1)
+    grouped = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    return written(grouped.select(F.element_at("ids", 1).alias("node"), "ids", F.col("v").alias("exact")), "op10-nodes")
 
 
 def nearest(vectors: DataFrame, chosen: F.Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that `chosen` holds for, the
-    k nearest among all others by inner product in doubles, ties to the smaller
-    vec_id: exact for up to SCANNED queries, the nearest found above that.
+    k nearest found among all others by inner product in doubles, ties to the
+    smaller vec_id.
 
     Rows that are null, zero, have a null id, or null or non-finite components
-    take no part. Rows that share a query's vec_id count as its own. With
-    fewer than k candidates all reachable ones are returned. Vectors of
-    different lengths are never compared. An empty table gives an empty result.
+    take no part. Rows that share a query's vec_id count as its own; of several
+    query rows of an id the least vector is taken. With fewer than k candidates
+    all are returned. Vectors of different lengths are never compared. Products
+    beyond the range of doubles are infinite. An empty table gives an empty
+    result. Other columns are not read.
     """
     nodes = build_nodes(vectors, k)
-    n = nodes.count()
     asked = written(clean_vectors(vectors.where(chosen)).where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("q")), "op10-asked")
-    queries = asked.count()
-    last = _scanned(nodes, n, asked, queries, k) if queries <= SCANNED else _walked(nodes, n, asked, k)
+    by_vector = asked.groupBy(F.col("q").alias("e")).agg(F.count("*").alias("n"))
+    homes = written(by_vector.join(nodes.select("node", "exact", "ids"), F.col("e") == F.col("exact")).select("e", "n", F.col("node").alias("home"), F.size("e").cast("long").alias("width")), "op10-homes")
+    graph = Graph(nodes, nodes.count())
+    found = written(search(graph, homes.select("home", "width"), k), "op10-found")
+    near = homes.join(found.withColumnRenamed("home", "h"), F.col("home") == F.col("h"), "left").select("e", "n", F.array_union(F.array("home"), F.coalesce("near", F.array().cast("array<long>"))).alias("near"))
+    pairs = joined_by_key(asked, "q", written(near, "op10-near"), "e", "n", asked.count())
     exact = nodes.select(F.col("node").alias("m"), "ids", "exact")
     score = F.aggregate(F.zip_with("q", "exact", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     rows = (
-        last.join(asked.select(F.col("vec_id").alias("a"), "q"), F.col("asker") == F.col("a"))
-        .join(exact, F.col("near") == F.col("m"))
-        .select(F.col("asker").alias("query_id"), F.explode("ids").alias("vec_id"), score.alias("score"))
+        pairs.select("vec_id", "q", F.explode("near").alias("at"))
+        .join(exact, F.col("at") == F.col("m"))
+        .select(F.col("vec_id").alias("query_id"), F.explode("ids").alias("vec_id"), score.alias("score"))
         .where("vec_id <> query_id")
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
