@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from noteloom.llm.near_copies import near_copies
 from noteloom.llm.packing import pack_documents
 from noteloom.llm.quality import ACCEPT, score_quality
-from noteloom.llm.simhash import near_duplicate_groups
 from noteloom.llm.substring_dedup import remove_repeated_passages
 from noteloom.llm.toxicity import THRESHOLD, score_toxicity
 
@@ -32,7 +32,7 @@ def test_stages_do_what_their_operators_decide(spark):
         elif name == "toxicity":
             kept = {r.doc_id for r in score_toxicity(now, labels).collect() if r.score < THRESHOLD}
         elif name == "near_dedup":
-            kept = {r.doc_id for r in near_duplicate_groups(now).collect() if r.doc_id == r.component_id}
+            kept = {r.doc_id for r in near_copies(now).collect() if r.doc_id == r.component_id}
         else:
             cut = {r.doc_id: r for r in remove_repeated_passages(now).collect()}
             kept = set(cut)

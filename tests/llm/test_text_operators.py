@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from noteloom.llm import simhash
+from noteloom.llm import common, near_copies, simhash
 from noteloom.llm.automaton import SuffixAutomaton, remove_reference_passages
 from noteloom.llm.components import connected_components
 from noteloom.llm.substring_dedup import remove_repeated_passages
@@ -161,3 +161,120 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert {n: r for n, r in got.items() if n != r} == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+@pytest.mark.parametrize("hot", [(1000, 100), (3, 2)])
+def test_components_with_hot_nodes(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_SHARE", hot[0])
+    monkeypatch.setattr(common, "LEAST_HOT", hot[1])
+    edges = [(0, i) for i in range(1, 60)] + [(500, i) for i in range(501, 560)] + [(i, 1000 + i) for i in range(0, 560, 7)] + [(None, 3), (3, None)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    adjacent = defaultdict(set)
+    for a, b in edges[:-2]:
+        adjacent[a].add(b)
+        adjacent[b].add(a)
+    want = {}
+    for n in sorted(adjacent):
+        if n not in want:
+            held = [n]
+            while held:
+                x = held.pop()
+                if x not in want:
+                    want[x] = n
+                    held += adjacent[x]
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
+def shingles(text, size=5):
+    w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def similar_components(pairs, least=0.8):
+    """Least doc_id that each set reaches, over (doc_id, set)."""
+    sets = list({s for _, s in pairs})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= least * len(a | sets[j]):
+                root[find(i)] = find(j)
+    names = defaultdict(list)
+    number = {s: i for i, s in enumerate(sets)}
+    for doc, s in pairs:
+        names[find(number[s])].append(doc)
+    return [(doc, min(names[find(number[s])])) for doc, s in pairs]
+
+
+def edited(rng, words, k):
+    words = list(words)
+    for i in rng.sample(range(len(words)), k):
+        words[i] = f"new{rng.random()}"
+    return words
+
+
+@pytest.fixture(scope="module")
+def copies():
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = [(9000, None), (9001, ""), (9002, " \t"), (9003, "one"), (9004, "ONE"), (9005, "two three"), (9006, "same id"), (9006, "of another text"), (9006, "of another text"), (9007, "b a " * 300_000), (9008, "b a " * 30)]
+    doc = 0
+    for _ in range(40):
+        own = rng.choices(vocabulary, k=rng.randint(100, 400))
+        for k in (0, 1, 2, 3, 30):
+            doc += 1
+            rows.append((doc, " ".join(edited(rng, own, k)).upper() if k == 2 else "  ".join(edited(rng, own, k))))
+        rows.append((doc + 5000, " ".join(own + rng.choices(vocabulary, k=len(own) // 8))))
+    return rows
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_near_copies_equal_brute_force(spark, copies, monkeypatch, most):
+    monkeypatch.setattr(near_copies, "MOST_PAIRED", most)
+    monkeypatch.setattr(near_copies, "BLOCK", 2 if most == 3 else near_copies.BLOCK)
+    # as workers import the module anew, what they use is passed in a closure
+    met = near_copies._met
+    if most == 3:
+
+        def few(batches):
+            near_copies.MOST_PAIRED = 3
+            yield from met(batches)
+
+        monkeypatch.setattr(near_copies, "_met", few)
+    df = spark.createDataFrame([*copies, (None, "no id")], "doc_id long, text string").select("*", *(F.lit(1).alias(c) for c in ("digest", "s0", "sid", "root", "component_id", "n", "k", "t"))).repartition(4)
+    got = sorted((r.doc_id, r.component_id) for r in near_copies.near_copies(df).collect())
+    assert got == sorted(similar_components([(d, shingles(t)) for d, t in copies]))
+
+
+def test_one_row_of_each_group_stays(spark, copies):
+    rows = [(d, t, "x") for d, t in copies]
+    df = spark.createDataFrame([*rows, (None, None, "y"), (None, "no id", None)], "doc_id long, text string, lang string").repartition(4)
+    named = similar_components([(d, shingles(t)) for d, t in copies])
+    want = {}
+    for (d, t), (_, name) in zip(copies, named, strict=True):
+        key = (name, d != name)
+        if not key[1] and d != 9006:
+            want[d] = t
+    got = near_copies.one_of_each(df, ("text", "lang")).collect()
+    assert {r.doc_id: r.text for r in got if r.doc_id not in (None, 9006)} == want
+    # one id with two unrelated texts: both stay, one of the repeated row
+    assert sorted(r.text for r in got if r.doc_id == 9006) == ["of another text", "same id"]
+    assert sum(r.doc_id is None for r in got) == 2
+    assert near_copies.one_of_each(df.where("false"), ("text", "lang")).count() == 0
+    plain = spark.createDataFrame([(1, "a b c", "x"), (2, "A  b c", "y"), (3, None, None)], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, near_copies.one_of_each(plain, ("text", "lang")).collect())) == [(1, "a b c", "x"), (3, None, None)]
+
+
+def test_votes():
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 2000).astype(np.uint64)
+    edge = np.array([0, 1, 700, 1999, 2000])
+    got = near_copies.votes(h, edge)
+    for i in range(4):
+        assert got[i].tolist() == [int(((h[edge[i] : edge[i + 1]] >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
