@@ -49,7 +49,7 @@ SAMPLES = (18, 10, 14, 8)
 SENT = 24
 SETTLED = 0.01
 EXPAND = 48
-POOL = 256
+POOL = 160
 POOL_NODES = 16_384
 SEED = 11
 _PAIRS = 1 << 16
@@ -476,7 +476,7 @@ def _expanding(size: int, shards: int):
         state[(rank >= size) & (state == 0)] = 2
         s[state == 2] = -np.inf
         best = np.flatnonzero((state == 0) & (rank < size // 2))
-        best = best[_rank(of[best]) < max(EXPAND, size // 8)]
+        best = best[_rank(of[best]) < max(EXPAND, size // 3)]
         state[best] = 1
         out = [_message(dst, _POOL, dst, of, near, s, state)]
         return out + _to_shards(_EXPAND, dst, shard_of(near[best], dst >> 32, shards), of[best], near[best])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import table, written
-from noteloom.llm.tokens import encoder, text_runs
+from noteloom.llm.tokens import ROWS, encoder
 
 SIZE = 1024
 END_ID = 0
@@ -85,10 +85,11 @@ def _pieces(path: str, size: int):
         ranks: dict[int, int] = {}
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
-            for i, j in text_runs(texts):
+            ids = batch.column("doc_id").to_pylist()
+            for i in range(0, len(batch), ROWS):
+                j = min(i + ROWS, len(batch))
                 rows = []
-                for doc, raw in zip(ids[i:j], tokens.encode([t or "" for t in texts[i:j]]), strict=True):
+                for doc, raw in zip(ids[i:j], tokens.encode(batch.column("t").slice(i, j - i)), strict=True):
                     raw = memoryview(raw + end)
                     total = len(raw) // 4
                     for at in range(0, total, size):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import freed, table, written
-from noteloom.llm.tokens import encoder, text_runs
+from noteloom.llm.tokens import ROWS, encoder
 
 BLOCK = 2048
 LANES = 2048
@@ -44,7 +44,8 @@ _U = np.uint64
 _SLOTS1, _SLOTS2 = 1024, 512
 #: Bits of an order 0 frequency and of a weight.
 _FINE, _PARTS = 18, 12
-_MOST_WEIGHT = (1 << _PARTS) - 64
+_MOST_WEIGHT = np.int32((1 << _PARTS) - 64)
+_FRESH = np.int32(1 + (1 << 17))
 _RATE = 4
 _WORD, _LOW = _U(32), _U((1 << 32) - 1)
 _HEAD = "<4sHIIQIII"
@@ -58,11 +59,10 @@ class Frequencies:
 
     def __init__(self, known: np.ndarray, share: np.ndarray):
         self.known, self.share = known, share
-        size = int(known.max(initial=0)) + 2
         # one place before each id, as -1 stands for no prediction
-        self.f = np.zeros(size, dtype=np.int64)
+        self.f = np.zeros((1 << 16) + 1, dtype=np.int32)
         self.f[known + 1] = share
-        self.c = np.cumsum(self.f) - self.f
+        self.c = (np.cumsum(self.f) - self.f).astype(np.int32)
         self.slot = np.repeat(known, share).astype(np.int32)
 
     @classmethod
@@ -83,46 +83,56 @@ class Frequencies:
         return cls(np.cumsum(both[0]), both[1])
 
 
+# slots of the contexts, by id
+_ID = np.arange(1 << 16, dtype=np.int64)
+_CONTEXT1 = (_ID * 40503 >> 4) & (_SLOTS1 - 1)
+_LAST2, _BEFORE2 = (_ID * 30011 >> 3) & (_SLOTS2 - 1), (_ID * 7919 >> 2) & (_SLOTS2 - 1)
+# by 2 * confidence + whether the prediction was right: kept, and what is added to the entry then
+_KEPT = np.array([False, False, False, True, True, True, True, True])
+_STEP = np.array([0, 0, 0, 1, -1, 1, -1, 0], dtype=np.int32) << 17
+
+
 class _Models:
     """The adaptive models of n blocks, all reset. Prediction entries hold an id
     plus one and, above 17 bits, a confidence of 1 to 3; 0: nothing seen."""
 
     def __init__(self, n: int):
-        lane = np.arange(n, dtype=np.int32)
+        lane = np.arange(n, dtype=np.int64)
         self.one = np.zeros(n * _SLOTS1, dtype=np.int32)
         self.two = np.zeros(n * _SLOTS2, dtype=np.int32)
         self.weight = np.tile(_FIRST, n)
         self.lane1, self.lane2, self.lane16 = lane * _SLOTS1, lane * _SLOTS2, lane * 16
-        self.last = np.zeros(n, dtype=np.int32)
-        self.before = np.zeros(n, dtype=np.int32)
+        self.at1, self.at2 = self.lane1 + _CONTEXT1[0], self.lane2 + (_LAST2[0] ^ _BEFORE2[0])
+        self.before2 = np.full(n, _BEFORE2[0])
 
     def shrink(self, n: int) -> None:
         """Keep the first n blocks."""
-        for name in ("lane1", "lane2", "lane16", "last", "before"):
+        for name in ("lane1", "lane2", "lane16", "at1", "at2", "before2"):
             setattr(self, name, getattr(self, name)[:n])
 
     def look(self) -> None:
         """Predictions and weights for the next id of each block."""
-        self.at1 = self.lane1 + ((self.last * 40503 >> 4) & (_SLOTS1 - 1))
-        self.at2 = self.lane2 + ((self.last * 30011 + self.before * 7919 >> 3) & (_SLOTS2 - 1))
-        self.p1, self.p2 = self.one[self.at1], self.two[self.at2]
+        self.p1, self.p2 = self.one.take(self.at1), self.two.take(self.at2)
         self.id1, self.id2 = (self.p1 & 0x1FFFF) - 1, (self.p2 & 0x1FFFF) - 1
         self.sure1, self.sure2 = self.p1 >> 17, self.p2 >> 17
         self.at_w = self.lane16 + (self.sure2 << 2 | self.sure1)
-        w = self.weight[self.at_w]
+        w = self.weight.take(self.at_w)
         self.w1, self.w2 = w & 0xFFFF, w >> 16
         self.w0 = (1 << _PARTS) - self.w1 - self.w2
 
-    def learn(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        """Where both predictions were right, the weight of order 2 grows."""
-        w1 = self.w1 + ((hit1 & ~hit2) * np.int32(_MOST_WEIGHT) - self.w1 >> _RATE)
-        w2 = self.w2 + (hit2 * np.int32(_MOST_WEIGHT) - self.w2 >> _RATE)
+    def learn(self, ids: np.ndarray, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        """Where both predictions were right, the weight of order 2 grows. ids:
+        x in 64 bits."""
+        w1 = self.w1 + ((hit1 > hit2) * _MOST_WEIGHT - self.w1 >> _RATE)
+        w2 = self.w2 + (hit2 * _MOST_WEIGHT - self.w2 >> _RATE)
         self.weight[self.at_w] = w2 << 16 | w1
-        fresh = x + np.int32(1 + (1 << 17))
+        fresh = x + _FRESH
         for slots, at, hit, sure, old in ((self.one, self.at1, hit1, self.sure1, self.p1), (self.two, self.at2, hit2, self.sure2, self.p2)):
-            kept = old + np.where(hit, sure < 3, np.int32(-1)) * np.int32(1 << 17)
-            slots[at] = np.where(hit | (sure > 1), kept, fresh)
-        self.before, self.last = self.last, x
+            case = (sure << 1) + hit
+            slots[at] = np.where(_KEPT.take(case), old + _STEP.take(case), fresh)
+        self.at1 = self.lane1 + _CONTEXT1.take(ids)
+        self.at2 = self.lane2 + (_LAST2.take(ids) ^ self.before2)
+        self.before2 = _BEFORE2.take(ids)
 
 
 class _Coder:
@@ -134,17 +144,18 @@ class _Coder:
     def narrow(self, unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
         """Take the interval; the blocks whose top word is settled."""
         n = len(unit)
-        self.low[:n] += unit * start.view(np.uint64)
-        np.multiply(unit, width.view(np.uint64), out=self.span[:n])
+        self.low[:n] += unit * start.astype(np.uint64)
+        np.multiply(unit, width.astype(np.uint64), out=self.span[:n])
         return np.flatnonzero(self.span[:n] <= _LOW)
 
     def shift(self, which: np.ndarray) -> np.ndarray:
         """Shift the top words out; a span across two of them is cut short."""
-        low, span = self.low[which], self.span[which]
-        across = (low + span) >> _WORD != low >> _WORD
+        low, span = self.low.take(which), self.span.take(which)
+        top = low >> _WORD
+        across = (low + span) >> _WORD != top
         span = np.where(across, (~low + _U(1)) & _LOW, span)
         self.low[which], self.span[which] = low << _WORD, span << _WORD
-        return low >> _WORD
+        return top
 
 
 def _steps(sizes: np.ndarray):
@@ -163,18 +174,19 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, base: Frequencies) -> list
     m, coder = _Models(n), _Coder(n)
     out, at = np.zeros((n, longest + 2), dtype="<u4"), np.zeros(n, dtype=np.int64)
     for step, live in _steps(sizes):
-        if live < len(m.last):
+        if live < len(m.at1):
             m.shrink(live)
         x = columns[step, :live]
+        wide = x.astype(np.int64)
+        place = wide + 1
         m.look()
         hit1, hit2 = x == m.id1, x == m.id2
-        place = x + np.int32(1)
-        start = m.w0 * base.c[place] + (((x > m.id1) * m.w1 + (x > m.id2) * m.w2).astype(np.int64) << _FINE)
-        width = m.w0 * base.f[place] + ((hit1 * m.w1 + hit2 * m.w2).astype(np.int64) << _FINE)
+        start = m.w0 * base.c.take(place) + ((x > m.id1) * m.w1 + (x > m.id2) * m.w2 << _FINE)
+        width = m.w0 * base.f.take(place) + (hit1 * m.w1 + hit2 * m.w2 << _FINE)
         which = coder.narrow(coder.span[:live] >> _U(_FINE + _PARTS), start, width)
-        out[which, at[which]] = coder.shift(which)
+        out[which, at.take(which)] = coder.shift(which)
         at[which] += 1
-        m.learn(x, hit1, hit2)
+        m.learn(wide, x, hit1, hit2)
     lanes = np.arange(n)
     out[lanes, at], out[lanes, at + 1] = coder.low >> _WORD, coder.low & _LOW
     return [out[k, : at[k] + 2].tobytes() for k in range(n)]
@@ -189,34 +201,38 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, base: Frequencies) -
     code = words[at] << _WORD | words[at + 1]
     at += 2
     m, coder = _Models(n), _Coder(n)
-    most = len(words) - 1
+    most, last = len(words) - 1, len(base.slot) - 1
     for step, live in _steps(sizes):
-        if live < len(m.last):
+        if live < len(m.at1):
             m.shrink(live)
         m.look()
         unit = coder.span[:live] >> _U(_FINE + _PARTS)
-        v = ((code[:live] - coder.low[:live]) // np.maximum(unit, _U(1))).view(np.int64)
-        # with the lesser prediction a and the greater b: before a, a, between, b, behind
-        swap, same = m.id1 > m.id2, m.id1 == m.id2
-        a, b = np.minimum(m.id1, m.id2), np.maximum(m.id1, m.id2)
-        wa = np.where(same, m.w1 + m.w2, np.where(swap, m.w2, m.w1)).astype(np.int64) << _FINE
-        wb = np.where(same, 0, np.where(swap, m.w1, m.w2)).astype(np.int64) << _FINE
-        pa_, pb = a + np.int32(1), b + np.int32(1)
-        from_a, from_b = m.w0 * base.c[pa_], m.w0 * base.c[pb] + wa
-        to_a, to_b = from_a + m.w0 * base.f[pa_] + wa, from_b + m.w0 * base.f[pb] + wb
-        is_a, is_b = (v >= from_a) & (v < to_a), (v >= from_b) & (v < to_b)
-        other = (v - np.where(v >= to_a, wa, 0) - np.where(v >= to_b, wb, 0)) / m.w0
-        x = np.where(is_a, a, np.where(is_b, b, base.slot[np.clip(other.astype(np.int64), 0, len(base.slot) - 1)]))
+        v = ((code[:live] - coder.low[:live]) // np.maximum(unit, _U(1))).astype(np.int32)
+        big1, big2 = m.w1 << _FINE, m.w2 << _FINE
+        place1, place2 = m.id1 + np.int64(1), m.id2 + np.int64(1)
+        # the intervals of both predictions; if they are the same, of both as one
+        from1 = m.w0 * base.c.take(place1) + (m.id1 > m.id2) * big2
+        from2 = m.w0 * base.c.take(place2) + (m.id2 > m.id1) * big1
+        to1 = from1 + m.w0 * base.f.take(place1) + big1
+        to2 = from2 + m.w0 * base.f.take(place2) + big2
+        same = m.id1 == m.id2
+        to1 += same * big2
+        to2 += same * big1
+        behind1, behind2 = v >= to1, v >= to2
+        other = ((v - behind1 * big1 - behind2 * big2) / m.w0).astype(np.int64)
+        x = base.slot.take(np.minimum(np.maximum(other, 0), last))
+        x = np.where((v >= from1) > behind1, m.id1, np.where((v >= from2) > behind2, m.id2, x))
+        wide = x.astype(np.int64)
+        place = wide + 1
         hit1, hit2 = x == m.id1, x == m.id2
-        place = x + np.int32(1)
-        start = m.w0 * base.c[place] + (((x > m.id1) * m.w1 + (x > m.id2) * m.w2).astype(np.int64) << _FINE)
-        width = m.w0 * base.f[place] + ((hit1 * m.w1 + hit2 * m.w2).astype(np.int64) << _FINE)
+        start = m.w0 * base.c.take(place) + ((x > m.id1) * m.w1 + (x > m.id2) * m.w2 << _FINE)
+        width = m.w0 * base.f.take(place) + (hit1 * m.w1 + hit2 * m.w2 << _FINE)
         which = coder.narrow(unit, start, width)
         coder.shift(which)
-        code[which] = code[which] << _WORD | words[np.minimum(at[which], most)]
+        code[which] = code.take(which) << _WORD | words.take(np.minimum(at.take(which), most))
         at[which] += 1
         columns[step, :live] = x
-        m.learn(x, hit1, hit2)
+        m.learn(wide, x, hit1, hit2)
     return np.ascontiguousarray(columns.T).ravel()[: int(sizes.sum())]
 
 
@@ -290,9 +306,10 @@ def _segments(path: str, end_id: int):
             return pa.RecordBatch.from_arrays(columns, ["part", "segment", "n_ids", "doc_ids", "data"])
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
-            for i, j in text_runs(texts):
-                for doc, raw in zip(ids[i:j], tokens.encode([t or "" for t in texts[i:j]]), strict=True):
+            ids = batch.column("doc_id").to_pylist()
+            for i in range(0, len(batch), ROWS):
+                j = min(i + ROWS, len(batch))
+                for doc, raw in zip(ids[i:j], tokens.encode(batch.column("t").slice(i, j - i)), strict=True):
                     docs.append(doc)
                     held.append(raw + end)
                     size += len(held[-1])

@@ -1,27 +1,33 @@
 """Token ids of whole texts, equal to those of the tokenizers library.
 
 No pre-token of these vocabularies spans a joint between two words, so ids are
-looked up word by word and only words that a worker has not met are encoded,
-many at a time. Texts with unusual white space, and words with special tokens
-or uncommon letters, go to the library itself.
+looked up word by word: words are found and hashed (64 bits) as arrays, their
+ids lie in a hash table of arrays, and only words that a worker has not met are
+made strings and encoded, many at a time. Texts with unusual white space, and
+words with special tokens or uncommon letters, go to the library itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import regex
 import tiktoken
 
-#: Words whose ids a worker keeps; beyond that it starts anew.
-MOST_KEPT = 100_000
+from noteloom.llm.common import LOWER, Texts, mix64, slices
+
+#: Words whose ids a worker keeps at most; beyond that it starts anew.
+MOST_KEPT = 800_000
+#: Texts that are encoded together.
+ROWS = 512
 
 _GPT_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-_SPACES = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", *_ODD)
 _WIDE = ("\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　")
 
 
@@ -32,6 +38,75 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+_ALPHA = np.zeros(256, dtype=bool)
+_ALPHA[65:91] = _ALPHA[97:123] = True
+_CONTROL = np.zeros(256, dtype=bool)
+_CONTROL[28:32] = True
+
+
+def _strange(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Bytes that a word of the regular kind has not: those that may begin a
+    special token, separators that are no white space to Spark, characters from
+    U+0250 on, U+0130, which lower-cases to two, and wide spaces below that."""
+    after = np.append(data[1:], 0) if len(data) else data
+    out = marks[data] | _CONTROL[data] | (data > 0xC9) | (data == 0xC9) & (after >= 0x90) | (data == 0xC4) & (after == 0xB0)
+    return out | (data == 0xC2) & ((after == 0x85) | (after == 0xA0))
+
+
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans, each with a mark behind it, and their sizes with it."""
+    sizes = ends - starts + 1
+    ahead = np.cumsum(sizes) - sizes
+    at = np.minimum(np.repeat(starts - ahead, sizes) + np.arange(int(sizes.sum())), len(data) - 1)
+    out = data[at]
+    out[ahead + sizes - 1] = mark
+    return out, sizes
+
+
+class _Words:
+    """Ids by 64-bit hash, by open addressing. A length of -1 marks words whose
+    text must be encoded as a whole."""
+
+    BITS = 21
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(1 << self.BITS, dtype=np.uint64)
+        self.start = np.zeros(1 << self.BITS, dtype=np.int64)
+        self.length = np.zeros(1 << self.BITS, dtype=np.int32)
+        self.pool = np.zeros(1 << 16, dtype="<u4")
+        self.n = self.used = 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each hash, and whether it is there."""
+        slot = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64)
+        held = self.hashes[slot]
+        hit = held == hashes
+        live = np.flatnonzero(~hit & (held != 0))
+        while len(live):
+            slot[live] = (slot[live] + 1) & ((1 << self.BITS) - 1)
+            held = self.hashes[slot[live]]
+            hit[live] = held == hashes[live]
+            live = live[~hit[live] & (held != 0)]
+        return slot, hit
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Different hashes that are not there, and their ids one after another."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * (self.used + len(ids)), dtype="<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        size = np.maximum(lengths, 0)
+        start = self.used + np.cumsum(size) - size
+        self.used, self.n = self.used + len(ids), self.n + len(hashes)
+        slot, live = (hashes >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(hashes))
+        while len(live):
+            free = live[self.hashes[slot[live]] == 0]
+            self.hashes[slot[free]] = hashes[free]
+            done = live[self.hashes[slot[live]] == hashes[live]]
+            self.start[slot[done]], self.length[slot[done]] = start[done], lengths[done]
+            live = live[self.hashes[slot[live]] != hashes[live]]
+            slot[live] = (slot[live] + 1) & ((1 << self.BITS) - 1)
+
+
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian 32-bit bytes."""
 
@@ -44,107 +119,147 @@ class Encoder:
             spec = json.load(f)
         self.by_word = spec["model"].get("end_of_word_suffix") == "</w>"
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.marks = np.zeros(256, dtype=bool)
+        self.marks[[t.encode()[0] for t in self.special if t]] = True
         letters, suffix = _byte_letters(), "</w>"
         ranks = {}
         for token, i in spec["model"]["vocab"].items():
             ends = self.by_word and token.endswith(suffix) and len(token) > len(suffix)
             ranks[bytes(letters[c] for c in (token[: -len(suffix)] if ends else token)) + b" " * ends] = i
-        self.core = tiktoken.Encoding("own", pat_str="[^ ]+ " if self.by_word else _GPT_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.core = tiktoken.Encoding("own", pat_str="[^ \\n]+ " if self.by_word else _GPT_SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         self.ends = np.zeros(len(self.width), dtype=bool)
         for token, i in ranks.items():
             self.width[i] = len(token)
             self.ends[i] = token.endswith(b" ")
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _slow(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.words = _Words()
+        self.newline = None if self.by_word else self._slow("\n")
 
-    def _plain(self, word: str) -> bool:
-        return (word.isascii() or max(word) < "ɐ") and not any(s in word for s in self.special)
+    def _slow(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Words of a vocabulary with word ends: those of the regular kind are
-        encoded in one string, a space standing for each word's end."""
-        import unicodedata
+    def _one_by_one(self, run: Texts, units: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Ids and lengths of units that the library must see, in order."""
+        raw, got = run.data, []
+        for k, (a, b) in enumerate(zip(run.starts[units].tolist(), run.ends[units].tolist(), strict=True)):
+            w = raw[a:b].tobytes().decode("utf-8", "surrogateescape")
+            if kinds is None:
+                got.append(self._slow(w))
+            elif any(c in w for c in _ODD) or any(c in w for c in _WIDE):
+                got.append(None)
+            else:
+                kind = int(kinds[units[k]])
+                got.append(self._slow(" " + w) if kind == 0 else self._slow(w) if kind == 1 else np.concatenate([self.newline, self._slow(w)]))
+        lengths = np.array([-1 if g is None else len(g) for g in got], dtype=np.int64)
+        return np.concatenate([g for g in got if g is not None] or [np.empty(0, "<u4")]), lengths
 
-        parts, counts, plain = [], [], []
-        for w in words:
-            found = _WORD_SPLIT.findall(unicodedata.normalize("NFC", w).lower()) if self._plain(w) and "İ" not in w else []
-            if not found:
-                self.inner[w] = self._slow(w)
+    def _together(self, run: Texts, units: np.ndarray, kinds: np.ndarray | None) -> list[tuple[np.ndarray, ...]]:
+        """(units, ids, lengths) of units of the regular kind, each kind of them
+        encoded in one string."""
+        out = []
+        if kinds is None:
+            if not len(units):
+                return out
+            data, sizes = _joined(run.data, run.starts[units], run.ends[units], ord("a"))
+            word = np.logical_and.reduceat(_ALPHA[data], np.cumsum(sizes) - sizes)
+            for own, split in ((units[word], False), (units[~word], True)):
+                if not len(own):
+                    continue
+                data, _ = _joined(run.data, run.starts[own], run.ends[own], 10 if split else 32)
+                text, counts = LOWER[data].tobytes().decode(), np.ones(len(own), np.int64)
+                if split:
+                    text = _WORD_SPLIT.sub(r"\g<0> ", unicodedata.normalize("NFC", text).lower())
+                    marks = np.frombuffer(text.encode(), np.uint8)
+                    spaces = np.cumsum(marks == 32)[marks == 10]
+                    counts = np.diff(spaces, prepend=0)
+                ids = np.array(self.core.encode_ordinary(text), dtype="<u4")
+                stop = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+                out.append((own, ids, np.diff(stop[np.concatenate([[0], np.cumsum(counts)])])))
+            return out
+        for own, mark, skip in ((units[kinds[units] == 0], 32, 0), (units[kinds[units] == 1], 10, 1), (units[kinds[units] == 2], 10, 0)):
+            if not len(own):
                 continue
-            parts += found
-            counts.append(len(found))
-            plain.append(w)
-        if not plain:
-            return
-        ids = np.array(self.core.encode_ordinary(" ".join(parts) + " "), dtype="<u4")
-        stop = np.flatnonzero(self.ends[ids]) + 1
-        cut = stop[np.cumsum(counts) - 1].tolist()
-        raw, at = ids.tobytes(), 0
-        for w, to in zip(plain, cut, strict=True):
-            self.inner[w] = raw[4 * at : 4 * to]
-            at = to
-
-    def _learn_bytes(self, words: list[str]) -> None:
-        """Words that follow one space, encoded in one string."""
-        plain = [w for w in words if self._plain(w)]
-        for w in words:
-            if not self._plain(w):
-                self.inner[w] = self._slow(" " + w)
-        if not plain:
-            return
-        ids = np.array(self.core.encode_ordinary(" " + " ".join(plain)), dtype="<u4")
-        sizes = np.fromiter((len(w.encode()) + 1 for w in plain), np.int64, len(plain))
-        cut = (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1).tolist()
-        raw, at = ids.tobytes(), 0
-        for w, to in zip(plain, cut, strict=True):
-            self.inner[w] = raw[4 * at : 4 * to]
-            at = to
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) > MOST_KEPT:
-            self.inner.clear()
-        if len(self.first) > MOST_KEPT:
-            self.first.clear()
-        return self._encode_words(texts) if self.by_word else self._encode_bytes(texts)
-
-    def _encode_words(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-        met = set().union(*(s for s in split if s))
-        self._learn_words([w for w in met if w not in self.inner])
-        get = self.inner.__getitem__
-        return [self._slow(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-
-    def _encode_bytes(self, texts: list[str]) -> list[bytes]:
-        split: list[list[list[str]] | None] = []
-        for t in texts:
-            odd = not t or t[0] in " \n" or t[-1] in " \n" or any(c in t for c in _SPACES) or not t.isascii() and any(c in t for c in _WIDE)
-            split.append(None if odd else [line.split(" ") for line in t.split("\n")])
-        met = set().union(*(line[1:] for s in split if s for line in s))
-        self._learn_bytes([w for w in met if w not in self.inner])
-        get, first, out = self.inner.__getitem__, self.first, []
-        newline = self._newline
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append(self._slow(t))
-                continue
-            lines = []
-            for line in s:
-                head = line[0]
-                if head not in first:
-                    first[head] = self._slow(head)
-                lines.append(first[head] + b"".join(map(get, line[1:])))
-            out.append(newline.join(lines))
+            data, sizes = _joined(run.data, run.starts[own], run.ends[own], mark)
+            ids = np.array(self.core.encode_ordinary(chr(mark) + data[:-1].tobytes().decode()), dtype="<u4")
+            cut = np.concatenate([[0], np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1])
+            if skip:  # the line break before each, which is an id of its own
+                ids = np.delete(ids, cut[:-1])
+                cut = cut - np.arange(len(cut))
+            out.append((own, ids, np.diff(cut)))
         return out
 
-    @property
-    def _newline(self) -> bytes:
-        if "\n" not in self.first:
-            self.first["\n"] = self._slow("\n")
-        return self.first["\n"]
+    def _learn(self, run: Texts, hashes: np.ndarray, kinds: np.ndarray | None) -> np.ndarray:
+        """The slots of all units of a run, once those not met are added."""
+        slot, hit = self.words.find(hashes)
+        new = np.flatnonzero(~hit)
+        if not len(new):
+            return slot
+        if self.words.n > MOST_KEPT:
+            self.words = _Words()
+            new = np.arange(len(hashes))
+        order = np.argsort(hashes[new])
+        new = new[order]
+        first = np.ones(len(new), dtype=bool)
+        first[1:] = hashes[new[1:]] != hashes[new[:-1]]
+        new = new[first]
+        data, sizes = _joined(run.data, run.starts[new], run.ends[new], 32)
+        at = np.cumsum(sizes) - sizes
+        regular = ~np.logical_or.reduceat(_strange(data, self.marks), at)
+        for own, ids, lengths in self._together(run, new[regular], kinds):
+            self.words.add(hashes[own], ids, lengths)
+        others = new[~regular]
+        self.words.add(hashes[others], *self._one_by_one(run, others, kinds))
+        return self.words.find(hashes)[0]
+
+    def _run(self, run: Texts, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts, and where each text's begin."""
+        n, count = len(run.first) - 1, np.diff(run.first)
+        text = np.repeat(np.arange(n), count)
+        hashes, kinds = run.hashes, None
+        whole = np.zeros(n, dtype=bool)
+        if not self.by_word:
+            # one space or line break between words, none at the ends
+            before = np.where(run.starts > 0, run.data[np.maximum(run.starts - 1, 0)], 0)
+            heads = run.first[:-1][count > 0]
+            gap = np.empty(len(text), dtype=np.int64)
+            gap[1:] = run.starts[1:] - run.ends[:-1]
+            gap[heads] = run.starts[heads] - run.offsets[:-1][count > 0] + 1
+            kinds = np.where(before == 10, 2, 0)
+            kinds[heads] = 1
+            odd = (gap != 1) | (kinds == 0) & (before != 32)
+            whole[text[odd]] = True
+            whole[count > 0] |= run.ends[run.first[1:][count > 0] - 1] != run.offsets[1:][count > 0]
+            whole[count == 0] |= np.diff(run.offsets)[count == 0] > 0
+            hashes = mix64(hashes ^ kinds.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        hashes = np.where(hashes == 0, np.uint64(1), hashes)
+        slot = self._learn(run, hashes, kinds)
+        length = self.words.length[slot].astype(np.int64)
+        whole[text[length < 0]] = True
+        length[whole[text]] = 0
+        own = np.bincount(text, length, minlength=n).astype(np.int64)
+        slow = {i: self._slow(column[i].as_py() or "") for i in np.flatnonzero(whole).tolist()}
+        for i, ids in slow.items():
+            own[i] = len(ids)
+        edge = np.concatenate([[0], np.cumsum(own)])
+        out = np.empty(edge[-1], dtype="<u4")
+        # the place of each unit's first id: units of a text follow each other
+        ahead = np.cumsum(length) - length
+        place = edge[text] + ahead - ahead[run.first[:-1][text]] if len(text) else ahead
+        start = self.words.start[slot]
+        step = np.arange(int(length.sum()))
+        out[np.repeat(place - ahead, length) + step] = self.words.pool[np.repeat(start - ahead, length) + step]
+        for i, ids in slow.items():
+            out[edge[i] : edge[i + 1]] = ids
+        return out, edge
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out: list[bytes] = []
+        for i, j, run in slices(column, 1 << 19):
+            ids, edge = self._run(run, column.slice(i, j - i))
+            raw, cut = ids.tobytes(), (4 * edge).tolist()
+            out += [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -236,21 +236,44 @@ def copies():
 @pytest.mark.parametrize("most", [64, 3])
 def test_near_copies_equal_brute_force(spark, copies, monkeypatch, most):
     monkeypatch.setattr(near_copies, "MOST_PAIRED", most)
-    monkeypatch.setattr(near_copies, "BLOCK", 2 if most == 3 else near_copies.BLOCK)
     # as workers import the module anew, what they use is passed in a closure
-    met = near_copies._met
-    if most == 3:
+    met, central = near_copies._met, near_copies._central
+
+    def few(batches):
+        near_copies.MOST_PAIRED = most
+        yield from met(batches)
+
+    def centred(names):
+        run = central(names)
+
+        def few_centres(batches):
+            near_copies.MOST_PAIRED, near_copies.BLOCK = most, 5
+            yield from run(batches)
 
-        def few(batches):
-            near_copies.MOST_PAIRED = 3
-            yield from met(batches)
+        return few_centres
 
+    if most == 3:
         monkeypatch.setattr(near_copies, "_met", few)
+        monkeypatch.setattr(near_copies, "_central", centred)
     df = spark.createDataFrame([*copies, (None, "no id")], "doc_id long, text string").select("*", *(F.lit(1).alias(c) for c in ("digest", "s0", "sid", "root", "component_id", "n", "k", "t"))).repartition(4)
     got = sorted((r.doc_id, r.component_id) for r in near_copies.near_copies(df).collect())
     assert got == sorted(similar_components([(d, shingles(t)) for d, t in copies]))
 
 
+def test_many_copies_of_one_text(spark):
+    """Copies with changes of their own are similar to the text, not always to
+    each other: all are one component, without all their pairs."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(edited(rng, base, 6))) for i in range(1, 301)] + [(5000 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(300))) for i in range(50)]
+    sets = {d: shingles(t) for d, t in rows}
+    apart = sum(len(sets[i] & sets[i + 1]) < 0.8 * len(sets[i] | sets[i + 1]) for i in range(1, 300))
+    assert apart > 250
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(similar_components([(d, shingles(t)) for d, t in rows]))
+    assert sum(c == 0 for c in got.values()) == 301
+
+
 def test_one_row_of_each_group_stays(spark, copies):
     rows = [(d, t, "x") for d, t in copies]
     df = spark.createDataFrame([*rows, (None, None, "y"), (None, "no id", None)], "doc_id long, text string, lang string").repartition(4)
