@@ -54,24 +54,38 @@ def provider(name: str, **options) -> EmbeddingProvider:
     return _PROVIDERS[name](**options)
 
 
-def embed(text: Column, source: EmbeddingProvider) -> Column:
-    """Vectors of texts; null for null texts and failed batches."""
-
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def embedded(text: Column, source: EmbeddingProvider) -> Column:
+    """struct(vec, error) of texts. A batch that fails is tried again text by
+    text, so a bad text costs no other its vector; its error stays with it.
+    Both are null for a null text."""
+
+    def one(t: str) -> dict:
+        try:
+            return {"vec": list(source.embed([t])[0]), "error": None}
+        except Exception as e:
+            return {"vec": None, "error": f"{type(e).__name__}: {e}"}
+
+    @F.pandas_udf("vec array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out: list[list[float] | None] = [None] * len(texts)
-            some = [i for i, t in enumerate(texts) if t is not None]
+            some = [t for t in texts if t is not None]
             try:
-                for i, v in zip(some, source.embed([texts.iloc[i] for i in some]), strict=True):
-                    out[i] = v
+                found = [{"vec": list(v), "error": None} for v in source.embed(some)] if some else []
+                if len(found) != len(some):
+                    raise ValueError(f"{len(found)} vectors for {len(some)} texts")
             except Exception:
-                out = [None] * len(texts)
-            yield pd.Series(out)
+                found = [one(t) for t in some]
+            left = iter(found)
+            yield pd.DataFrame([{"vec": None, "error": None} if t is None else next(left) for t in texts], columns=["vec", "error"])
 
     return run(text)
 
 
+def embed(text: Column, source: EmbeddingProvider) -> Column:
+    """Vectors of texts; null for null texts and those that fail."""
+    return embedded(text, source)["vec"]
+
+
 def rewrite(raw: DataFrame, source: TextProvider, prompt: str, most: int = 4000) -> DataFrame:
     """rel, hash, text, error of raw(rel, hash, content); errors stay in their row."""
 
@@ -88,6 +102,8 @@ def rewrite(raw: DataFrame, source: TextProvider, prompt: str, most: int = 4000)
     return raw.select("rel", "hash", "content").mapInPandas(run, "rel string, hash string, text string, error string")
 
 
-def expansions(text: str | None) -> list[str]:
-    """The first three lines with text of a reply, 120 characters each."""
-    return [line.strip()[:120] for line in (text or "").split("\n") if line.strip()][:3]
+def expansions(reply: Column) -> Column:
+    """The first three lines with text of a reply, 120 characters each; none
+    for a null reply."""
+    lines = F.transform(F.split(F.coalesce(reply, F.lit("")), "\n"), lambda line: F.left(F.regexp_replace(line, r"^\s+|\s+$", ""), F.lit(120)))
+    return F.slice(F.filter(lines, lambda line: line != ""), 1, 3)

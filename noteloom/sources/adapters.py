@@ -16,7 +16,11 @@ SCHEMA = "content string, filename string"
 
 
 class Adapter(Protocol):
-    """A source of (content, filename) pairs, made without arguments."""
+    """A source of (content, filename) pairs, made without arguments.
+
+    It may have parts() -> list of strings and fetch_part(part): then each part
+    is a task of its own.
+    """
 
     def fetch(self) -> Iterator[tuple[str, str]]: ...
 
@@ -29,15 +33,23 @@ def load_adapter(dotted: str) -> Adapter:
     return getattr(importlib.import_module(module), name)()
 
 
+class _Part(InputPartition):
+    def __init__(self, part: str | None):
+        super().__init__(part)
+        self.part = part
+
+
 class _Reader(DataSourceReader):
     def __init__(self, dotted: str):
         self.dotted = dotted
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
+        adapter = load_adapter(self.dotted)
+        return [_Part(p) for p in adapter.parts()] or [_Part(None)] if hasattr(adapter, "parts") else [_Part(None)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        yield from load_adapter(self.dotted).fetch()
+    def read(self, partition: _Part) -> Iterator[tuple[str, str]]:
+        adapter = load_adapter(self.dotted)
+        yield from adapter.fetch() if partition.part is None else adapter.fetch_part(partition.part)
 
 
 class AdapterSource(DataSource):

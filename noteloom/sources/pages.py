@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from noteloom.functions.text import file_hash, path_category
 
 HEADER = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
-PARSED = "path string, header_ok boolean, node_type string, tags array<string>, related array<string>, metadata map<string,string>"
+PARSED = "header_ok boolean, node_type string, tags array<string>, related array<string>, metadata map<string,string>"
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
@@ -25,41 +23,62 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     return found.select(below.alias("path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, raw in zip(batch["path"], batch["raw"], strict=True):
-            try:
-                data = yaml.safe_load(raw) if raw else {}
-                if not isinstance(data, dict):
-                    data = {}
-                tags, related = ([str(x) for x in (v if isinstance(v, list) else [v]) if x is not None] for v in (data.get("tags") or [], data.get("related") or []))
-                kind = data.get("type")
-                rows.append((path, True, "unknown" if kind is None else str(kind), tags, related, {str(k): str(v) for k, v in data.items()}))
-            except yaml.YAMLError:
-                rows.append((path, False, None, [], [], {}))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
+def _parse(raw: str | None) -> tuple:
+    try:
+        data = yaml.safe_load(raw) if raw else {}
+    except yaml.YAMLError:
+        return False, None, [], [], {}
+    if not isinstance(data, dict):
+        data = {}
+    tags, related = ([str(x) for x in (v if isinstance(v, list) else [v]) if x is not None] for v in (data.get("tags") or [], data.get("related") or []))
+    kind = data.get("type")
+    return True, "unknown" if kind is None else str(kind), tags, related, {str(k): str(v) for k, v in data.items()}
 
 
-def pages(files: DataFrame) -> DataFrame:
+def _headed(files: DataFrame) -> DataFrame:
+    """files with the struct h of their parsed headers; the texts stay in the JVM."""
+
+    @F.pandas_udf(PARSED)
+    def parsed(headers: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_parse(h) for h in headers], columns=[c.split()[0] for c in PARSED.split(", ")])
+
+    return files.withColumn("h", parsed(F.regexp_extract("content", HEADER, 1)))
+
+
+def parsed_pages(files: DataFrame) -> DataFrame:
     """name, path, category, node_type, tags, related, metadata, has_header,
-    content, mtime. Files whose header does not parse are left out (see
-    rejected); of files with one name that with the greatest path stays."""
-    raw = files.withColumn("raw", F.regexp_extract("content", HEADER, 1))
-    parsed = raw.select("path", "raw").mapInPandas(_parse, PARSED).withColumnRenamed("path", "p")
+    content, mtime of each file whose header parses (see rejected)."""
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
     body = F.regexp_replace(F.regexp_replace("content", HEADER, ""), r"^\s+|\s+$", "")
-    rows = raw.join(parsed, F.col("path") == F.col("p")).where("header_ok").select(
-        stem.alias("name"), "path", path_category(F.col("path")).alias("category"), "node_type", "tags", "related", "metadata", (F.size("metadata") > 0).alias("has_header"), body.alias("content"), "mtime"
+    return _headed(files).where("h.header_ok").select(
+        stem.alias("name"), "path", path_category(F.col("path")).alias("category"), "h.node_type", "h.tags", "h.related", "h.metadata", (F.size("h.metadata") > 0).alias("has_header"), body.alias("content"), "mtime"
     )
+
+
+def pages(files: DataFrame) -> DataFrame:
+    """The pages of files; of those with one name that with the greatest path."""
+    return latest(parsed_pages(files))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Of parsed pages with one name that with the greatest path."""
     last = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("path")))
     return rows.withColumn("_r", last).where("_r = 1").drop("_r")
 
 
+def refreshed(held: DataFrame, files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """parsed_pages of files, where `held` are those of an earlier listing
+    (manifest: path, mtime): only added and changed files are read and parsed,
+    deleted ones go."""
+    changed = changes(files.select("path", "mtime"), manifest).select(F.col("path").alias("cp"))
+    same = held.join(changed, F.col("path") == F.col("cp"), "left_anti")
+    again = files.join(changed, F.col("path") == F.col("cp"), "left_semi")
+    return same.unionByName(parsed_pages(again))
+
+
 def rejected(files: DataFrame) -> DataFrame:
     """Paths of files whose header does not parse."""
-    raw = files.select("path", F.regexp_extract("content", HEADER, 1).alias("raw"))
-    return raw.mapInPandas(_parse, PARSED).where("NOT header_ok").select("path")
+    return _headed(files.select("path", "content")).where("NOT h.header_ok").select("path")
 
 
 def changes(listing: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -84,3 +103,11 @@ def to_ingest(raw: DataFrame, state: DataFrame) -> DataFrame:
 
 def ingest_stats(state: DataFrame) -> DataFrame:
     return state.groupBy("status").agg(F.count("*").alias("files"))
+
+
+def ingest_counts(raw: DataFrame, made: DataFrame, raw_written: int = 0) -> DataFrame:
+    """One row: raw_written, wiki_written, skipped and errors of a run that saw
+    raw (rel) and made (rel, text, error) of those not done before."""
+    n = raw.select("rel").distinct().agg(F.count("*").alias("n"))
+    done = made.agg(F.count("text").alias("wiki_written"), F.count("error").alias("errors"), F.count("*").alias("m"))
+    return n.join(done).select(F.lit(raw_written).cast("long").alias("raw_written"), "wiki_written", (F.col("n") - F.col("m")).alias("skipped"), "errors")

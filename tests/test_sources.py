@@ -90,18 +90,119 @@ def test_git_head(tmp_path):
     tree.mkdir()
     (tree / ".git").write_text(f"gitdir: {git}")
     assert git_head(str(tree)) == "c" * 40
+    # a ref may name another; a work tree has a HEAD of its own and shares the rest
+    (git / "HEAD").write_text("ref: refs/heads/alias\n")
+    (git / "refs/heads/alias").write_text("ref: refs/heads/main")
+    assert git_head(str(tmp_path)) == "b" * 40
+    own = git / "worktrees/w"
+    own.mkdir(parents=True)
+    (own / "commondir").write_text("../..\n")
+    (own / "HEAD").write_text("ref: refs/heads/main\n")
+    (tree / ".git").write_text(f"gitdir: {own}")
+    assert git_head(str(tree)) == "b" * 40
+    (git / "refs/heads/alias").write_text("ref: refs/heads/alias")
+    assert git_head(str(tmp_path)) is None
+
+
+def links_of(spark, *rows):
+    return spark.createDataFrame([(r, i, c, "name_match", 1.0) for r, i, c in rows], tables.SCHEMAS["links"])
+
+
+def held(spark, root):
+    return sorted((r.repo, r.symbol_id, r.concept) for r in tables.read(spark, root, "links").collect())
 
 
 def test_tables(spark, tmp_path):
     root = str(tmp_path)
-    assert tables.read(spark, root, "links").count() == 0
-    rows = spark.createDataFrame([("r", 1, "a", "name_match", 1.0), ("s", 2, "b", "name_match", 1.0)], tables.SCHEMAS["links"])
-    tables.replace(rows, f"{root}/plain")
-    tables.replace(spark.read.parquet(f"{root}/plain").where("repo = 'r'"), f"{root}/plain")
-    assert spark.read.parquet(f"{root}/plain").count() == 1
-    tables.replace_repo(rows, f"{root}/by_repo")
-    tables.replace_repo(rows.where("repo = 'r'").withColumn("concept", F.lit("z")), f"{root}/by_repo")
-    assert sorted((r.repo, r.concept) for r in spark.read.parquet(f"{root}/by_repo").collect()) == [("r", "z"), ("s", "b")]
+    assert held(spark, root) == []
+    tables.commit(spark, root, {"links": links_of(spark, ("r", 1, "a"))}, "r")
+    tables.commit(spark, root, {"links": links_of(spark, ("s", 2, "b"))}, "s")
+    assert held(spark, root) == [("r", 1, "a"), ("s", 2, "b")]
+    # a frame may read what it replaces
+    again = tables.read(spark, root, "links").where("repo = 'r'").withColumn("concept", F.lit("z"))
+    tables.commit(spark, root, {"links": again}, "r")
+    assert held(spark, root) == [("r", 1, "z"), ("s", 2, "b")]
+    # a repo that has no links any more loses the old ones
+    tables.commit(spark, root, {"links": links_of(spark)}, "r")
+    assert held(spark, root) == [("s", 2, "b")]
+    tables.commit(spark, root, {"links": links_of(spark, ("t", 3, "c"))})
+    assert held(spark, root) == [("t", 3, "c")]
+
+
+def test_a_crash_before_the_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    state = spark.createDataFrame([("r", "p", None, None, 1, 1, 1, 0)], tables.SCHEMAS["index_state"])
+    tables.commit(spark, root, {"links": links_of(spark, ("r", 1, "a")), "index_state": state}, "r")
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_publish", crash)
+        with pytest.raises(RuntimeError):
+            tables.commit(spark, root, {"links": links_of(spark), "index_state": state.where("false")}, "r")
+    assert held(spark, root) == [("r", 1, "a")] and tables.read(spark, root, "index_state").count() == 1
+    # a manifest that was only half written is not one
+    (tmp_path / "manifest/000000000002.json.abc").write_text("{")
+    assert held(spark, root) == [("r", 1, "a")]
+    tables.commit(spark, root, {"links": links_of(spark, ("r", 9, "n"))}, "r")
+    for _ in range(3):
+        tables.commit(spark, root, {"links": links_of(spark, ("r", 9, "n"))}, "r")
+    assert held(spark, root) == [("r", 9, "n")]
+    assert len(list((tmp_path / "data/links").iterdir())) == tables.KEPT == len(list((tmp_path / "manifest").glob("*.json")))
+
+
+def test_a_second_writer_is_refused(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    tables.commit(spark, root, {"links": links_of(spark, ("r", 1, "a"))})
+    known = tables._manifests(spark, root)
+    tables.commit(spark, root, {"links": links_of(spark, ("r", 2, "b"))})
+    monkeypatch.setattr(tables, "_manifests", lambda *_: known)
+    with pytest.raises(RuntimeError):
+        tables.commit(spark, root, {"links": links_of(spark, ("r", 3, "c"))})
+
+
+def test_texts_are_written_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("a.md", "one\ntwo"), ("sub/b.md", "é"), ("c.md", "")], "name string, text string")
+    (tmp_path / "a.md").write_text("old")
+    assert tables.write_texts(rows, str(tmp_path)) == 3
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*.md")} == {"a.md": "one\ntwo\n", "sub/b.md": "é\n", "c.md": "\n"}
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".staged")]
+
+
+def test_only_changed_files_are_parsed(spark, wiki):
+    files = pages.scan(spark, str(wiki))
+    # plain rows: a persisted scan would answer for the later one
+    held_pages, listed = pages.parsed_pages(files), files.select("path", "mtime")
+    first = spark.createDataFrame(held_pages.collect(), held_pages.schema)
+    manifest = spark.createDataFrame(listed.collect(), listed.schema)
+    (wiki / "one.md").write_text("now without a header")
+    import os
+
+    os.utime(wiki / "one.md", (2_000_000_000,) * 2)
+    (wiki / "failures/two.md").unlink()
+    (wiki / "three.md").write_text("new")
+    marked = first.withColumn("content", F.concat(F.lit("held: "), "content"))
+    (wiki / "kept.md").write_text("x")
+    got = {r.name: r.content for r in pages.refreshed(marked, pages.scan(spark, str(wiki)), manifest).collect()}
+    assert got == {"one": "now without a header", "three": "new", "kept": "x"}
+    same = {r.name: r.content for r in pages.refreshed(marked, files.where("false"), manifest.where("false")).collect()}
+    assert same == {n: f"held: {c}" for n, c in (("one", "body [[two]]"), ("two", "no header, content"))}
+
+
+class Parts:
+    def parts(self):
+        return ["a", "b"]
+
+    def fetch_part(self, part):
+        yield f"text {part}", f"{part}.md"
+
+
+def test_adapters_in_parts(spark, monkeypatch):
+    sys.modules["noteloom_test_adapter"] = sys.modules[__name__]
+    reader = adapters._Reader("noteloom_test_adapter.Parts")
+    assert [row for p in reader.partitions() for row in reader.read(p)] == [("text a", "a.md"), ("text b", "b.md")]
+    assert len(adapters._Reader("noteloom_test_adapter.Two").partitions()) == 1
 
 
 def test_config():
