@@ -91,6 +91,21 @@ def diagnostics(pages: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def diagnostic_lists(pages: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+    """kind (orphan, broken_link, no_header), n (all there are), names: the
+    first `most` by name, links as "page -> target"."""
+    parts = [
+        orphans(pages, edges).select(F.lit("orphan").alias("kind"), "name"),
+        broken_links(pages).select(F.lit("broken_link").alias("kind"), F.concat_ws(" -> ", "name", "target").alias("name")),
+        pages.where(~F.coalesce("has_header", F.lit(False))).select(F.lit("no_header").alias("kind"), "name"),
+    ]
+    every = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("name"))
+    first = every.withColumn("r", place).where(F.col("r") <= most).groupBy("kind").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    counts = every.groupBy(F.col("kind").alias("k")).agg(F.count("*").alias("n"))
+    return counts.join(first, F.col("k") == F.col("kind")).select("kind", "n", "names")
+
+
 def concept_lookup(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """asked, name: the page of that name, else the least name that holds the
     asked one or is held by it, ignoring case; null for none.

@@ -7,17 +7,30 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.text import index_text, snippet, tokens
 
+MOST_TERMS = 100_000
 
-def postings(pages: DataFrame) -> DataFrame:
+
+def postings(pages: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """term, name, weight with weight = tf / max tf * ln(pages / (1 + pages
     with the term)). Pages are dealt by name once, which serves both the term
-    counts and the largest count of a page."""
+    counts and the largest count of a page.
+
+    For queries (query_id, text) only the postings of their terms. Up to
+    MOST_TERMS of these (counted) they and their page counts are broadcast, so
+    a term that every page has is no hot key of a join.
+    """
     text = index_text(F.col("name"), F.coalesce("content", F.lit("")), F.col("tags"))
     words = pages.select("name", text.alias("text")).repartition("name").select("name", F.explode(tokens(F.col("text"))).alias("term"))
     tf = words.groupBy("name", "term").agg(F.count("*").alias("tf")).withColumn("most", F.max("tf").over(Window.partitionBy("name")))
-    df = tf.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df"))
+    few = False
+    if queries is not None:
+        asked = queries.select(F.explode(tokens(F.col("text"))).alias("q")).distinct()
+        few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+        tf = tf.join(F.broadcast(asked) if few else asked, F.col("term") == F.col("q"), "left_semi")
     n = pages.agg(F.countDistinct("name").alias("n"))
-    return tf.join(df, F.col("term") == F.col("t")).join(F.broadcast(n)).select("term", "name", (F.col("tf") / F.col("most") * F.ln(F.col("n") / (1 + F.col("df")))).alias("weight"))
+    df = tf.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df"))
+    rows = tf.join(F.broadcast(df) if few else df, F.col("term") == F.col("t"))
+    return rows.join(F.broadcast(n)).select("term", "name", (F.col("tf") / F.col("most") * F.ln(F.col("n") / (1 + F.col("df")))).alias("weight"))
 
 
 def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -29,7 +42,7 @@ def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
 def keyword_search(index: DataFrame, pages: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, rank, name, category, score (3 decimals), snippet. Texts join
     after the cut to `limit`."""
-    score = keyword_scores(index, queries).withColumn("score", F.round("score", 3))
+    score = keyword_scores(index, queries).withColumn("score", F.bround("score", 3))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name"))
     top = score.withColumn("rank", rank).where(F.col("rank") <= limit)
     text = pages.select(F.col("name").alias("n"), "category", "content")

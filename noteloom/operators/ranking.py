@@ -1,7 +1,12 @@
-"""The one hybrid ranking: merge, recency, graph boost, intent boost, cutoff."""
+"""The one hybrid ranking: merge, recency, graph boost, intent boost, cutoff.
+
+Shown scores are rounded half to even.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +40,13 @@ def with_recency(scored: DataFrame, snapshot: DataFrame, now: Column, base: floa
     joined = scored.join(snap, F.col("concept") == F.col("s_concept"), "left")
     marked = joined.withColumns(
         {
-            "pre_recency_score": F.when(known, F.round("score", 4)),
-            "age_days": F.when(known, F.round(F.greatest(age, F.lit(0.0)), 2)),
-            "decay_lambda": F.when(known, F.round(lam, 6)),
+            "pre_recency_score": F.when(known, F.bround("score", 4)),
+            "age_days": F.when(known, F.bround(F.greatest(age, F.lit(0.0)), 2)),
+            "decay_lambda": F.when(known, F.bround(lam, 6)),
             "_factor": F.when(known, decay_factor(age, lam, floor)).otherwise(1.0),
         }
     )
-    return marked.withColumn("recency_factor", F.when(known, F.round("_factor", 4))).withColumn("score", F.col("score") * F.col("_factor")).drop("s_concept", "s_category", "changed_at", "_factor")
+    return marked.withColumn("recency_factor", F.when(known, F.bround("_factor", 4))).withColumn("score", F.col("score") * F.col("_factor")).drop("s_concept", "s_category", "changed_at", "_factor")
 
 
 def hybrid_merge(keyword: DataFrame, vector: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -56,10 +61,10 @@ def hybrid_merge(keyword: DataFrame, vector: DataFrame, weights: DataFrame | Non
     norm = F.col("score") / F.when(most == 0, 1.0).otherwise(most)
     kw = keyword.withColumn("n", norm).where("n > -1")
     first = Window.partitionBy("query_id", "concept").orderBy(F.desc("n"), "rank")
-    kw = kw.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("query_id", "concept", F.col("rank").alias("keyword_rank"), F.round("score", 4).alias("keyword_score"), F.col("n").alias("kw"))
+    kw = kw.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("query_id", "concept", F.col("rank").alias("keyword_rank"), F.bround("score", 4).alias("keyword_score"), F.col("n").alias("kw"))
     order = Window.partitionBy("query_id", "concept").orderBy(F.desc("score"), "rank")
     ve = vector.where("score > -1").withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    ve = ve.select("query_id", "concept", "section", F.col("rank").alias("vector_rank"), F.round("score", 4).alias("vector_score"), F.col("score").alias("ve"))
+    ve = ve.select("query_id", "concept", "section", F.col("rank").alias("vector_rank"), F.bround("score", 4).alias("vector_score"), F.col("score").alias("ve"))
     both = kw.join(ve, ["query_id", "concept"], "full_outer")
     w_k, w_v = WEIGHTS["default"]
     if weights is not None:
@@ -85,14 +90,22 @@ def graph_boost(pool: DataFrame, edges: DataFrame, top_k: int) -> DataFrame:
     return joined.withColumn("graph_boost", boost).withColumn("score", F.col("score") + F.coalesce("graph_boost", F.lit(0.0)))
 
 
-def intent_boost(pool: DataFrame, pages: DataFrame, intents: DataFrame, categories: tuple[str, ...] = FAILURE_CATEGORIES) -> DataFrame:
-    """The pool with scores of pages about failures times 1.5, for queries of
-    intent failure; all of the pool, not only its best."""
+def intent_boost(pool: DataFrame, pages: DataFrame, intents: DataFrame, categories: tuple[str, ...] = FAILURE_CATEGORIES, boost: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
+    """The pool with scores times a factor; all of the pool, not only its best.
+
+    boost(concept, category, tags, intent) gives the factor as a column; null
+    and 0 count as 1. Without it, pages about failures have 1.5 for queries of
+    intent failure.
+    """
     page = pages.select(F.col("name").alias("pn"), F.col("category").alias("pc"), F.col("tags").alias("pt"))
     asked = intents.select(F.col("query_id").alias("iq"), "intent")
     joined = pool.join(page, F.col("concept") == F.col("pn"), "left").join(asked, F.col("query_id") == F.col("iq"), "left")
-    factor = F.when(F.col("intent") == "failure", failure_boost(F.col("concept"), F.col("pc"), F.col("pt"), categories)).otherwise(1.0)
-    return joined.withColumn("_f", factor).withColumn("intent_boost", F.when(F.col("_f") != 1.0, F.round("_f", 3))).withColumn("score", F.col("score") * F.col("_f")).drop("pn", "pc", "pt", "iq", "intent", "_f")
+    if boost is None:
+        factor = F.when(F.col("intent") == "failure", failure_boost(F.col("concept"), F.col("pc"), F.col("pt"), categories)).otherwise(1.0)
+    else:
+        given = boost(F.col("concept"), F.col("pc"), F.col("pt"), F.col("intent")).cast("double")
+        factor = F.when(F.coalesce(given, F.lit(0.0)) == 0, 1.0).otherwise(given)
+    return joined.withColumn("_f", factor).withColumn("intent_boost", F.when(F.col("_f") != 1.0, F.bround("_f", 3))).withColumn("score", F.col("score") * F.col("_f")).drop("pn", "pc", "pt", "iq", "intent", "_f")
 
 
 def cut(pool: DataFrame, top_k: int, least: float = LEAST_SCORE) -> DataFrame:
@@ -100,11 +113,11 @@ def cut(pool: DataFrame, top_k: int, least: float = LEAST_SCORE) -> DataFrame:
     return pool.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
-def two_stage_hybrid(keyword: DataFrame, vector: DataFrame | None, pages: DataFrame, edges: DataFrame, top_k: int = 10, intents: DataFrame | None = None, weights: DataFrame | None = None, snapshot: DataFrame | None = None, now: Column | None = None, least: float = LEAST_SCORE, recency: dict | None = None) -> DataFrame:
+def two_stage_hybrid(keyword: DataFrame, vector: DataFrame | None, pages: DataFrame, edges: DataFrame, top_k: int = 10, intents: DataFrame | None = None, weights: DataFrame | None = None, snapshot: DataFrame | None = None, now: Column | None = None, least: float = LEAST_SCORE, recency: dict | None = None, boost: Callable[[Column, Column, Column, Column], Column] | None = None) -> DataFrame:
     """The ranking of a batch of queries, in the one order that holds for all
     callers: merge and weigh, recency, graph boost, intent boost, cutoff.
     Without a vector side it degrades to the keyword side. recency: settings of
-    with_recency."""
+    with_recency; boost: see intent_boost."""
     if vector is None:
         vector = keyword.select("query_id", "rank", "concept", F.lit(None).cast("string").alias("section"), "score").where("false")
     pool = hybrid_merge(keyword, vector, weights)
@@ -114,7 +127,7 @@ def two_stage_hybrid(keyword: DataFrame, vector: DataFrame | None, pages: DataFr
         pool = with_recency(pool, snapshot, now, **(recency or {}))
     pool = graph_boost(pool, edges, top_k)
     if intents is not None:
-        pool = intent_boost(pool, pages, intents)
+        pool = intent_boost(pool, pages, intents, boost=boost)
     return cut(pool, top_k, least)
 
 
@@ -128,6 +141,25 @@ def degradation(queries: DataFrame, pool: DataFrame, results: DataFrame, vector_
     return joined.select("query_id", F.coalesce(flag, F.when(nothing, "no_match_above_threshold")).alias("degradation"))
 
 
+def keyword_as_ranked(hits: DataFrame) -> DataFrame:
+    """Keyword hits in the columns of the hybrid ranking: their own score, not
+    normalised, no section and no category."""
+    none = F.lit(None).cast("string")
+    return hits.select("query_id", "rank", F.col("name").alias("concept"), none.alias("section"), none.alias("category"), F.col("snippet").alias("chunk"), "score", F.col("score").alias("keyword_score"))
+
+
+def recency_factor(concepts: DataFrame, snapshot: DataFrame, now: Column, **settings) -> DataFrame:
+    """concept, factor: 1 for concepts of unknown age."""
+    asked = concepts.select("concept", F.lit(1.0).alias("score"))
+    return with_recency(asked, snapshot, now, **settings).select("concept", F.col("score").alias("factor"))
+
+
+def sampled(names: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
+    """name: n of the different names, without replacement, by the order of a
+    hash with the seed, so the same in every run and partitioning."""
+    return names.select("name").where("name is not null").distinct().orderBy(F.xxhash64("name", F.lit(seed)), "name").limit(n)
+
+
 def classified(queries: DataFrame, custom: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """query_id, text, intent, confidence, w_keyword, w_vector."""
     name, confidence = intent(F.col("text"), custom)
@@ -154,4 +186,4 @@ def hit_rate(ranked: DataFrame, asked: DataFrame, top_n: int = 3) -> DataFrame:
     first = ranked.where(F.col("rank") <= top_n).select(F.col("query_id").alias("rq"), F.lower("concept").alias("rc"))
     found = asked.join(first, (F.col("query_id") == F.col("rq")) & (F.lower("wanted") == F.col("rc")), "left").groupBy("query_id", "wanted").agg(F.count("rc").alias("n"))
     hit = F.col("n") > 0
-    return found.agg(F.count("*").alias("total_q"), F.count_if(hit).alias("hits"), F.coalesce(F.round(F.avg(hit.cast("double")), 4), F.lit(0.0)).alias("hit_rate"), F.array_sort(F.collect_list(F.when(~hit, F.col("wanted")))).alias("misses"))
+    return found.agg(F.count("*").alias("total_q"), F.count_if(hit).alias("hits"), F.coalesce(F.bround(F.avg(hit.cast("double")), 4), F.lit(0.0)).alias("hit_rate"), F.array_sort(F.collect_list(F.when(~hit, F.col("wanted")))).alias("misses"))

@@ -21,14 +21,16 @@ HINTS = {
 
 
 def pick(hits: DataFrame, seen: DataFrame, least: float, categories: tuple[str, ...] | None = None, most: int = MOST_PICKED) -> DataFrame:
-    """session, name, score, rank: the best hits a session has not seen, once
-    a name, of the given categories only."""
+    """session, name, score, rank and the other columns of hits: the best hits
+    a session has not seen, once a name, of the given categories only."""
     rows = hits.where(F.col("score") >= least)
     if categories is not None:
         rows = rows.where(F.col("category").isin(*categories))
     gone = seen.select(F.col("session").alias("ss"), F.col("name").alias("sn"))
     rows = rows.join(gone, (F.col("session") == F.col("ss")) & (F.col("name") == F.col("sn")), "left_anti")
-    first = rows.groupBy("session", "name").agg(F.max("score").alias("score"))
+    more = [c for c in rows.columns if c not in ("session", "name", "score")]
+    best = F.max_by(F.struct(*more), "score") if more else F.lit(None)
+    first = rows.groupBy("session", "name").agg(F.max("score").alias("score"), best.alias("_m")).select("session", "name", "score", *(F.col(f"_m.{c}").alias(c) for c in more))
     rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "name"))
     return first.withColumn("rank", rank).where(F.col("rank") <= most)
 
@@ -47,6 +49,23 @@ def first_edits(events: DataFrame) -> DataFrame:
     return events.where(is_code(F.col("path"))).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def last_files(edits: DataFrame, most: int = 5) -> DataFrame:
+    """edits(session, path, ts, event_id) with files: the paths of the session's
+    last `most` first edits up to each, oldest first."""
+    frame = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(1 - most, Window.currentRow)
+    return edits.withColumn("files", F.collect_list("path").over(frame))
+
+
+def rendered(picked: DataFrame, header: str, failures: tuple[str, ...] = (), mark: str = "[failure] ") -> DataFrame:
+    """session, text: the picked pages of each session (rank, name, score,
+    category, section, snippet) as a numbered list under a header; pages of the
+    failure categories are marked."""
+    marked = F.when(F.col("category").isin(*failures), mark).otherwise("") if failures else F.lit("")
+    line = F.format_string("%d. %s**%s** (score=%.2f) § %s — %s", F.col("rank"), F.coalesce(marked, F.lit("")), F.col("name"), F.col("score"), F.coalesce("section", F.lit("")), F.left(F.coalesce("snippet", F.lit("")), F.lit(140)))
+    lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return picked.groupBy("session").agg(F.concat_ws("\n", F.lit(header), F.transform(lines, lambda x: x["line"])).alias("text"))
+
+
 def edit_query(path: Column, change: Column) -> Column:
     """The last two folders, the file's stem and the start of the change."""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")

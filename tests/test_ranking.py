@@ -49,12 +49,55 @@ def test_hit_rate(spark):
     assert tuple(ranking.hit_rate(ranked, asked).first()) == (2, 1, 0.5, ["lost"])
 
 
-@pytest.mark.parametrize("most", [10_000, 2])
+@pytest.mark.parametrize("most", [1 << 20, 20])
 def test_vector_search_in_blocks(spark, monkeypatch, most):
-    monkeypatch.setattr(vectors, "MOST_QUERIES", most)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", most)
     rows = [(f"c{i % 2}", str(i), [float(i), 1.0], "m") for i in range(5)] + [("n", "x", None, "m"), ("z", "z", [0.0, 0.0], "m"), ("o", "o", [1.0, 1.0], "other")]
     held = spark.createDataFrame(rows, "concept string, section string, vec array<float>, model_version string")
     asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "query_id int, vec array<float>")
     got = vectors.vector_search(held, asked, 2, "m").orderBy("query_id", "rank").collect()
     assert len(got) == 10 and [r.section for r in got[:2]] == ["4", "3"]
     assert vectors.best_section(vectors.vector_search(held, asked, 5, "m")).count() == 10
+
+
+def test_vector_search_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"c{rng.randrange(6)}", str(i), [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(400)] + [("w", "w", [1.0, 2.0]), (None, "n", [1.0, 1.0, 1.0])]
+    held = spark.createDataFrame(rows, "concept string, section string, vec array<float>").repartition(3)
+    asked = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(12)] + [(50, [0.0, 0.0, 0.0]), (51, [2.0, 1.0])]
+
+    def cosine(a, b):
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return None if len(a) != len(b) or not size else round(sum(x * y for x, y in zip(a, b, strict=True)) / size, 6)
+
+    want = []
+    for q, v in asked:
+        scored = [(-s, c or "", n, c) for c, n, x in rows if (s := cosine(v, x)) is not None]
+        want += [(q, r, c, n) for r, (_, _, n, c) in enumerate(sorted(scored)[:7], 1)]
+    got = vectors.vector_search(held, spark.createDataFrame(asked, "query_id int, vec array<double>"), 7, decimals=6)
+    assert sorted((r.query_id, r["rank"], r.concept, r.section) for r in got.collect()) == sorted(want)
+    assert got.schema["query_id"].dataType.simpleString() == "int"
+    assert vectors.vector_search(held.where("false"), got.select("query_id", F.array(F.lit(1.0)).alias("vec")).where("false")).count() == 0
+
+
+def test_shown_scores_round_half_to_even(spark):
+    kw = spark.createDataFrame([(1, 1, "a", 0.03125), (1, 2, "b", 0.09375)], KW)
+    got = {r.concept: r.keyword_score for r in ranking.hybrid_merge(kw, spark.createDataFrame([], VE)).collect()}
+    assert got == {"a": 0.0312, "b": 0.0938}
+
+
+def test_a_boost_of_the_callers_own(spark):
+    kw, ve, pages, edges = frames(spark, [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (1, 3, "c", 1.0)], pages=[("a", "x", None), ("b", "y", None)])
+    asked = ranking.classified(spark.createDataFrame([(1, "q")], "query_id int, text string"))
+    out = ranking.two_stage_hybrid(kw, ve, pages, edges, intents=asked, boost=lambda concept, category, tags, intent: F.when(category == "x", 2.0).when(category == "y", 0.0))
+    assert {r.concept: round(r.score, 3) for r in out.collect()} == {"a": 0.8, "b": 0.4, "c": 0.4}
+
+
+def test_sample(spark):
+    names = spark.createDataFrame([(f"p{i}",) for i in range(50)] + [("p1",), (None,)], "name string")
+    one = [r.name for r in ranking.sampled(names, 10, 3).collect()]
+    assert len(set(one)) == 10 and one == [r.name for r in ranking.sampled(names.repartition(7), 10, 3).collect()]
+    assert set(one) != {r.name for r in ranking.sampled(names, 10, 4).collect()}
+    assert ranking.sampled(names, 100).count() == 50
