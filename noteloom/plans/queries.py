@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions import scoring, text
-from noteloom.operators import codegraph, graph, index, ranking, recall, sections, vectors
+from noteloom.operators import codegraph, graph, index, moments, ranking, recall, sections, vectors
 from noteloom.plans import fixtures as fx
+from noteloom.sources import pages as page_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,12 +39,14 @@ def tokenize(spark, sf_dir):
 
 
 @query("""
-WITH s(id, x) AS (VALUES (1, 'caché 設計文件ab說 x_1'), (2, '知識圖譜 graph'), (3, 'a'), (4, '')),
+WITH s AS (SELECT doc_id AS id, ['caché 設計文件ab說 x_1', '知識圖譜 graph', 'a', ''][doc_id % 4 + 1] || ' ' || lang AS x FROM documents),
 w AS (SELECT id, unnest(regexp_extract_all(lower(x), '[\\p{L}\\p{N}_]+')) AS t FROM s),
 c AS (SELECT id, t, regexp_replace(t, '[^\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]', '', 'g') AS c FROM w)
 SELECT id, t AS token FROM c UNION ALL SELECT id, unnest(list_transform(range(1, length(c)), lambda i: substr(c, i, 2))) FROM c WHERE length(c) > 1""")
 def tokenize_cjk(spark, sf_dir):
-    return spark.createDataFrame(_CJK_SAMPLES, "id int, x string").select("id", F.explode(text.tokens(F.col("x"))).alias("token"))
+    sample = F.element_at(F.array(*(F.lit(x) for _, x in _CJK_SAMPLES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", sample, "lang").alias("x"))
+    return rows.select("id", F.explode(text.tokens(F.col("x"))).alias("token"))
 
 
 @query("WITH " + fx.TFIDF_SQL + " SELECT term, name, round(weight, 6) AS weight FROM ix")
@@ -56,8 +59,8 @@ _SNIPPET = "coalesce(regexp_replace(list_filter(string_split({0}, chr(10)), lamb
 
 @query("WITH " + fx.KEYWORD_SQL + " SELECT query_id, rank, kr.name, category, score, " + _SNIPPET.format("text") + " AS snippet FROM kr JOIN pg USING (name) WHERE rank <= 10")
 def keyword_search(spark, sf_dir):
-    pages = fx.search_pages(spark, sf_dir)
-    return index.keyword_search(index.postings(pages), pages, fx.queries(spark))
+    pages, asked = fx.search_pages(spark, sf_dir), fx.queries(spark)
+    return index.keyword_search(index.postings(pages, asked), pages, asked)
 
 
 @query("SELECT doc_id, " + _SNIPPET.format("text") + " AS snippet FROM documents")
@@ -83,11 +86,30 @@ def clean_prompt(spark, sf_dir):
 _COMMANDS = ("git commit -m \"x\"", "git -C /a push origin", "docker compose -f a.yml up -d", "kubectl apply -f x", "ls deployment", "./deploy now", "git log", "docker-compose down; echo up")
 
 
-@query("WITH c(id, cmd) AS (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_COMMANDS)) + """)
-SELECT id, CASE WHEN regexp_matches(cmd, '\\bgit\\s+(?:-C\\s+\\S+\\s+)?commit\\b') THEN 'commit' WHEN regexp_matches(cmd, '\\bgit\\s+(?:-C\\s+\\S+\\s+)?push\\b') THEN 'push'
+@query("WITH c AS (SELECT conv_id, turn, [" + ", ".join(f"'{c}'" for c in _COMMANDS) + """][(conv_id + turn) % 8 + 1] || ' # ' || role AS cmd FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(cmd, '\\bgit\\s+(?:-C\\s+\\S+\\s+)?commit\\b') THEN 'commit' WHEN regexp_matches(cmd, '\\bgit\\s+(?:-C\\s+\\S+\\s+)?push\\b') THEN 'push'
   WHEN regexp_matches(cmd, 'docker[\\s-]compose\\b[^|;&]*\\bup\\b|\\bkubectl\\s+apply\\b|\\bdeploy\\b') THEN 'deploy' END AS kind FROM c""")
 def decision_kind(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(_COMMANDS)), "id int, cmd string").select("id", text.decision_kind(F.col("cmd")).alias("kind"))
+    command = F.concat(F.element_at(F.array(*(F.lit(c) for c in _COMMANDS)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int")), F.lit(" # "), "role")
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.decision_kind(command).alias("kind"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('## ' || lang || chr(10) || text, '^#+\\s[^\\n]*\\n', ''), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')[:180] AS snippet FROM documents")
+def recall_snippet(spark, sf_dir):
+    chunk = F.concat(F.lit("## "), "lang", F.lit("\n"), "text")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.recall_snippet(chunk).alias("snippet"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(regexp_replace(c_name || '/é ' || c_custkey, '[^A-Za-z0-9_-]', '_', 'g')[:80], ''), 'unknown') AS session FROM customer")
+def safe_session(spark, sf_dir):
+    named = F.concat("c_name", F.lit("/é "), F.col("c_custkey").cast("string"))
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", text.safe_session(named).alias("session"))
+
+
+@query("SELECT doc_id, source AS category FROM documents")
+def path_category(spark, sf_dir):
+    path = F.concat(F.lit("a/b/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", text.path_category(path).alias("category"))
 
 
 @query("SELECT p_partkey, w AS token FROM (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part) WHERE length(w) >= 3")
@@ -129,10 +151,21 @@ def neighbors(spark, sf_dir):
     return graph.neighbours(graph.graph_edges(fx.pages(spark, sf_dir)))
 
 
-@query("WITH " + fx.LINKS_SQL + " SELECT name FROM pg WHERE name NOT IN (SELECT name FROM nb)")
+@query("WITH " + fx.LINKS_SQL + " SELECT name FROM pg WHERE name NOT IN (SELECT src FROM fe UNION SELECT dst FROM fe)")
 def orphans(spark, sf_dir):
     pages = fx.pages(spark, sf_dir)
-    return graph.orphans(pages, graph.graph_edges(pages))
+    return graph.orphans(pages, graph.frontmatter_edges(pages).toDF("a", "b"))
+
+
+@query("WITH " + fx.LINKS_SQL + """, bl AS (SELECT 'broken_link' AS kind, name || ' -> ' || target AS name FROM lk WHERE target NOT IN (SELECT name FROM pg)
+  UNION ALL SELECT 'no_header', name FROM pg WHERE NOT has_header
+  UNION ALL SELECT 'orphan', name FROM pg WHERE name NOT IN (SELECT src FROM fe UNION SELECT dst FROM fe)),
+nr AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name) AS r, count(*) OVER (PARTITION BY kind) AS n FROM bl)
+SELECT kind, n, string_agg(name, '|' ORDER BY name) AS names FROM nr WHERE r <= 100 GROUP BY kind, n""")
+def diagnostic_lists(spark, sf_dir):
+    pages = fx.pages(spark, sf_dir)
+    found = graph.diagnostic_lists(pages, graph.frontmatter_edges(pages).toDF("a", "b"))
+    return found.select("kind", "n", F.array_join("names", "|").alias("names"))
 
 
 @query("WITH " + fx.LINKS_SQL + """, n AS (SELECT count(*) AS n FROM pg), e AS (SELECT count(*) AS m, count(*) FILTER (confidence = 'EXTRACTED') AS x, count(*) FILTER (confidence = 'INFERRED') AS i FROM ed)
@@ -232,9 +265,7 @@ def orphan_sweep(spark, sf_dir):
 
 
 def _vector_hits(spark, sf_dir, k: int = 15) -> DataFrame:
-    scored = vectors.vector_scores(fx.sections(spark, sf_dir), fx.vector_queries(spark, sf_dir), fx.MODEL).withColumn("score", F.round("score", 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "concept", "section"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return vectors.vector_search(fx.sections(spark, sf_dir), fx.vector_queries(spark, sf_dir), k, fx.MODEL, decimals=6)
 
 
 @query("WITH " + fx.VECTOR_SQL + " SELECT query_id, rank, concept, section, round(score, 4) AS score FROM vr WHERE rank <= 15")
@@ -270,7 +301,7 @@ SELECT query_id, name AS concept, round(score * CASE WHEN changed_at IS NULL THE
   CASE WHEN changed_at IS NOT NULL THEN round(lam, 6) END AS decay_lambda FROM j""")
 def recency_rank(spark, sf_dir):
     pages = fx.search_pages(spark, sf_dir)
-    hits = index.keyword_search(index.postings(pages), pages, fx.queries(spark), 100).select("query_id", F.col("name").alias("concept"), "score")
+    hits = index.keyword_search(index.postings(pages, fx.queries(spark)), pages, fx.queries(spark), 100).select("query_id", F.col("name").alias("concept"), "score")
     aged = ranking.with_recency(hits, ranking.recency_snapshot(fx.store(spark, sf_dir), fx.MODEL), F.lit(fx.NOW), ratios={"error": 0.0})
     return aged.select("query_id", "concept", F.round("score", 6).alias("score"), "decay_lambda")
 
@@ -289,7 +320,7 @@ pl AS (
 def _pool(spark, sf_dir) -> DataFrame:
     """Three text queries and, for each, one of the first three query vectors."""
     pages = fx.search_pages(spark, sf_dir)
-    kw = index.keyword_search(index.postings(pages), pages, fx.queries(spark), 15).select("query_id", "rank", F.col("name").alias("concept"), "score")
+    kw = index.keyword_search(index.postings(pages, fx.queries(spark)), pages, fx.queries(spark), 15).select("query_id", "rank", F.col("name").alias("concept"), "score")
     hits = _vector_hits(spark, sf_dir).where("query_id < 150")
     ve = hits.select(F.expr("cast(query_id div 50 + 1 as int)").alias("query_id"), "rank", F.concat(F.lit("doc-"), "section").alias("concept"), "section", "score")
     return ranking.hybrid_merge(kw, ve)
@@ -340,11 +371,26 @@ def intent_classify(spark, sf_dir):
 _INTENTS = ("這個類別在哪裡定義", "什麼是設計原理", "A和B的關係", "timeout Error 怎麼解決", "hello", "cache vs. index", "a, b, c")
 
 
-@query("WITH q(id, text, top1) AS (VALUES " + ", ".join(f"({i}, '{t}', {0.9 if i % 2 else 0.3})" for i, t in enumerate(_INTENTS)) + """)
-SELECT id, top1 < 0.5 OR regexp_matches(text, '(?i)跟.{1,15}的|和.{1,15}的|vs\\.?|或者|，.{1,20}，|.+,.+,.+') AS expand FROM q""")
+@query("WITH q AS (SELECT conv_id, turn, [" + ", ".join(f"'{t}'" for t in _INTENTS) + """][(conv_id + turn) % 7 + 1] || ' ' || role AS text, CAST(turn % 10 AS DOUBLE) / 10 AS top1 FROM conversations)
+SELECT conv_id, turn, top1 < 0.5 OR regexp_matches(text, '(?i)跟.{1,15}的|和.{1,15}的|vs\\.?|或者|，.{1,20}，|.+,.+,.+') AS expand FROM q""")
 def needs_expansion(spark, sf_dir):
-    rows = spark.createDataFrame([(i, t, 0.9 if i % 2 else 0.3) for i, t in enumerate(_INTENTS)], "id int, text string, top1 double")
-    return rows.select("id", scoring.needs_expansion(F.col("top1"), F.col("text")).alias("expand"))
+    asked = F.concat(F.element_at(F.array(*(F.lit(t) for t in _INTENTS)), ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int")), F.lit(" "), "role")
+    top = (F.col("turn") % 10).cast("double") / 10
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", scoring.needs_expansion(top, asked).alias("expand"))
+
+
+@query("WITH " + fx.RECENCY_SQL + ", d AS (SELECT 'doc-' || doc_id AS concept FROM documents) SELECT concept, round(CASE WHEN changed_at IS NULL THEN 1.0::DOUBLE ELSE " + _DECAY.format(lam="CASE WHEN category = 'error' THEN 0.0::DOUBLE ELSE 0.003::DOUBLE END", age=_AGE) + " END, 6) AS factor FROM d LEFT JOIN rs USING (concept)")
+def recency_factor(spark, sf_dir):
+    concepts = fx.pages(spark, sf_dir).select(F.col("name").alias("concept"))
+    found = ranking.recency_factor(concepts, ranking.recency_snapshot(fx.store(spark, sf_dir), fx.MODEL), F.lit(fx.NOW), ratios={"error": 0.0})
+    return found.select("concept", F.round("factor", 6).alias("factor"))
+
+
+@query("WITH " + fx.KEYWORD_SQL + " SELECT query_id, rank, name AS concept, CAST(NULL AS VARCHAR) AS section, score, score AS keyword_score FROM kr WHERE rank <= 10")
+def degraded_search(spark, sf_dir):
+    pages, asked = fx.search_pages(spark, sf_dir), fx.queries(spark)
+    hits = index.keyword_search(index.postings(pages, asked), pages, asked)
+    return ranking.keyword_as_ranked(hits).select("query_id", "rank", "concept", "section", "score", "keyword_score")
 
 
 _MERGE_SQL = fx.KEYWORD_SQL + """,
@@ -355,7 +401,7 @@ mb AS (SELECT * FROM mp QUALIFY row_number() OVER (PARTITION BY query_id, concep
 @query("WITH " + _MERGE_SQL + " SELECT query_id, part, concept, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concept) AS INTEGER) AS rank FROM mb QUALIFY rank <= 10")
 def expansion_merge(spark, sf_dir):
     pages = fx.search_pages(spark, sf_dir)
-    hits = index.keyword_search(index.postings(pages), pages, fx.queries(spark), 10)
+    hits = index.keyword_search(index.postings(pages, fx.queries(spark)), pages, fx.queries(spark), 10)
     return ranking.expansion_merge(hits.select(F.lit(1).alias("query_id"), (F.col("query_id") - 1).alias("part"), F.col("name").alias("concept"), "score")).select("query_id", "part", "concept", "score", "rank")
 
 
@@ -379,8 +425,9 @@ def _name_links(spark, sf_dir) -> DataFrame:
 def _embedding_links(spark, sf_dir) -> DataFrame:
     keys = fx.symbols(spark, sf_dir).select("id")
     asked = fx.vector_queries(spark, sf_dir).join(keys, F.col("query_id") == F.col("id"), "left_semi")
-    near = vectors.vector_scores(fx.sections(spark, sf_dir), asked).where(F.col("section") != F.col("query_id").cast("string")).withColumn("score", F.round("score", 6))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "concept", "section"))
+    # one more than asked for, as a symbol's own section is none of its neighbours
+    near = vectors.vector_search(fx.sections(spark, sf_dir), asked, codegraph.NEAREST + 1, decimals=6).where(F.col("section") != F.col("query_id").cast("string"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     near = near.withColumn("r", place).where(F.col("r") <= codegraph.NEAREST).select(F.col("query_id").alias("symbol_id"), "concept", "score")
     return codegraph.rank_concepts(near, threshold=0.3)
 
@@ -445,12 +492,41 @@ def code_search_links(spark, sf_dir):
 
 
 @query("""
-SELECT * FROM (VALUES ('a', TRUE, FALSE), ('b', TRUE, TRUE), ('c', TRUE, NULL), ('d', FALSE, NULL)) AS t(repo, indexed, stale)""")
+WITH w AS (SELECT s_suppkey AS k, 'r' || s_suppkey AS repo, s_nationkey AS n FROM supplier)
+SELECT repo, k % 5 <> 0 AS indexed, CASE WHEN k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 THEN k % 3 = 0 END AS stale FROM w""")
 def index_status(spark, sf_dir):
-    wanted = spark.createDataFrame([(r,) for r in "abcd"], "repo string")
-    state = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None)], "repo string, git_head string")
-    heads = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "repo string, current_head string")
-    return codegraph.index_status(wanted, state, heads)
+    k = F.col("s_suppkey")
+    rows = fx.table(spark, sf_dir, "supplier").select(k, F.concat(F.lit("r"), k.cast("string")).alias("repo"), F.col("s_nationkey").alias("n"))
+    state = rows.where(k % 5 != 0).select("repo", F.when(k % 7 != 0, F.col("n").cast("string")).alias("git_head"))
+    heads = rows.select("repo", F.when(k % 11 != 0, (F.col("n") + F.when(k % 3 == 0, 1).otherwise(0)).cast("string")).alias("current_head"))
+    return codegraph.index_status(rows.select("repo"), state, heads)
+
+
+@query("WITH " + fx.SYMBOLS_SQL + " SELECT link_type, count(*) AS links FROM ml GROUP BY ALL")
+def link_counts(spark, sf_dir):
+    return codegraph.link_counts(_links(spark, sf_dir).withColumn("repo", F.lit("warehouse"))).select("link_type", "links")
+
+
+@query("WITH " + fx.SYMBOLS_SQL + ", d AS (SELECT id, short_name, CASE WHEN id % 2 = 0 THEN ' ' || docstring || ' ' || docstring || ' ' ELSE docstring END AS doc FROM sy) SELECT id, CASE WHEN length(trim(doc)) > 50 THEN short_name || ': ' || trim(doc)[:800] END AS embedded FROM d")
+def embedding_text(spark, sf_dir):
+    doc = F.when(F.col("id") % 2 == 0, F.concat(F.lit(" "), "docstring", F.lit(" "), "docstring", F.lit(" "))).otherwise(F.col("docstring"))
+    return fx.symbols(spark, sf_dir).select("id", codegraph.embedding_text(F.col("short_name"), doc).alias("embedded"))
+
+
+@query("""
+WITH u AS (SELECT 'w::p.f' || p_partkey AS caller, p_partkey AS k, 'a' || (p_partkey % 40) AS alias, 'file' || (p_partkey % 9) AS f FROM part),
+b AS (SELECT 'file' || (p_partkey % 9) AS f, 'a' || (p_partkey % 50) AS alias, max(p_partkey) AS k FROM part WHERE p_partkey % 4 = 0 GROUP BY ALL),
+t AS (SELECT caller, CASE WHEN b.k IS NOT NULL THEN 'w::p.f' || b.k ELSE 'w::p.' || u.alias END AS callee FROM u LEFT JOIN b USING (f, alias))
+SELECT DISTINCT caller, callee FROM t WHERE callee IN (SELECT 'w::p.f' || p_partkey FROM part WHERE p_partkey % 3 = 0)""")
+def call_edges(spark, sf_dir):
+    k = F.col("p_partkey")
+    part = fx.table(spark, sf_dir, "part")
+    own = F.concat(F.lit("w::p.f"), k.cast("string"))
+    none = F.lit(None).cast("string")
+    file = F.concat(F.lit("file"), (k % 9).cast("string"))
+    uses = part.select(F.lit("use").alias("kind"), file.alias("file_path"), F.concat(F.lit("w::p.a"), (k % 40).cast("string")).alias("name"), own.alias("owner"), F.concat(F.lit("a"), (k % 40).cast("string")).alias("alias"), none.alias("attribute"), F.lit(0).cast("long").alias("place"))
+    binds = part.where(k % 4 == 0).select(F.lit("bind").alias("kind"), file.alias("file_path"), none.alias("name"), F.lit("w::p").alias("owner"), F.concat(F.lit("a"), (k % 50).cast("string")).alias("alias"), F.concat(F.lit("p.f"), k.cast("string")).alias("attribute"), k.cast("long").alias("place"))
+    return codegraph.call_edges(uses.unionByName(binds), part.where(k % 3 == 0).select(own.alias("qualified_name")))
 
 
 # -- recall -------------------------------------------------------------------
@@ -463,7 +539,7 @@ k AS (SELECT h.* FROM h LEFT JOIN s USING (session, name) WHERE s.name IS NULL)
 SELECT session, name, score, CAST(row_number() OVER (PARTITION BY session ORDER BY score DESC, name) AS INTEGER) AS rank FROM k QUALIFY rank <= 6""")
 def recall_pick(spark, sf_dir):
     hits = fx.events(spark, sf_dir).select("session", F.concat(F.lit("page-"), (F.col("event_id") % 40).cast("string")).alias("name"), F.col("kind").alias("category"), F.col("value").alias("score"))
-    return recall.pick(hits, hits.where("category = 'signup'"), 5.0, ("error", "view"))
+    return recall.pick(hits, hits.where("category = 'signup'"), 5.0, ("error", "view")).select("session", "name", "score", "rank")
 
 
 @query("""
@@ -486,3 +562,94 @@ g AS (
 SELECT event_id, passed FROM g""")
 def gate_cooldown(spark, sf_dir):
     return recall.gates(fx.events(spark, sf_dir), 172_800.0)
+
+
+_EDITS_SQL = """
+e AS (SELECT event_id, user_id AS session, '/src/m' || (event_id % 9) || CASE event_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.md' ELSE '.SQL' END AS path, ts FROM events),
+fe AS (SELECT * FROM e WHERE path NOT LIKE '%.md' QUALIFY row_number() OVER (PARTITION BY session, path ORDER BY ts, event_id) = 1),
+lf AS (SELECT event_id, session, list(path) OVER (PARTITION BY session ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS files FROM fe)"""
+
+
+def _edits(spark, sf_dir) -> DataFrame:
+    ending = F.element_at(F.array(F.lit(".py"), F.lit(".md"), F.lit(".SQL")), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = fx.events(spark, sf_dir).withColumn("path", F.concat(F.lit("/src/m"), (F.col("event_id") % 9).cast("string"), ending))
+    return recall.last_files(recall.first_edits(rows))
+
+
+@query("WITH " + _EDITS_SQL + " SELECT event_id, session, array_to_string(files, '|') AS files FROM lf")
+def last_files(spark, sf_dir):
+    return _edits(spark, sf_dir).select("event_id", "session", F.array_join("files", "|").alias("files"))
+
+
+@query("WITH " + _EDITS_SQL + """ SELECT event_id, 'push deploy verify 推送 部署 驗證 ' || array_to_string(list_transform(files, lambda f: regexp_replace(regexp_extract(f, '[^/]*$'), '\\.[^.]*$', '')), ' ') || ' done ' || event_id AS query FROM lf""")
+def bash_query(spark, sf_dir):
+    command = F.concat(F.lit("git push -m 'done "), F.col("event_id").cast("string"), F.lit("'"))
+    return _edits(spark, sf_dir).select("event_id", recall.bash_query(F.lit("push"), F.col("files"), command).alias("query"))
+
+
+@query("""SELECT doc_id, 'src ' || lang || ' page' || doc_id || ' ' || regexp_replace(text[:1000], '\\s+', ' ', 'g')[:200] AS query FROM documents""")
+def edit_query(spark, sf_dir):
+    path = F.concat(F.lit("/home/src/"), "lang", F.lit("/page"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", recall.edit_query(path, F.col("text")).alias("query"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS said FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, said AS text FROM c WHERE length(said) >= 12 AND NOT starts_with(said, '/')""")
+def prompt_moments(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "conversations").where("role = 'user'")
+    line = F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("event_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("prompt")))
+    lines = rows.select(line.alias("value")).unionAll(spark.createDataFrame([("no json",), ("[1]",), ("",)], "value string"))
+    found = moments.asked(moments.hook_events(lines))
+    return found.select(F.expr("event_id div 1000").alias("conv_id"), (F.col("event_id") % 1000).cast("int").alias("turn"), "text")
+
+
+@query("""
+WITH h AS (SELECT user_id AS session, event_id, ts, 'page-' || (event_id % 40) AS name, value AS score FROM events WHERE event_type <> 'signup'),
+s AS (SELECT DISTINCT user_id AS session, 'page-' || (event_id % 40) AS name FROM events WHERE event_type = 'signup'),
+k AS (SELECT h.* FROM h LEFT JOIN s USING (session, name) WHERE s.name IS NULL QUALIFY row_number() OVER (PARTITION BY session, h.name ORDER BY ts, event_id) = 1)
+SELECT session, name, event_id FROM k""")
+def once_a_session(spark, sf_dir):
+    hits = fx.events(spark, sf_dir).select("session", "event_id", "ts", "kind", F.concat(F.lit("page-"), (F.col("event_id") % 40).cast("string")).alias("name"), F.col("value").alias("score"))
+    found = moments.once_a_session(hits.where("kind <> 'signup'"), hits.where("kind = 'signup'"), 6)
+    return found.select("session", "name", "event_id")
+
+
+# -- sources ------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT 'label-' || label AS concept FROM embeddings")
+def distinct_concepts(spark, sf_dir):
+    return fx.sections(spark, sf_dir).select("concept").distinct()
+
+
+@query("""
+SELECT 'p' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 9 = 0 THEN 'deleted' ELSE 'changed' END AS change
+FROM documents WHERE (doc_id % 10 = 0) <> (doc_id % 9 = 0) OR (doc_id % 10 <> 0 AND doc_id % 9 <> 0 AND doc_id % 7 = 0)""")
+def file_changes(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path")
+    day = F.timestamp_seconds(F.lit(0))
+    old = docs.where("doc_id % 10 <> 0").select(path, day.alias("mtime"))
+    new = docs.where("doc_id % 9 <> 0").select(path, F.when(F.col("doc_id") % 7 == 0, F.timestamp_seconds(F.lit(60))).otherwise(day).alias("mtime"))
+    return page_source.changes(new, old)
+
+
+@query("""
+WITH n AS (SELECT 'd' || doc_id AS rel, left(sha1(text), 16) AS hash, doc_id FROM documents)
+SELECT rel, hash FROM n WHERE NOT (doc_id % 3 = 0 AND doc_id % 6 <> 0)""")
+def to_ingest(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    raw = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    done = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rel"), text.file_hash(F.col("text")).alias("hash"), F.when(F.col("doc_id") % 6 == 0, "failed").otherwise("ingested").alias("status"))
+    return page_source.to_ingest(raw, done).select("rel", "hash")
+
+
+@query("""
+WITH m AS (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)
+SELECT CAST(7 AS BIGINT) AS raw_written, count(*) FILTER (doc_id % 5 <> 0) AS wiki_written, (SELECT count(*) FROM documents) - count(*) AS skipped, count(*) FILTER (doc_id % 5 = 0) AS errors FROM m""")
+def ingest_counts(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rel"))
+    bad = F.col("rel") % 5 == 0
+    made = docs.where("rel % 4 <> 0").select("rel", F.when(~bad, "x").alias("text"), F.when(bad, "no").alias("error"))
+    return page_source.ingest_counts(docs, made, 7)
