@@ -8,7 +8,7 @@ from noteloom.llm.packing import op7_packing
 from noteloom.llm.quality import op5_quality
 from noteloom.llm.sentencepiece_sampling import op6_sentencepiece_sampling
 from noteloom.llm.simhash import op3_simhash_near_dedup
-from noteloom.llm.substring_dedup import op1_substring_dedup
+from noteloom.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from noteloom.llm.token_file import op9_token_file
 from noteloom.llm.topk_search import OP2_SQL, op2_topk_search
 from noteloom.llm.toxicity import op8_toxicity
@@ -29,4 +29,4 @@ QUERIES = {
         op10_ann_search,
     )
 }
-ORACLES = {"op2_topk_search": OP2_SQL, "op4_url_filter": OP4_SQL}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op2_topk_search": OP2_SQL, "op4_url_filter": OP4_SQL}

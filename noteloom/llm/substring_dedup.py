@@ -143,6 +143,7 @@ def _cut(window: int, carried: int, sent):
                     [*(batch.column(c).slice(i, j - i) for c in range(carried)), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                     [*batch.schema.names[:carried], "n_words", "n_removed", "kept_text"],
                 )
+        freed()
 
     return run
 
@@ -154,7 +155,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, carry: tuple[str
     Null texts are empty; texts under `window` words lose nothing. A row whose
     doc_id is null neither removes nor loses words. Rows that repeat a doc_id
     are judged each on its own text against smaller ids only, never against
-    each other. An empty table gives an empty result. Only doc_id, text and the
+    each other. A very long text is one slice of one task. An empty table gives
+    an empty result. Only doc_id, text and the
     carried columns are read, whatever other columns are called; carried
     columns must not be named like the results.
     """
@@ -204,3 +206,17 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Words that repeat from smaller documents, over all of documents."""
     out = remove_repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+fst AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM win JOIN fst USING (s) WHERE f < doc_id),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS k FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

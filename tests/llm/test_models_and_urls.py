@@ -67,6 +67,129 @@ def test_em_trusts_labellers_that_agree():
     assert posterior[0] < 0.1 and posterior[0b11] > 0.95
 
 
+def test_em_equals_one_over_documents():
+    """Over pattern counts as over each document, in plain Python."""
+    import math
+
+    from noteloom.llm.quality import LABELLERS, MOST_FALSE
+
+    patterns = {0: 300, 0b11: 40, 0b1: 6, 0b10: 9, 0b1000: 4, 0b1011: 12}
+    docs = [[k >> j & 1 for j in range(len(LABELLERS))] for k, n in patterns.items() for _ in range(n)]
+    share, bad, good = 0.1, [0.4] * len(LABELLERS), [0.02] * len(LABELLERS)
+
+    def likelihood(p, d):
+        return math.prod(q if x else 1 - q for q, x in zip(p, d, strict=True))
+
+    for _ in range(50):
+        post = []
+        for d in docs:
+            a, b = share * likelihood(bad, d), (1 - share) * likelihood(good, d)
+            post.append(a / (a + b))
+        n_bad, n_good = sum(post), len(docs) - sum(post)
+        share = min(max((n_bad + 0.1) / (len(docs) + 1), 1e-4), 0.5)
+        bad = [min(max((sum(p * d[j] for p, d in zip(post, docs, strict=True)) + 0.4) / (n_bad + 1), 1e-4), 0.9999) for j in range(len(LABELLERS))]
+        good = [min(max((sum((1 - p) * d[j] for p, d in zip(post, docs, strict=True)) + 0.02) / (n_good + 1), 1e-5), MOST_FALSE) for j in range(len(LABELLERS))]
+    got = estimate(patterns)
+    at = 0
+    for k, n in patterns.items():
+        assert abs(got[k] - post[at]) < 1e-6
+        at += n
+
+
+def test_labellers_equal_plain_counts():
+    import numpy as np
+    import pyarrow as pa
+
+    from noteloom.llm.common import slices
+    from noteloom.llm.quality import fires
+
+    texts = ["", "SHOUTING TEXT here", "a = b; {c} #x $y", "wow! no! hey! yes", "| a | b | c", "go go go go stop", "x" * 30, "1234 5678 90", " ".join(f"word{i}" for i in range(40)), "Plain words. They end here.", "a b c d", "\u00e9\u00e8 caf\u00e9"]
+
+    def plain(t):
+        raw, words = t.encode(), t.split()
+        letters = sum(65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in raw)
+        size, n = max(1, len(raw)), max(1, len(words))
+        mean = sum(len(w.encode()) for w in words) / n
+        fired = [
+            sum(65 <= b < 91 for b in raw) / max(1, letters) > 0.3, sum(chr(b) in "#$%&*+<=>@\\^_`{|}~" for b in raw) / size > 0.02, t.count("!") / n > 0.2, t.count("|") / n > 0.1,
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / n > 0.15, mean > 20 or bool(words) and mean < 2, sum(48 <= b < 58 for b in raw) / size > 0.2, len(words) >= 30 and t.count(".") / n < 0.004,
+        ]
+        return sum(f << k for k, f in enumerate(fired))
+
+    ((_, _, run),) = slices(pa.array(texts))
+    assert fires(run).tolist() == [plain(t) for t in texts]
+    assert len(np.unique(fires(run))) > 5
+
+
+def test_ngrams_of_long_texts_equal_sets(monkeypatch):
+    import pyarrow as pa
+
+    from noteloom.llm import toxicity
+    from noteloom.llm.common import slices
+
+    monkeypatch.setattr(toxicity, "STRETCH", 16)
+    texts = ["", "abc", "One text\tof WORDS, one text of words", "xyz" * 40, "caf\u00e9 caf\u00e9"]
+
+    def grams(t):
+        raw = bytes(32 if 9 <= b < 14 else b + 32 if 65 <= b < 91 else b for b in t.encode())
+        return {raw[i : i + n] for n in toxicity.SIZES for i in range(len(raw) - n + 1)}
+
+    buckets = {}
+    for t in texts:
+        for g in grams(t):
+            buckets[g] = next(b[0] for n, b in toxicity._ngrams(__import__("numpy").frombuffer(g, "u1")) if n == len(g))
+    ((_, _, run),) = slices(pa.array(texts))
+    text, feature = toxicity._present(run)
+    assert set(zip(text.tolist(), feature.tolist(), strict=True)) == {(i, int(buckets[g])) for i, t in enumerate(texts) for g in grams(t)}
+
+
+def test_ratios_and_regression_equal_plain_ones():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from noteloom.llm import toxicity
+    from noteloom.llm.linear import fit_logistic
+
+    rng = np.random.default_rng(5)
+    size = (1 << toxicity.BITS) // toxicity.PARTS
+    counts = np.zeros((toxicity.FOLDS, 2, size), np.int32)
+    counts[:, :, :40] = rng.integers(0, 30, (toxicity.FOLDS, 2, 40))
+    group = np.array([[60, 50], [55, 52], [58, 51]])
+    halves = [pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([c.astype(np.int32).tobytes()], pa.binary())], ["part", "counts"]) for c in (counts // 2, counts - counts // 2)]
+    (out,) = toxicity._ratios(group)(iter(halves))
+    used = np.frombuffer(out["used"][0].as_py(), "<i4")
+    found = np.frombuffer(out["ratios"][0].as_py(), "<f4").reshape(toxicity.FOLDS + 1, -1)
+
+    def ratio(j, without):
+        folds = [f for f in range(toxicity.FOLDS) if f != without]
+        clean, toxic = (sum(int(counts[f, c, j]) for f in folds) for c in (0, 1))
+        n_clean, n_toxic = (sum(int(group[f, c]) for f in folds) for c in (0, 1))
+        r = math.log((toxic + 1) / (n_toxic + 2)) - math.log((clean + 1) / (n_clean + 2))
+        return 0 if clean + toxic < toxicity.LEAST_TEXTS or abs(r) < toxicity.LEAST_RATIO else r
+
+    for j in range(40):
+        want = [ratio(j, f) for f in (0, 1, 2, None)]
+        at = np.flatnonzero(used == 2 * size + j)
+        got = found[:, at[0]].tolist() if len(at) else [0] * 4
+        assert all(abs(a - b) < 1e-5 for a, b in zip(got, want, strict=True))
+
+    x = rng.random((30, 12)) < 0.4
+    y = (x[:, 0] | x[:, 3]).astype(float)
+    scale = rng.normal(size=12).astype(np.float32)
+    index, edge = np.nonzero(x)[1], np.concatenate([[0], np.cumsum(x.sum(axis=1))])
+    w, b = fit_logistic(index, edge, y, 12, l2=1e-3, scale=scale, rounds=40, rate=0.3)
+    pw, pb, sw, sb = np.zeros(12), 0.0, np.full(12, 1e-8), 1e-8
+    for _ in range(40):
+        z = (x * scale) @ pw + pb
+        error = (1 / (1 + np.exp(-z)) - y) / 30
+        g, gb = (x * scale).T @ error + 1e-3 * pw, error.sum()
+        sw, sb = sw + g * g, sb + gb * gb
+        pw, pb = pw - 0.3 * g / np.sqrt(sw), pb - 0.3 * gb / np.sqrt(sb)
+    assert np.allclose(w, pw, atol=1e-5) and abs(b - pb) < 1e-5
+
+
 URLS = [
     ("http://Example.ORG/en/12?q", "example.org", "/en/12", "example.org/en/1", "block"),
     ("https://a.example.org/en/2#x", "a.example.org", "/en/2", "org/", "allow"),
