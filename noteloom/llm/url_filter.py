@@ -4,7 +4,7 @@ Reputation is empirical Bayes over labelled pages: the good share of a host is
 shrunk towards its registered domain, that towards its suffix, and that towards
 all pages. At each level the strength of the beta prior comes from the spread
 of the children's shares (method of moments). A url is allowed when the lower
-bound of its host's posterior reaches `least`. DataFrame functions only.
+bound of its host's posterior reaches LEAST. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import table
+from noteloom.llm.common import joined_by_key, table, written
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 Z = 1.0
@@ -49,66 +49,68 @@ def _places(host: Column) -> tuple[Column, Column]:
     return F.when(long, three).otherwise(two), F.when(long, two).otherwise(F.element_at(parts, -1))
 
 
-def _strength(level: DataFrame, parent: str) -> DataFrame:
-    """One row: s, the prior's strength, from children (n, g) around the means
-    p of their parents. With S1 = sum of n and S2 = sum of n(n - 1), moments
-    give the correlation rho of two outcomes of a child, and s = 1/rho - 1,
+def _strength(level: DataFrame) -> float:
+    """The prior's strength from children (n, g) around the means of their
+    parents (mean). With S1 = sum of n and S2 = sum of n(n - 1), moments give
+    the correlation rho of two outcomes of a child, and the strength 1/rho - 1,
     held to [1, 1000]; 10 where no child has two labelled pages."""
     v = F.col("mean") * (1 - F.col("mean"))
     pairs = F.sum(F.col("n") * (F.col("n") - 1) * v)
     d = F.col("g") - F.col("n") * F.col("mean")
     excess = F.sum(d * d - F.col("n") * v)
     rho = F.least(F.greatest(F.round(excess / pairs, 6), F.lit(0.000999)), F.lit(0.5))
-    return level.where("n > 0").agg(F.coalesce(F.when(pairs > 0, F.round(1 / rho - 1, 4)), F.lit(10.0)).alias(f"s_{parent}"))
+    return level.where("n > 0").agg(F.coalesce(F.when(pairs > 0, F.round(1 / rho - 1, 4)), F.lit(10.0)).alias("s")).first()["s"]
 
 
 def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, n, posterior mean and lower bound of every host in pages.
+    """host, pages, n, posterior mean and lower bound of every host in pages.
 
     pages: host, page_id. labels: page_id, good (0/1; null: unlabelled). A page
-    labelled several times counts each time.
+    labelled several times counts each time. The hosts are written once; of each
+    level only the strength of its prior, one number, comes to the driver.
     """
     marks = labels.where("page_id is not null and good is not null").select(F.col("page_id").alias("k"), F.col("good").cast("long").alias("good"))
+    marks = marks.groupBy("k").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
     domain, suffix = _places(F.col("host"))
-    hosts = (
-        pages.join(marks, F.col("page_id") == F.col("k"), "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"))
-    ).select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "g")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-    top = suffixes.agg(((F.coalesce(F.sum("g"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
-
-    def shrunk(level: DataFrame, parents: DataFrame, key: str, name: str) -> DataFrame:
-        withs = level.join(parents.select(*([F.col(key).alias("pk")] if key else []), F.col("mean")), F.col(key) == F.col("pk") if key else F.lit(True), "left")
-        s = F.col(f"s_{name}")
-        return withs.crossJoin(F.broadcast(_strength(withs, name))).withColumn("a", F.col("g") + s * F.col("mean")).withColumn("b", F.col("n") + s)
-
-    def means(level: DataFrame) -> DataFrame:
-        return level.select(*[c for c in ("host", "domain", "suffix") if c in level.columns], F.round(F.col("a") / F.col("b"), 9).alias("mean"))
-
-    by_suffix = means(shrunk(suffixes, top, "", "top"))
-    by_domain = means(shrunk(domains, by_suffix, "suffix", "suffix"))
-    by_host = shrunk(hosts, by_domain, "domain", "domain")
-    mean = F.round(F.col("a") / F.col("b"), 9)
-    low = F.round(mean - F.lit(Z) * F.sqrt(mean * (1 - mean) / (F.col("b") + 1)), 6)
-    return by_host.select("host", "n", mean.alias("mean"), low.alias("low"))
+    none = F.lit(0)
+    grouped = pages.join(marks, F.col("page_id") == F.col("k"), "left").groupBy("host").agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), none).alias("n"), F.coalesce(F.sum("g"), none).alias("g"))
+    hosts = written(grouped.select("host", domain.alias("domain"), suffix.alias("suffix"), "pages", "n", "g"), "op4-hosts")
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.count("*").alias("hosts")), "op4-domains")
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.count("*").alias("domains"), F.sum("hosts").alias("hosts"))
+    suffixes = written(suffixes, "op4-suffixes")
+    top = suffixes.agg(((F.coalesce(F.sum("g"), none) + 1) / (F.coalesce(F.sum("n"), none) + 2)).alias("mean"), F.sum("domains").alias("domains"), F.sum("hosts").alias("hosts")).first()
+
+    def shrunk(level: DataFrame) -> DataFrame:
+        s = F.lit(_strength(level))
+        return level.withColumn("b", F.col("n") + s).withColumn("mean", F.round((F.col("g") + s * F.col("mean")) / F.col("b"), 9))
+
+    by_suffix = shrunk(suffixes.withColumn("mean", F.lit(top["mean"]))).select(F.col("suffix").alias("ps"), "domains", "mean")
+    level = written(joined_by_key(domains, "suffix", by_suffix, "ps", "domains", top["domains"] or 0).select("domain", "n", "g", "hosts", "mean"), "op4-domain-means")
+    by_domain = shrunk(level).select(F.col("domain").alias("pd"), "hosts", "mean")
+    level = written(joined_by_key(hosts, "domain", by_domain, "pd", "hosts", top["hosts"] or 0).select("host", "pages", "n", "g", "mean"), "op4-host-means")
+    low = F.round(F.col("mean") - F.lit(Z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("b") + 1)), 6)
+    return shrunk(level).select("host", "pages", "n", "mean", low.alias("low"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, low: one row for each input row.
 
     Null urls and urls without '://' have an empty host and path, match no rule
-    and are judged like one host. Repeated rows are judged alike. Without
-    labels every host has the posterior of an even prior. Only page_id and url,
-    and of labels doc_id and quality (a page's label), are read.
+    and are judged like one host. Repeated rows are judged alike; a null page_id
+    has no label; of rules of one length a block goes first. Without labels every
+    host has the posterior of an even prior. An empty table gives an empty
+    result. Only page_id and url, and of labels doc_id and quality, are read: a
+    label is taken for that of the page whose page_id is its doc_id.
     """
     host, path = split_url(F.col("u"))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("u")).select("page_id", host.alias("host"), path.alias("path"))
     marks = labels.select(F.col("doc_id").cast("long").alias("page_id"), F.col("quality").alias("good"))
-    known = reputation(base.select("page_id", "host"), marks).select(F.col("host").alias("h"), "low")
+    known = written(reputation(base.select("page_id", "host"), marks).select(F.col("host").alias("h"), "pages", "low"), "op4-known")
+    total = known.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     hit = match_rules(F.col("host"), F.col("path"), rules)
     learnt = F.when(F.col("low") >= LEAST, "allow").otherwise("block")
     return (
-        base.join(known, F.col("host") == F.col("h"), "left")
+        joined_by_key(base, "host", known, "h", "pages", total)
         .withColumn("hit", hit)
         .select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), learnt).alias("verdict"), "low")
     )

@@ -223,3 +223,16 @@ def test_reputation_decides_the_rest(spark):
     assert judge_urls(pages, labels.where("false")).where("verdict is null").count() == 0
     plan = judge_urls(pages, labels)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_bad_host_among_many_is_blocked(spark):
+    """100,000 pages of 2,000 hosts, a third of them of one: a host whose few
+    labels are bad goes, one without labels stands with its domain."""
+    i = F.col("id")
+    host = F.when(i % 3 == 0, "hot.site.net").when(i % 50 == 1, "casino.spam.biz").when(i % 50 == 2, "new.spam.biz").otherwise(F.concat(F.lit("h"), (i % 2000).cast("string"), F.lit(".site.net")))
+    pages = spark.range(100_000).select(i.alias("page_id"), F.concat(F.lit("http://"), host, F.lit("/p/"), i.cast("string")).alias("url"))
+    labels = pages.where("page_id % 10 = 1").select(F.col("page_id").alias("doc_id"), (~F.col("url").contains("casino")).cast("int").alias("quality"))
+    got = {r.host: (r.verdict, r.n) for r in judge_urls(pages, labels).groupBy("host", "verdict").agg(F.count("*").alias("n")).collect()}
+    assert got["casino.spam.biz"][0] == got["new.spam.biz"][0] == "block"
+    assert got["hot.site.net"] == ("allow", 33_334) and sum(n for _, n in got.values()) == 100_000
+    assert {v for h, (v, _) in got.items() if h.endswith("site.net")} == {"allow"}
