@@ -172,6 +172,45 @@ def test_top_k_equals_brute_force(spark):
     assert exact_top_k(df.where("vec_id < 3"), df.where("vec_id = 1")).count() == 2
 
 
+def test_bounds_spare_most_products_of_clusters():
+    """Of clustered vectors under 30 in 100 get exact products, and the result
+    is that of all products."""
+    from noteloom.llm import topk_search as t
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 64)) * np.repeat(rng.standard_normal((60, 16)), 4, axis=1)
+    x = np.floor(1024 * (centres[rng.integers(0, 60, 12_000)] + 0.1 * rng.standard_normal((12_000, 64))))
+    ids = np.arange(len(x))
+    names, q = ids[::50], x[::50]
+    seed = t._products(q, x[:4096])
+    seed[names[:, None] == ids[None, :4096]] = np.iinfo(np.int64).min
+    groups = t.grouped(names, q, 10, np.sort(seed, axis=1)[:, -10].astype(float))
+    t.pass_by(groups, ids, x)
+    assert sum(g.computed * len(g.names) for g in groups) < 0.3 * len(x) * len(q)
+    for g in groups:
+        query, score, found = g.best.rows
+        for k, name in enumerate(g.names.tolist()):
+            s = t._products(x[[name]], x)[0]
+            want = sorted((-int(v), int(i)) for i, v in enumerate(s) if i != name)[:10]
+            assert [(-int(a), int(b)) for a, b in zip(score[query == k], found[query == k], strict=True)] == want
+
+
+@pytest.mark.parametrize("bytes_", [32 << 20, 200])
+def test_top_k_in_blocks_and_overflow(spark, monkeypatch, bytes_):
+    from noteloom.llm import topk_search as t
+
+    monkeypatch.setattr(t, "QUERY_BYTES", bytes_)
+    df = vectors(spark, [(i, [float(i % 7), float(i % 5)]) for i in range(40)])
+    got = exact_top_k(df, df.where("vec_id % 10 = 0"), 3).orderBy("query_id", "rank").collect()
+    e = [(1024 * (i % 7), 1024 * (i % 5)) for i in range(40)]
+    for q in (0, 10, 20, 30):
+        want = sorted((-(e[q][0] * e[c][0] + e[q][1] * e[c][1]), c) for c in range(40) if c != q)[:3]
+        assert [(-r.score, r.vec_id) for r in got if r.query_id == q] == want
+    far = vectors(spark, [(0, [3e37, 1.0]), (1, [3e37, 1.0])])
+    with pytest.raises(Exception, match="fit a long"):
+        exact_top_k(far, far).collect()
+
+
 def test_top_k_with_a_repeated_id(spark):
     x = np.random.default_rng(6).integers(-9, 9, (60, 4)).astype(np.float32)
     rows = [(0, [50.0] * 4)] * 3 + [(i, v.tolist()) for i, v in enumerate(x) if i]
