@@ -598,8 +598,10 @@ def search(graph: Graph, homes: DataFrame, k: int) -> DataFrame:
         after = written(graph.exchange(scored, _expanding(size, shards)), "op10-pool")
         dropped(pool)
         pool = after
-    dropped(links)
-    return pool.where(f"kind = {_POOL}").repartition(shards, "dst").sortWithinPartitions("dst").mapInArrow(_best_nodes(3 * k), "home long, near array<long>")
+    best = pool.where(f"kind = {_POOL}").repartition(shards, "dst").sortWithinPartitions("dst").mapInArrow(_best_nodes(3 * k), "home long, near array<long>")
+    found = written(best, "op10-found")
+    dropped(links, pool)
+    return found
 
 
 def build_nodes(vectors: DataFrame, k: int) -> DataFrame:
@@ -628,7 +630,8 @@ def nearest(vectors: DataFrame, chosen: F.Column, k: int = 20) -> DataFrame:
     by_vector = asked.groupBy(F.col("q").alias("e")).agg(F.count("*").alias("n"))
     homes = written(by_vector.join(nodes.select("node", "exact", "ids"), F.col("e") == F.col("exact")).select("e", "n", F.col("node").alias("home"), F.size("e").cast("long").alias("width")), "op10-homes")
     graph = Graph(nodes, nodes.count())
-    found = written(search(graph, homes.select("home", "width"), k), "op10-found")
+    found = search(graph, homes.select("home", "width"), k)
+    dropped(graph.rows, graph.vectors)
     near = homes.join(found.withColumnRenamed("home", "h"), F.col("home") == F.col("h"), "left").select("e", "n", F.array_union(F.array("home"), F.coalesce("near", F.array().cast("array<long>"))).alias("near"))
     pairs = joined_by_key(asked, "q", written(near, "op10-near"), "e", "n", asked.count())
     exact = nodes.select(F.col("node").alias("m"), "ids", "exact")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import Powers, Texts, among, freed, mix64, slices, spans_hash, table, written
+from noteloom.llm.common import Powers, Texts, among, dropped, freed, mix64, slices, spans_hash, table, written
 
 FIELD_BITS = 27
 HOT_SHARE = 2000
@@ -181,6 +181,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, carry: tuple[str
     bits = np.zeros(1 << (FIELD_BITS - 6), dtype="<i8")
     bits[marks["at"].to_numpy()] = marks["bits"].to_numpy()
     field = spark.sparkContext.broadcast(bits.tobytes())
+    dropped(repeated)
 
     def windows(anchors: np.ndarray | None, without: np.ndarray) -> DataFrame:
         return known.mapInArrow(_emit_windows(window, field, anchors, without), "h1 long, h2 long, doc_id long")
