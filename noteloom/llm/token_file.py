@@ -41,7 +41,7 @@ VERSION = 2
 PREFIX = 64
 
 _U = np.uint64
-_SLOTS1, _SLOTS2 = 1024, 512
+_SLOTS1, _SLOTS2 = 512, 256
 #: Bits of an order 0 frequency and of a weight.
 _FINE, _PARTS = 18, 12
 _MOST_WEIGHT = np.int32((1 << _PARTS) - 64)

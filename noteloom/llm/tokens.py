@@ -214,43 +214,38 @@ class Encoder:
     def _run(self, run: Texts, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts, and where each text's begin."""
         n, count = len(run.first) - 1, np.diff(run.first)
-        text = np.repeat(np.arange(n), count)
-        hashes, kinds = run.hashes, None
         whole = np.zeros(n, dtype=bool)
+        hashes, kinds = run.hashes, None
         if not self.by_word:
             # one space or line break between words, none at the ends
+            some = count > 0
+            heads, tails = run.first[:-1][some], run.first[1:][some] - 1
             before = np.where(run.starts > 0, run.data[np.maximum(run.starts - 1, 0)], 0)
-            heads = run.first[:-1][count > 0]
-            gap = np.empty(len(text), dtype=np.int64)
+            gap = np.empty(len(hashes), dtype=np.int64)
             gap[1:] = run.starts[1:] - run.ends[:-1]
-            gap[heads] = run.starts[heads] - run.offsets[:-1][count > 0] + 1
+            gap[heads] = run.starts[heads] - run.offsets[:-1][some] + 1
             kinds = np.where(before == 10, 2, 0)
             kinds[heads] = 1
-            odd = (gap != 1) | (kinds == 0) & (before != 32)
-            whole[text[odd]] = True
-            whole[count > 0] |= run.ends[run.first[1:][count > 0] - 1] != run.offsets[1:][count > 0]
-            whole[count == 0] |= np.diff(run.offsets)[count == 0] > 0
+            odd = np.flatnonzero((gap != 1) | (kinds == 0) & (before != 32))
+            whole[np.searchsorted(run.first, odd, "right") - 1] = True
+            whole[some] |= run.ends[tails] != run.offsets[1:][some]
+            whole[~some] |= np.diff(run.offsets)[~some] > 0
             hashes = mix64(hashes ^ kinds.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         hashes = np.where(hashes == 0, np.uint64(1), hashes)
         slot = self._learn(run, hashes, kinds)
-        length = self.words.length[slot].astype(np.int64)
-        whole[text[length < 0]] = True
-        length[whole[text]] = 0
-        own = np.bincount(text, length, minlength=n).astype(np.int64)
-        slow = {i: self._slow(column[i].as_py() or "") for i in np.flatnonzero(whole).tolist()}
-        for i, ids in slow.items():
-            own[i] = len(ids)
-        edge = np.concatenate([[0], np.cumsum(own)])
-        out = np.empty(edge[-1], dtype="<u4")
-        # the place of each unit's first id: units of a text follow each other
-        ahead = np.cumsum(length) - length
-        place = edge[text] + ahead - ahead[run.first[:-1][text]] if len(text) else ahead
-        start = self.words.start[slot]
-        step = np.arange(int(length.sum()))
-        out[np.repeat(place - ahead, length) + step] = self.words.pool[np.repeat(start - ahead, length) + step]
-        for i, ids in slow.items():
-            out[edge[i] : edge[i + 1]] = ids
-        return out, edge
+        length, start = self.words.length.take(slot).astype(np.int64), self.words.start.take(slot)
+        if not self.by_word:
+            whole[np.searchsorted(run.first, np.flatnonzero(length < 0), "right") - 1] = True
+            length[np.repeat(whole, count)] = 0
+        ahead = np.concatenate([[0], np.cumsum(length)])
+        ids = self.words.pool.take(np.repeat(start - ahead[:-1], length) + np.arange(ahead[-1]))
+        edge = ahead[run.first]
+        if not whole.any():
+            return ids, edge
+        # texts that the library must see take their place between the others
+        slow = [self._slow(column[i].as_py() or "") if w else None for i, w in enumerate(whole.tolist())]
+        parts = [ids[a:b] if x is None else x for x, a, b in zip(slow, edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
