@@ -17,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Bytes of rows that go to a worker at a time, where the session keeps Spark's own 64 MB.
+BATCH_BYTES, _SPARKS_OWN = 16 << 20, 64 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -28,7 +31,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, by Spark's reader alone."""
+    """One of the input tables, by Spark's reader alone. Rows go to workers in
+    batches of BATCH_BYTES from then on: a batch is held by Spark and by the
+    worker, along with what is made of it."""
+    if spark.conf.get(_BATCH, "0").rstrip("b") == str(_SPARKS_OWN):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -99,6 +99,7 @@ def _pieces(path: str, size: int):
                         rows.append((doc, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), total, bucket, rank))
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "rank"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+        tokens.forget()
 
     return run
 

@@ -317,7 +317,7 @@ def _segments(path: str, end_id: int):
                         yield flush()
         if docs:
             yield flush()
-        freed()
+        tokens.forget()
 
     return run
 

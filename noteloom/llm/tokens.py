@@ -18,10 +18,10 @@ import pyarrow as pa
 import regex
 import tiktoken
 
-from noteloom.llm.common import LOWER, Texts, mix64, slices
+from noteloom.llm.common import LOWER, Texts, freed, mix64, slices
 
 #: Words whose ids a worker keeps at most; beyond that it starts anew.
-MOST_KEPT = 800_000
+MOST_KEPT = 500_000
 #: Texts that are encoded together.
 ROWS = 512
 
@@ -67,11 +67,11 @@ class _Words:
     """Ids by 64-bit hash, by open addressing. A length of -1 marks words whose
     text must be encoded as a whole."""
 
-    BITS = 21
+    BITS = 20
 
     def __init__(self) -> None:
         self.hashes = np.zeros(1 << self.BITS, dtype=np.uint64)
-        self.start = np.zeros(1 << self.BITS, dtype=np.int64)
+        self.start = np.zeros(1 << self.BITS, dtype=np.int32)
         self.length = np.zeros(1 << self.BITS, dtype=np.int32)
         self.pool = np.zeros(1 << 16, dtype="<u4")
         self.n = self.used = 0
@@ -233,7 +233,7 @@ class Encoder:
             hashes = mix64(hashes ^ kinds.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         hashes = np.where(hashes == 0, np.uint64(1), hashes)
         slot = self._learn(run, hashes, kinds)
-        length, start = self.words.length.take(slot).astype(np.int64), self.words.start.take(slot)
+        length, start = self.words.length.take(slot).astype(np.int64), self.words.start.take(slot).astype(np.int64)
         if not self.by_word:
             whole[np.searchsorted(run.first, np.flatnonzero(length < 0), "right") - 1] = True
             length[np.repeat(whole, count)] = 0
@@ -247,6 +247,12 @@ class Encoder:
         parts = [ids[a:b] if x is None else x for x, a, b in zip(slow, edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
+    def forget(self) -> None:
+        """Free what was learnt: a worker lives on after its task, next to the
+        tasks of other stages."""
+        self.words = _Words()
+        freed()
+
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         out: list[bytes] = []
