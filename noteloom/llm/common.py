@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by Spark's reader alone. Rows go to workers in
     batches of BATCH_BYTES from then on: a batch is held by Spark and by the
     worker, along with what is made of it."""
-    if spark.conf.get(_BATCH, "0").rstrip("b") == str(_SPARKS_OWN):
+    if spark.conf.get(_BATCH).rstrip("b") == str(_SPARKS_OWN):
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
