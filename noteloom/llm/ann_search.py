@@ -1,616 +1,344 @@
-"""Nearest neighbours by inner product: a neighbour graph built by NN-descent,
-searched greedily.
-
-Equal vectors are one node (of the smallest vec_id), so a vector that a third
-of the rows share is no hot group; a node keeps its k + 1 smallest ids, more
-can never be among a query's k. Nodes are dealt into shards of about SHARD, and
-shards exchange messages, one row for each pair of shards that have something to
-say. A round of NN-descent is four exchanges:
-
-1. merge: each node keeps its NEIGHBOURS best, and tells a sample of them so;
-2. gather: each node makes a list of neighbours, forward and backward, new and
-   old, a bounded sample of each, and its shard asks for their vectors once;
-3. answer: shards send the vectors that were asked for, 8 bits a component;
-4. join: neighbours of one node are scored against each other, and a pair that
-   beats the worst neighbour of either is sent there.
-
-Rounds end when one changes under SETTLED of all neighbours. The graph starts
-from the leaves of random-hyperplane trees and from random groups, so every node
-has neighbours, in however many clusters the vectors lie. A query starts at its
-own node's neighbours; each step expands the best nodes of its pool that are
-not expanded, until the best half of the pool is, and the pool grows with the
-root of the number of nodes. Scores of the result are exact.
-
-A task holds one shard at a time: its nodes, bounded lists of each, and the
-vectors it has asked for. A hub is asked for once by a shard, and what is kept
-of its backward neighbours is capped before the shuffle and after it.
+"""Nearest neighbours by inner product: an index of cells, searched as deeply as
+a measurement on the table itself asks for.
+
+Equal vectors are one node, so a vector that a third of the rows share is no hot
+group; a node keeps as many of its smallest ids as a query can be owed.
+
+1. fit: the centres of at most CELLS cells are k-means of a sample of nodes of at
+   most SAMPLE_BYTES, by hash order. Every node is then dealt to the cell of its
+   nearest centre, and the table is written cell by cell, large cells in parts.
+   Up to PLAIN nodes are one cell, which is an exact search.
+2. measure: TRIED queries are compared with every node. The cells of a query are
+   ordered by the highest score that one of their size and spread may hold, and
+   the fewest cells are taken that hold TARGET of the true neighbours.
+3. search: queries go to the tasks in blocks of QUERY_BYTES, every task passes its
+   cells by those queries that are to look into them. A pass over the first cells
+   alone gives each query a floor, which few others then exceed.
+
+Vectors without clusters need many cells, up to all of them: the search is then
+exact, never less than TARGET. Filters are products in single precision with
+their error bound; what passes has its score summed in doubles, in order.
+A task holds a block of queries, their best so far and a batch of rows, whatever
+the table's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noteloom.llm.common import distinct, dropped, freed, joined_by_key, mix64, table, written
 from noteloom.llm.topk_search import clean_vectors
 
-NEIGHBOURS = 48
-TREES = 6
-LEAF = 512
-RANDOM_GROUP = 128
-SHARD = 4096
-#: Neighbours of a list of each kind: new and old, forward; new and old, backward.
-SAMPLES = (18, 10, 14, 8)
-#: Of the improvements that a shard has for a node, the best so many are sent.
-SENT = 24
-SETTLED = 0.01
-EXPAND = 48
-POOL = 160
-POOL_NODES = 16_384
+PLAIN = 4096
+CELLS = 4096
+SAMPLE_BYTES = 16 << 20
+ROUNDS = 8
+#: Rows of a part of a cell: parts are dealt to tasks.
+PART = 32_768
+TRIED = 256
+TARGET = 0.96
+QUERY_BYTES = 16 << 20
+#: The share of a query's cells that give its floor.
+FIRST = 1 / 16
 SEED = 11
-_PAIRS = 1 << 16
-
-_MESSAGE = "dst long, kind int, src long, a binary, b binary, c binary, d binary"
-_VECTORS, _GRAPH, _BETTER, _NOTICE, _LIST, _ASK, _ANSWER, _CHANGED, _POOL, _EXPAND, _MET, _TO_SCORE, _SCORED = range(13)
+_ROWS = 2048
+_EXACT = 1 << 16
+_KEPT = 1 << 19
+_FOUND = "name long, vec_id long, score double, cell long, want int"
 
 
-def _message(dst: int, kind: int, src: int, *parts: np.ndarray) -> tuple:
-    return (dst, kind, src, *(p.tobytes() for p in parts), *(None,) * (4 - len(parts)))
+def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centres * centres).sum(axis=1)
+    parts = [np.argmax(x[at : at + _ROWS] @ centres.T - half, axis=1) for at in range(0, len(x), _ROWS)]
+    return np.concatenate([*parts, np.empty(0, np.int64)])
 
 
-def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-    types = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["dst", "kind", "src", "a", "b", "c", "d"])
+def fitted(x: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of at most so many cells: k-means."""
+    order = np.random.default_rng(SEED).permutation(len(x))
+    centres = x[order[:cells]].copy()
+    for _ in range(ROUNDS if len(centres) > 1 else 0):
+        to = _nearest_centre(x, centres)
+        order = np.argsort(to, kind="stable")
+        names, first = np.unique(to[order], return_index=True)
+        size = np.diff(np.append(first, len(order)))
+        centres[names] = np.add.reduceat(x[order], first, axis=0) / size[:, None]
+    return centres
 
 
-def _shards(batches) -> Iterator[tuple[int, dict[int, list[tuple]]]]:
-    """(shard, its messages by kind: (src, parts)) from rows sorted by dst."""
-    now, held = None, {}
-    for batch in batches:
-        for dst, kind, src, *parts in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-            if dst != now:
-                if held:
-                    yield now, held
-                now, held = dst, {}
-            held.setdefault(kind, []).append((src, parts))
-    if held:
-        yield now, held
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def _by_shard(step):
-    """mapInArrow function: step(shard, messages) gives the rows to send."""
-
-    def run(batches):
-        for dst, held in _shards(batches):
-            rows = step(dst, held)
-            for at in range(0, len(rows), 64):
-                yield _sent(rows[at : at + 64])
-            del rows, held
-        freed()
-
-    return run
-
-
-def shard_of(nodes: np.ndarray, width: int, shards: int) -> np.ndarray:
-    """Shards hold vectors of one length."""
-    return (mix64(nodes.view(np.uint64)) % np.uint64(shards)).astype(np.int64) | np.int64(width << 32)
-
-
-def _joined(messages: list[tuple], *types: str) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(parts[k], t) for _, parts in messages] or [np.empty(0, t)]) for k, t in enumerate(types)]
-
-
-def _cut(keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin, and the end."""
-    return np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys)) if len(keys) else np.zeros(1, np.int64)
-
-
-def _rank(keys: np.ndarray) -> np.ndarray:
-    """Place of each entry in its run of equal keys."""
-    edge = _cut(keys)
-    return np.arange(len(keys)) - np.repeat(edge[:-1], np.diff(edge))
-
-
-def _to_shards(kind: int, src: int, shards: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """One message to each shard with its entries of the columns."""
-    order = np.argsort(shards, kind="stable")
-    shards, columns = shards[order], [c[order] for c in columns]
-    edge = _cut(shards)
-    return [_message(int(shards[a]), kind, src, *(c[a:b] for c in columns)) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-
-
-class _Vectors:
-    """Nodes of a shard, sorted, with their vectors."""
-
-    def __init__(self, messages: list[tuple], width: int):
-        ids, scale = _joined([(s, (p[0], p[2])) for s, p in messages], "<i8", "<f4")
-        (flat,) = _joined([(s, (p[1],)) for s, p in messages], "i1")
-        order = np.argsort(ids)
-        self.ids, self.scale, self.flat, self.order = ids[order], scale[order], flat.reshape(-1, width), order
-
-    def rows(self, nodes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.ids, nodes)
-        return self.flat[self.order[at]].astype(np.float32) * self.scale[at][:, None]
-
-    def coded(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.ids, nodes)
-        return self.flat[self.order[at]], self.scale[at]
-
-
-def _coded(column: pa.Array, width: int, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """8 bits a component and the scale, a share of the largest component of all."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) / most
-    scale = np.abs(x).max(axis=1) / 127
-    safe = np.where(scale > 0, scale, 1)
-    return np.rint(x / safe[:, None]).astype(np.int8), scale.astype(np.float32)
-
-
-def _spread(shards: int, most: float):
-    """Vectors of the nodes, to their shards."""
+def _dealt(sent):
+    """Rows with their cell, the part of it and the squared distance to its centre."""
 
     def run(batches):
+        most, held = sent.value
         for batch in batches:
-            width = np.diff(batch.column("exact").offsets.to_numpy())
+            width = np.diff(batch.column("x").offsets.to_numpy())
             for w in distinct(width).tolist():
                 part = batch.take(pa.array(np.flatnonzero(width == w)))
-                nodes = part.column("node").to_numpy(zero_copy_only=False)
-                codes, scale = _coded(part.column("exact"), w, most)
-                yield _sent(_to_shards(_VECTORS, 0, shard_of(nodes, w, shards), nodes, codes, scale))
+                x = (_matrix(part.column("x"), w) / most).astype(np.float32)
+                centres, parts = held[w]
+                to = _nearest_centre(x, centres)
+                off = x - centres[to]
+                salt = mix64(part.column("node").to_numpy(zero_copy_only=False).view(np.uint64)) % parts[to].astype(np.uint64)
+                columns = [pa.array(to + (w << 32)), pa.array(salt.astype(np.int64)), pa.array((off * off).sum(axis=1).astype(np.float64))]
+                yield pa.RecordBatch.from_arrays([*columns, part.column("ids"), part.column("x")], ["cell", "part", "off", "ids", "x"])
         freed()
 
     return run
 
 
-def _planted(counts: dict[int, int], most: float):
-    """Each node once for each tree, by leaf and further hyperplanes, and once
-    for its random group. counts: nodes of each length."""
-
-    def run(batches):
-        planes: dict[int, np.ndarray] = {}
-        fine = 30
-        for batch in batches:
-            width = np.diff(batch.column("exact").offsets.to_numpy())
-            for w in distinct(width).tolist():
-                part = batch.take(pa.array(np.flatnonzero(width == w)))
-                nodes = part.column("node").to_numpy(zero_copy_only=False)
-                codes, scale = _coded(part.column("exact"), w, most)
-                depth, groups = max(0, int(np.ceil(np.log2(counts[w] / LEAF)))), -(-counts[w] // RANDOM_GROUP)
-                if w not in planes:
-                    planes[w] = np.random.default_rng([SEED, w]).standard_normal((w, (depth + fine) * TREES)).astype(np.float32)
-                side = (codes.astype(np.float32) @ planes[w] > 0).reshape(len(nodes), TREES, depth + fine).astype(np.int64)
-                leaf = (side[:, :, :depth] << np.arange(depth)).sum(axis=2) * (TREES + 1) + np.arange(TREES)
-                order = (side[:, :, depth:] << np.arange(fine)[::-1]).sum(axis=2)
-                group = (mix64(nodes.view(np.uint64) ^ np.uint64(SEED)) % np.uint64(groups)).astype(np.int64) * (TREES + 1) + TREES
-                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(max(1, w)), len(nodes), [None, pa.py_buffer(codes.tobytes() or b"\0" * len(nodes))]).cast(pa.binary())
-                for name, at in [*((leaf[:, t], order[:, t]) for t in range(TREES)), (group, np.zeros(len(nodes), np.int64))]:
-                    columns = [pa.array(name), pa.array(np.full(len(nodes), w)), pa.array(at.copy()), part.column("node"), rows, pa.array(scale)]
-                    yield pa.RecordBatch.from_arrays(columns, ["leaf", "w", "fine", "node", "v", "scale"])
-        freed()
-
-    return run
+class _Cells:
+    """Cells of the nodes of one length: centre, size and what a cell may hold
+    above its centre's score, for a query of length 1."""
+
+    def __init__(self, names: np.ndarray, centres: np.ndarray, size: np.ndarray, off: np.ndarray):
+        order = np.argsort(names)
+        self.names, self.centres, self.size = names[order], centres[names[order]], size[order]
+        self.reach = (np.sqrt(2 * np.log(self.size + 1.0)) * np.sqrt(off[order] / max(1, centres.shape[1]))).astype(np.float32)
+
+    def keys(self, q: np.ndarray, some: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """The order in which cells are looked into, for queries of length 1."""
+        return q @ self.centres[some].T + self.reach[some]
+
+    def limits(self, q: np.ndarray, least: np.ndarray, cells: int) -> np.ndarray:
+        """The least key of the cells that each query looks into: so many, and
+        more until they hold `least` nodes."""
+        out = np.empty(len(q), np.float32)
+        for at in range(0, len(q), 1024):
+            key = self.keys(q[at : at + 1024])
+            order = np.argsort(-key, axis=1, kind="stable")
+            enough = (np.cumsum(self.size[order], axis=1) < least[at : at + 1024, None]).sum(axis=1)
+            last = np.minimum(np.maximum(enough, cells - 1), len(self.names) - 1)
+            got = key[np.arange(len(key)), order[np.arange(len(key)), last]]
+            out[at : at + 1024] = np.where(last == len(self.names) - 1, -np.inf, got - 1e-5 * (1 + np.abs(got)))
+        return out
 
 
-def _best_of(nodes: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Node, neighbour, score of each node's k best among all."""
-    score = x @ x.T
-    np.fill_diagonal(score, -np.inf)
-    n = min(k, len(nodes) - 1)
-    at = np.argpartition(-score, n - 1, axis=1)[:, :n]
-    return np.repeat(nodes, n), nodes[at].ravel(), np.take_along_axis(score, at, axis=1).ravel()
+def unit(q: np.ndarray) -> np.ndarray:
+    x = q / np.maximum(np.abs(q).max(axis=1, initial=0), np.finfo(q.dtype).tiny)[:, None]
+    return (x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-30)[:, None]).astype(np.float32)
+
+
+class _Queries:
+    """Queries of one length in a task, and the best rows of each so far."""
+
+    def __init__(self, names: np.ndarray, q: np.ndarray, want: np.ndarray, limit: np.ndarray, floor: np.ndarray, cells: _Cells):
+        self.names, self.q, self.want, self.limit, self.cells = names, q, want, limit, cells
+        self.floor = floor.copy()
+        self.unit = unit(q)
+        self.scale = np.abs(q).max(axis=1, initial=0).astype(np.float64)
+        self.near = (q / self.scale[:, None]).astype(np.float32)
+        self.norm = np.sqrt((self.near * self.near).sum(axis=1, dtype=np.float64))
+        self.rows = [np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.int64)]
+        self.held, self.added, self.n = [], 0, 0
+
+    def batch(self, cell: np.ndarray, ids: pa.ListArray, x: np.ndarray) -> None:
+        """Rows sorted by cell."""
+        cut = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
+        at = np.searchsorted(self.cells.names, cell[cut[:-1]])
+        for lo in range(0, len(at), 64):
+            looks = self.cells.keys(self.unit, at[lo : lo + 64]) >= self.limit[:, None]
+            for j in range(looks.shape[1]):
+                who = np.flatnonzero(looks[:, j])
+                for a in range(int(cut[lo + j]), int(cut[lo + j + 1]) if len(who) else 0, _ROWS):
+                    b = min(a + _ROWS, int(cut[lo + j + 1]))
+                    self.look(who, int(cell[a]), ids.slice(a, b - a), x[a:b])
+
+    def look(self, who: np.ndarray, cell: int, ids: pa.ListArray, x: np.ndarray) -> None:
+        edge = ids.offsets.to_numpy()
+        flat, edge = ids.flatten().to_numpy(zero_copy_only=False), edge - edge[0]
+        scale = float(np.abs(x).max(initial=0))
+        if not scale:
+            return
+        near = (x / x.dtype.type(scale)).astype(np.float32)
+        norm = np.sqrt((near * near).sum(axis=1, dtype=np.float64)).max()
+        width = x.shape[1]
+        for lo in range(0, len(who), _ROWS):
+            some = who[lo : lo + _ROWS]
+            s = self.near[some] @ near.T
+            slack = (width + 8) * 2.0**-23 * self.norm[some] * norm + 1e-30
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                size = self.scale[some] * scale * width
+                plain = (size < 1e300) & (size > 1e-280)
+                floor = self.floor[some]
+                need = np.where(plain & np.isfinite(floor), floor / self.scale[some] / scale - slack, -np.inf)
+            most = int(self.want[some].max())
+            open_ = np.flatnonzero(plain & (floor == -np.inf))
+            if len(open_) and len(x) > most:
+                need[open_] = np.partition(s[open_], len(x) - most, axis=1)[:, len(x) - most] - 2 * slack[open_]
+            hit, row = np.nonzero(s >= need[:, None])
+            for i in range(0, len(hit), _EXACT):
+                self.add(some[hit[i : i + _EXACT]], cell, row[i : i + _EXACT], x, flat, edge)
+
+    def add(self, of: np.ndarray, cell: int, row: np.ndarray, x: np.ndarray, flat: np.ndarray, edge: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.cumsum(self.q[of].astype(np.float64) * x[row].astype(np.float64), axis=1)[:, -1]
+        keep = ~(score < self.floor[of])
+        of, row, score = of[keep], row[keep], score[keep]
+        n = (edge[1:] - edge[:-1])[row]
+        at = np.repeat(edge[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.held.append((np.repeat(of, n), flat[at], np.repeat(score, n), np.full(len(at), cell, np.int64)))
+        self.added += len(at)
+        if self.added > max(_KEPT, self.n):
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep the `want` best of each query: highest scores, then smallest ids."""
+        of, ids, score, cell = (np.concatenate(c) for c in zip(self.rows, *self.held, strict=True))
+        self.held, self.added = [], 0
+        order = np.lexsort((ids, -score, of))
+        of = of[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        last = rank == self.want[of] - 1
+        self.floor[of[last]] = np.maximum(self.floor[of[last]], score[order[last]])
+        keep = rank < self.want[of]
+        order = order[keep]
+        self.rows = [of[keep], ids[order], score[order], cell[order]]
+        self.n = len(order)
 
 
-def _in_leaves(shards: int):
-    """Of rows sorted by leaf and further hyperplanes: each node's best in its
-    leaf; of a leaf over 2 * LEAF rows, in runs of LEAF to 2 * LEAF."""
+def _passed(sent):
+    """The best rows of each query among the cells of a task."""
 
     def run(batches):
-        name, held = None, []
-
-        def flush():
-            nodes = np.array([h[0] for h in held], dtype=np.int64)
-            if len(nodes) > 1:
-                x = np.frombuffer(b"".join(h[1] for h in held), "i1").reshape(len(nodes), -1)[:, : name[1] or 1].astype(np.float32) * np.array([h[2] for h in held], np.float32)[:, None]
-                to, other, score = _best_of(nodes, x, NEIGHBOURS)
-                yield _sent(_to_shards(_BETTER, 0, shard_of(to, name[1], shards), to, other, score.astype("<f4")))
-
+        held = {w: _Queries(*found) for w, found in sent.value.items()}
         for batch in batches:
-            for leaf, w, node, v, scale in zip(*(batch.column(c).to_pylist() for c in ("leaf", "w", "node", "v", "scale")), strict=True):
-                if (leaf, w) != name:
-                    yield from flush()
-                    name, held = (leaf, w), []
-                elif len(held) >= 2 * LEAF:
-                    tail = held[LEAF:]
-                    held = held[:LEAF]
-                    yield from flush()
-                    held = tail
-                held.append((node, v, scale))
-        if name:
-            yield from flush()
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            width = cell >> 32
+            for w in distinct(width).tolist():
+                if w in held:
+                    a, b = int(np.searchsorted(width, w)), int(np.searchsorted(width, w, "right"))
+                    held[w].batch(cell[a:b], batch.column("ids").slice(a, b - a), _matrix(batch.column("x").slice(a, b - a), w))
+        for q in held.values():
+            q.settle()
+            of, ids, score, cell = q.rows
+            for at in range(0, len(of), _EXACT):
+                part = slice(at, at + _EXACT)
+                columns = (q.names[of[part]], ids[part], score[part], cell[part], q.want[of[part]].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "vec_id", "score", "cell", "want"])
+        del held
         freed()
 
     return run
 
 
-def _random(seed: int, *names: int) -> np.random.Generator:
-    return np.random.default_rng([seed % (1 << 32), *(n % (1 << 32) for n in names)])
-
-
-def _merge(shards: int, r: int):
-    """Graph rows (neighbours -1 where there are fewer) with the better ones
-    that arrived; how many changed; and notices to neighbours."""
-
-    def step(dst: int, held: dict) -> list[tuple]:
-        width, k = dst >> 32, NEIGHBOURS
-        to, other, score = _joined(held.get(_BETTER, []), "<i8", "<i8", "<f4")
-        fresh = np.ones(len(to), dtype=np.uint8)
-        if _GRAPH in held:
-            ids, near, s, new = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
-            real = s > -np.inf
-            owner = np.repeat(ids, k)[real]
-            to, other, score, fresh = np.concatenate([owner, to]), np.concatenate([near[real], other]), np.concatenate([s[real], score]), np.concatenate([new[real], fresh + 1])
-        else:
-            ids = distinct(to)
-        row = np.searchsorted(ids, to)
-        # entries of one pair: the one that is in the graph first, then the best
-        order = np.lexsort((-score, fresh, other, row))
-        row, other, score, fresh = row[order], other[order], score[order], fresh[order]
-        first = np.ones(len(row), dtype=bool)
-        first[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1])
-        row, other, score, fresh = row[first], other[first], score[first], fresh[first]
-        order = np.lexsort((-score, row))
-        row, other, score, fresh = row[order], other[order], score[order], fresh[order]
-        rank = _rank(row)
-        top = rank < k
-        row, other, score, fresh, rank = row[top], other[top], score[top], fresh[top], rank[top]
-        near, s, new = np.full((len(ids), k), -1, "<i8"), np.full((len(ids), k), -np.inf, "<f4"), np.zeros((len(ids), k), "u1")
-        near[row, rank], s[row, rank], new[row, rank] = other, score, fresh > 0
-        out = [_message(dst, _GRAPH, dst, ids, near, s, new), _message(dst, _CHANGED, dst, np.array([(fresh == 2).sum() if _GRAPH in held else len(row), len(row)], "<i8"))]
-        # backward samples: at most so many of each kind for a node from here
-        draw = _random(SEED, r, dst).random(len(row))
-        order = np.lexsort((draw, fresh == 0, other))
-        named, by, new_ = other[order], ids[row[order]], (fresh[order] > 0).astype("u1")
-        keep = _rank(named * 2 + (new_ == 0)) < np.where(new_ == 1, SAMPLES[2], SAMPLES[3])
-        return out + _to_shards(_NOTICE, dst, shard_of(named[keep], width, shards), named[keep], by[keep], new_[keep])
-
-    return _by_shard(step)
-
-
-def _gather(shards: int, r: int):
-    """Lists of neighbours, forward and backward; graph rows whose listed new
-    neighbours are old from now on; and questions for vectors."""
-
-    def step(dst: int, held: dict) -> list[tuple]:
-        width, k = dst >> 32, NEIGHBOURS
-        if _GRAPH not in held:
-            return []
-        ids, near, s, new = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
-        draw = _random(SEED, r, dst, 1)
-        row = np.repeat(np.arange(len(ids)), k)
-        place = np.flatnonzero(s > -np.inf)
-        order = place[np.lexsort((draw.random(len(place)), new[place] == 0, row[place]))]
-        keep = _rank(row[order] * 2 + (new[order] == 0)) < np.where(new[order] == 1, SAMPLES[0], SAMPLES[1])
-        order = order[keep]
-        to, by, is_new = _joined(held.get(_NOTICE, []), "<i8", "<i8", "u1")
-        at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
-        back = np.lexsort((draw.random(len(to)), is_new == 0, at))
-        back = back[_rank(at[back] * 2 + (is_new[back] == 0)) < np.where(is_new[back] == 1, SAMPLES[2], SAMPLES[3])]
-        of = np.concatenate([row[order], at[back]])
-        member = np.concatenate([near[order], by[back]])
-        fresh = np.concatenate([new[order], is_new[back]])
-        sort = np.lexsort((fresh == 0, member, of))
-        of, member, fresh = of[sort], member[sort], fresh[sort]
-        first = np.ones(len(of), dtype=bool)
-        first[1:] = (of[1:] != of[:-1]) | (member[1:] != member[:-1])
-        of, member, fresh = of[first], member[first], fresh[first]
-        size = np.bincount(of, minlength=len(ids)).astype("<i4")
-        new = new.copy()
-        new[order] = 0
-        wanted = distinct(member)
-        out = [_message(dst, _GRAPH, dst, ids, near, s, new), _message(dst, _LIST, dst, size, member, fresh)]
-        out += [_message(dst, _CHANGED, src, np.frombuffer(p[0], "<i8")) for src, p in held.get(_CHANGED, [])]
-        return out + _to_shards(_ASK, dst, shard_of(wanted, width, shards), wanted)
-
-    return _by_shard(step)
-
-
-def _answer(step_seed: int):
-    """The vectors that were asked for, with the score of the worst neighbour."""
-
-    def step(dst: int, held: dict) -> list[tuple]:
-        out = [_message(dst, _LIST, dst, *(np.frombuffer(x, t) for x, t in zip(p, ("<i4", "<i8", "u1"), strict=False))) for _, p in held.get(_LIST, [])]
-        if _ASK in held:
-            v = _Vectors(held[_VECTORS], dst >> 32)
-            ids, _, s, _ = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
-            worst = s.reshape(len(ids), NEIGHBOURS).min(axis=1)
-            for src, p in held[_ASK]:
-                nodes = np.frombuffer(p[0], "<i8")
-                codes, scale = v.coded(nodes)
-                out.append(_message(src, _ANSWER, dst, nodes, codes, scale, worst[np.searchsorted(ids, nodes)]))
-        return out
+class Index:
+    """Every node of a table (node, ids, x), written cell by cell."""
 
-    return _by_shard(step)
-
-
-def _join(shards: int):
-    """Members of one list against each other, where one of them is new."""
-
-    def step(dst: int, held: dict) -> list[tuple]:
-        if _LIST not in held or _ANSWER not in held:
-            return []
-        width = dst >> 32
-        v = _Vectors(held[_ANSWER], width)
-        _, _, _, worst = _joined(held[_ANSWER], "<i8", "i1", "<f4", "<f4")
-        worst = worst[v.order]
-        size, member, fresh = _joined(held[_LIST], "<i4", "<i8", "u1")
-        place = np.searchsorted(v.ids, member)
-        edge = np.concatenate([[0], np.cumsum(size)])
-        found = []
-        for n in distinct(size).tolist():
-            if n < 2:
-                continue
-            lists = np.flatnonzero(size == n)
-            for lo in range(0, len(lists), max(1, _PAIRS // n)):
-                at = edge[lists[lo : lo + max(1, _PAIRS // n)]][:, None] + np.arange(n)
-                who, new = place[at], fresh[at]
-                x = v.flat[v.order[who]].astype(np.float32) * v.scale[who][:, :, None]
-                score = np.matmul(x, x.transpose(0, 2, 1))
-                better = (score > worst[who][:, :, None]) & ((new[:, :, None] | new[:, None, :]) == 1)
-                better[:, np.arange(n), np.arange(n)] = False
-                i, a, b = np.nonzero(better)
-                found.append((who[i, a], who[i, b], score[i, a, b]))
-        if not found:
-            return []
-        to, other, score = (np.concatenate(c) for c in zip(*found, strict=True))
-        pair = to * len(v.ids) + other
-        order = np.argsort(pair)
-        order = order[_cut(pair[order])[:-1]]
-        to, other, score = to[order], other[order], score[order]
-        order = np.lexsort((-score, to))
-        order = order[_rank(to[order]) < SENT]
-        nodes = v.ids[to[order]]
-        return _to_shards(_BETTER, dst, shard_of(nodes, width, shards), nodes, v.ids[other[order]], score[order].astype("<f4"))
-
-    return _by_shard(step)
-
-
-class Graph:
-    """The neighbour graph of a table of nodes (node, exact)."""
-
-    def __init__(self, nodes: DataFrame, n: int):
+    def __init__(self, nodes: DataFrame):
         spark = nodes.sparkSession
-        self.n = n
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.shards = max(1, -(-n // SHARD), min(2 * tasks, n // 1024))
-        most = float(nodes.agg(F.max(F.array_max(F.transform("exact", F.abs)))).first()[0] or 1.0)
-        self.vectors = written(self.sent(nodes.select("node", "exact").mapInArrow(_spread(self.shards, most), _MESSAGE)), "op10-vectors")
-        counts = {r["w"]: r["n"] for r in nodes.groupBy(F.size("exact").alias("w")).agg(F.count("*").alias("n")).collect()}
-        leaves = nodes.select("node", "exact").mapInArrow(_planted(counts, most), "leaf long, w long, fine long, node long, v binary, scale float")
-        better = leaves.repartition(max(tasks, self.shards), "leaf", "w").sortWithinPartitions("leaf", "w", "fine", "node").mapInArrow(_in_leaves(self.shards), _MESSAGE)
-        now, self.rounds = None, 0
-        while True:
-            after = written(self.exchange(self.exchange(better, _merge(self.shards, self.rounds)), _gather(self.shards, self.rounds)), "op10-graph")
-            changed = sum((np.frombuffer(r["a"], "<i8") for r in after.where(f"kind = {_CHANGED}").select("a").collect()), np.zeros(2, np.int64))
-            if now is not None:
-                dropped(now)
-            now = after
-            if self.rounds and changed[0] <= SETTLED * changed[1] or not changed[1]:
-                break
-            self.rounds += 1
-            asked = now.where(f"kind in ({_GRAPH}, {_LIST}, {_ASK})").unionAll(self.vectors)
-            joined = self.exchange(self.exchange(asked, _answer(self.rounds)), _join(self.shards))
-            better = joined.unionAll(now.where(f"kind = {_GRAPH}"))
-        self.rows = now
-
-    def sent(self, messages: DataFrame) -> DataFrame:
-        return messages.repartition(self.shards, "dst").sortWithinPartitions("dst")
-
-    def exchange(self, messages: DataFrame, step) -> DataFrame:
-        return self.sent(messages).mapInArrow(step, _MESSAGE)
-
-
-def _links_back(shards: int):
-    """Notices of all neighbours, for the links that a search follows."""
-
-    def step(dst: int, held: dict) -> list[tuple]:
-        if _GRAPH not in held:
-            return []
-        ids, near, s, _ = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
-        real = s > -np.inf
-        to, by = near[real], np.repeat(ids, NEIGHBOURS)[real]
-        order = np.lexsort((mix64(by.view(np.uint64) ^ mix64(to.view(np.uint64))), to))
-        order = order[_rank(to[order]) < NEIGHBOURS]
-        return [_message(dst, _GRAPH, dst, ids, near, s), *_to_shards(_NOTICE, dst, shard_of(to[order], dst >> 32, shards), to[order], by[order])]
-
-    return _by_shard(step)
-
-
-def _links(dst: int, held: dict) -> list[tuple]:
-    """Node, number of links, links: forward, and NEIGHBOURS backward at most."""
-    if _GRAPH not in held:
-        return []
-    ids, near, s = _joined(held[_GRAPH], "<i8", "<i8", "<f4")
-    to, by = _joined(held.get(_NOTICE, []), "<i8", "<i8")
-    order = np.lexsort((mix64(by.view(np.uint64) ^ mix64(to.view(np.uint64))), to))
-    order = order[_rank(to[order]) < NEIGHBOURS]
-    real = s > -np.inf
-    of = np.concatenate([np.repeat(np.arange(len(ids)), NEIGHBOURS)[real], np.searchsorted(ids, to[order])])
-    link = np.concatenate([near[real], by[order]])
-    order = np.lexsort((link, of))
-    of, link = of[order], link[order]
-    first = np.ones(len(of), dtype=bool)
-    first[1:] = (of[1:] != of[:-1]) | (link[1:] != link[:-1])
-    return [_message(dst, _LIST, dst, ids, np.bincount(of[first], minlength=len(ids)).astype("<i4"), link[first])]
-
-
-def _start(dst: int, held: dict) -> list[tuple]:
-    """Pools (asker, neighbour, score, 0) of the nodes that ask: their neighbours."""
-    if _ASK not in held or _GRAPH not in held:  # nodes that no other is comparable with
-        return []
-    ids, near, s, _ = _joined(held[_GRAPH], "<i8", "<i8", "<f4", "u1")
-    asking = distinct(_joined(held[_ASK], "<i8")[0])
-    rows = np.searchsorted(ids, asking)
-    asking, rows = asking[rows < len(ids)], rows[rows < len(ids)]
-    asking, rows = asking[ids[rows] == asking], rows[ids[rows] == asking]
-    near, s = near.reshape(len(ids), -1)[rows], s.reshape(len(ids), -1)[rows]
-    real = s > -np.inf
-    owner = np.repeat(asking, NEIGHBOURS)[real.ravel()]
-    return [_message(dst, _POOL, dst, owner, near[real], s[real], np.zeros(len(owner), "u1"))]
-
-
-def _expanding(size: int, shards: int):
-    """Pools with the scored that arrived (state 0; expanded: 1; met, but not
-    among the best `size`: 2), and whom each expands next."""
-
-    def step(dst: int, held: dict) -> list[tuple]:
-        if _POOL not in held:
-            return []
-        of, near, s, state = _joined([*held[_POOL], *held.get(_SCORED, [])], "<i8", "<i8", "<f4", "u1")
-        order = np.lexsort((near, -s, state == 2, of))
-        of, near, s, state = of[order], near[order], s[order], state[order].copy()
-        rank = _rank(of)
-        state[(rank >= size) & (state == 0)] = 2
-        s[state == 2] = -np.inf
-        best = np.flatnonzero((state == 0) & (rank < size // 2))
-        best = best[_rank(of[best]) < max(EXPAND, size // 3)]
-        state[best] = 1
-        out = [_message(dst, _POOL, dst, of, near, s, state)]
-        return out + _to_shards(_EXPAND, dst, shard_of(near[best], dst >> 32, shards), of[best], near[best])
-
-    return _by_shard(step)
-
-
-def _meet(dst: int, held: dict) -> list[tuple]:
-    """The links of the nodes to expand, back to the shards of those who ask."""
-    out = [_message(dst, _POOL, dst, *_joined(held[_POOL], "<i8", "<i8", "<f4", "u1"))] if _POOL in held else []
-    if _EXPAND not in held:
-        return out
-    ids, size, link = _joined(held[_LIST], "<i8", "<i4", "<i8")
-    edge = np.concatenate([[0], np.cumsum(size)])
-    for src, p in held[_EXPAND]:
-        of, node = np.frombuffer(p[0], "<i8"), np.frombuffer(p[1], "<i8")
-        row = np.searchsorted(ids, node)
-        n = size[row]
-        at = np.repeat(edge[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out.append(_message(src, _MET, dst, np.repeat(of, n), link[at]))
+        self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sizes = nodes.groupBy(F.size("x").alias("w")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("x", F.abs))).cast("double").alias("most")).collect()
+        most = max((r["most"] or 0.0 for r in sizes), default=0.0) or 1.0
+        bytes_ = sum(4 * r["w"] * r["n"] for r in sizes if r["n"] > PLAIN)
+        share = min(1.0, SAMPLE_BYTES / bytes_) if bytes_ else 0.0
+        large = [r["w"] for r in sizes if r["n"] > PLAIN]
+        taken = F.size("x").isin(large) & (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        centres = {r["w"]: (np.zeros((1, r["w"]), np.float32), np.full(1, -(-r["n"] // PART))) for r in sizes}
+        if large:
+            sample = nodes.where(taken).select("x").toArrow().combine_chunks()["x"].combine_chunks()
+            sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample
+            width = np.diff(sample.offsets.to_numpy())
+            for r in sizes:
+                some = np.flatnonzero(width == r["w"])
+                if r["n"] > PLAIN and len(some):
+                    x = (_matrix(sample.take(pa.array(some)), r["w"]) / most).astype(np.float32)
+                    got = fitted(x, min(CELLS, int(2 * np.sqrt(r["n"]))))
+                    held = np.bincount(_nearest_centre(x, got), minlength=len(got))
+                    centres[r["w"]] = got, np.maximum(1, -(-held * r["n"] // (len(x) * PART)))
+        sent = spark.sparkContext.broadcast((most, centres))
+        dealt = nodes.mapInArrow(_dealt(sent), f"cell long, part long, off double, ids array<long>, x {nodes.schema['x'].dataType.simpleString()}")
+        self.rows = written(dealt.repartition(self.tasks, "cell", "part").sortWithinPartitions("cell"), "op10-index")
+        sent.destroy()
+        counts = self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.avg("off").alias("off")).toArrow()
+        cell, n, off = (counts[c].to_numpy() for c in ("cell", "n", "off"))
+        self.cells = {}
+        for w, (got, _) in centres.items():
+            mine = cell >> 32 == w
+            self.cells[w] = _Cells(cell[mine] & 0xFFFFFFFF, got, n[mine], off[mine])
+            self.cells[w].names = self.cells[w].names + (w << 32)
+        self.looked = {w: len(c.names) for w, c in self.cells.items()}
+        self.recall = dict.fromkeys(self.cells, 1.0)
+
+    def passed(self, queries: dict) -> tuple[DataFrame, object]:
+        """name, vec_id, score, cell, want, and r, the rank of a row, for queries by length:
+        (names, vectors, rows wanted, limits, floors)."""
+        sent = self.rows.sparkSession.sparkContext.broadcast({w: (*q, self.cells[w]) for w, q in queries.items()})
+        rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "vec_id"))
+        return self.rows.mapInArrow(_passed(sent), _FOUND).withColumn("r", rank).where("r <= want"), sent
+
+    def measure(self, queries: DataFrame) -> None:
+        """How many cells hold TARGET of the true neighbours of TRIED queries (name, e, want)."""
+        tried = {}
+        for w in (w for w, c in self.cells.items() if len(c.names) > 1):
+            some = _by_width(queries.where(F.size("e") == w).orderBy(F.xxhash64("name", F.lit(SEED))).limit(TRIED))
+            for names, q, want in some.get(w, []):
+                tried[w] = names, q, want, np.full(len(names), -np.inf, np.float32), np.full(len(names), -np.inf)
+        if not tried:
+            return
+        found, sent = self.passed(tried)
+        found = found.where("vec_id <> name").select("name", "cell").toArrow()
+        sent.destroy()
+        name, cell = (found[c].to_numpy() for c in ("name", "cell"))
+        for w, (names, q, *_) in tried.items():
+            mine, cells = cell >> 32 == w, self.cells[w]
+            order = np.argsort(names)
+            of, at = order[np.searchsorted(names[order], name[mine])], np.searchsorted(cells.names, cell[mine])
+            place = np.argsort(np.argsort(-cells.keys(unit(q)), axis=1, kind="stable"), axis=1)
+            need = np.sort(place[of, at])
+            if len(need):
+                self.looked[w] = int(need[min(len(need) - 1, int(TARGET * len(need)))]) + 1
+                self.recall[w] = float((need < self.looked[w]).mean())
+
+    def search(self, queries: DataFrame) -> DataFrame:
+        """name, vec_id, score of the best `want` rows for queries of a block (name, e, want)."""
+        asked = {}
+        for w, parts in _by_width(queries).items():
+            if w in self.cells and len(self.cells[w].names):
+                names, q, want = (np.concatenate(c) for c in zip(*parts, strict=True))
+                asked[w] = [names, q, want, self.cells[w].limits(unit(q), 4 * want, self.looked[w]), np.full(len(names), -np.inf)]
+        first = {w: [n, q, want, self.cells[w].limits(unit(q), 4 * want, int(FIRST * self.looked[w])), floor] for w, (n, q, want, _, floor) in asked.items() if self.looked[w] * FIRST >= 1}
+        if first:
+            found, sent = self.passed(first)
+            floors = found.where("r = want").select("name", "score").toArrow()
+            sent.destroy()
+            name, score = (floors[c].to_numpy() for c in ("name", "score"))
+            order = np.argsort(name)
+            name, score = name[order], score[order]
+            for w in first if len(name) else ():
+                at = np.minimum(np.searchsorted(name, asked[w][0]), len(name) - 1)
+                asked[w][4] = np.where(name[at] == asked[w][0], score[at], -np.inf)
+        found, sent = self.passed(asked)
+        found = written(found.select("name", "vec_id", "score"), "op10-found")
+        sent.destroy()
+        return found
+
+
+def _by_width(queries: DataFrame) -> dict[int, list[tuple[np.ndarray, ...]]]:
+    """(names, vectors, rows wanted) of queries (name, e, want), by length."""
+    out: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for batch in queries.select("name", "e", "want").toArrow().to_batches():
+        width = np.diff(batch.column("e").offsets.to_numpy())
+        for w in distinct(width).tolist():
+            part = batch.take(pa.array(np.flatnonzero(width == w)))
+            out.setdefault(w, []).append((part.column("name").to_numpy(), _matrix(part.column("e"), w), part.column("want").to_numpy()))
     return out
 
 
-def _asking(shards: int):
-    """Those met for the first time, to their shards, with the asker's vector."""
-
-    def step(dst: int, held: dict) -> list[tuple]:
-        if _POOL not in held:
-            return []
-        of, near, s, state = _joined(held[_POOL], "<i8", "<i8", "<f4", "u1")
-        out = [_message(dst, _POOL, dst, of, near, s, state)]
-        by, met = _joined(held.get(_MET, []), "<i8", "<i8")
-        known = np.concatenate([np.zeros(len(of), bool), np.ones(len(by), bool)])
-        of, near = np.concatenate([of, by]), np.concatenate([near, met])
-        order = np.lexsort((known, near, of))
-        of, near, known = of[order], near[order], known[order]
-        first = np.ones(len(of), dtype=bool)
-        first[1:] = (of[1:] != of[:-1]) | (near[1:] != near[:-1])
-        keep = first & known & (of != near)
-        of, near = of[keep], near[keep]
-        if not len(of):
-            return out
-        v = _Vectors(held[_VECTORS], dst >> 32)
-        where = shard_of(near, dst >> 32, shards)
-        order = np.lexsort((of, where))
-        of, near, where = of[order], near[order], where[order]
-        edge = _cut(where)
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            cut = _cut(of[a:b])
-            askers = of[a:b][cut[:-1]]
-            codes, scale = v.coded(askers)
-            out.append(_message(int(where[a]), _TO_SCORE, dst, askers, np.concatenate([np.diff(cut).astype("<i8"), near[a:b]]), codes, scale))
-        return out
-
-    return _by_shard(step)
-
-
-def _scoring(size: int):
-    """Scores of those met, the best `size` of each asker; of the others only
-    that they were met."""
-
-    def step(dst: int, held: dict) -> list[tuple]:
-        width = dst >> 32
-        out = [_message(dst, _POOL, dst, *_joined(held[_POOL], "<i8", "<i8", "<f4", "u1"))] if _POOL in held else []
-        if _TO_SCORE not in held:
-            return out
-        v = _Vectors(held[_VECTORS], width)
-        for src, (askers, rest, codes, scale) in held[_TO_SCORE]:
-            askers, rest = np.frombuffer(askers, "<i8"), np.frombuffer(rest, "<i8")
-            n, near = rest[: len(askers)], rest[len(askers) :]
-            q = np.frombuffer(codes, "i1").reshape(-1, width).astype(np.float32) * np.frombuffer(scale, "<f4")[:, None]
-            of = np.repeat(np.arange(len(askers)), n)
-            s = np.empty(len(of), "<f4")
-            for lo in range(0, len(of), _PAIRS):
-                hi = min(lo + _PAIRS, len(of))
-                s[lo:hi] = np.einsum("ij,ij->i", v.rows(near[lo:hi]), q[of[lo:hi]])
-            out.append(_message(src, _SCORED, dst, askers[of], near, s, np.zeros(len(of), "u1")))
-        return out
-
-    return _by_shard(step)
-
-
-def _best_nodes(most: int):
-    def run(batches):
-        for _, held in _shards(batches):
-            of, near, s, state = _joined(held[_POOL], "<i8", "<i8", "<f4", "u1")
-            real = state < 2
-            of, near, s = of[real], near[real], s[real]
-            order = np.lexsort((near, -s, of))
-            of, near = of[order], near[order]
-            top = _rank(of) < most
-            of, near = of[top], near[top]
-            edge = _cut(of)
-            yield pa.RecordBatch.from_arrays([pa.array(of[edge[:-1]]), pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(near))], ["home", "near"])
-
-    return run
-
-
-def search(graph: Graph, homes: DataFrame, k: int) -> DataFrame:
-    """home, near (nodes, best first): up to 3 * k nodes that a greedy search of
-    the graph finds for each node `home`, without itself."""
-    size = max(POOL, int(POOL * np.sqrt(graph.n / POOL_NODES)), 6 * k)
-    shards, vectors = graph.shards, graph.vectors
-
-    def ask(batches):
-        for batch in batches:
-            home, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "width"))
-            for w in distinct(width).tolist():
-                some = home[width == w]
-                yield _sent(_to_shards(_ASK, 0, shard_of(some, w, shards), some))
-
-    nodes = graph.rows.where(f"kind = {_GRAPH}")
-    asked = homes.mapInArrow(ask, _MESSAGE)
-    links = written(graph.exchange(graph.exchange(nodes, _links_back(shards)), _by_shard(_links)), "op10-links")
-    pool = written(graph.exchange(graph.exchange(nodes.unionAll(asked), _by_shard(_start)), _expanding(size, shards)), "op10-pool")
-    while pool.where(f"kind = {_EXPAND}").limit(1).count():
-        met = graph.exchange(pool.unionAll(links), _by_shard(_meet))
-        scored = graph.exchange(graph.exchange(met.unionAll(vectors), _asking(shards)).unionAll(vectors), _scoring(size))
-        after = written(graph.exchange(scored, _expanding(size, shards)), "op10-pool")
-        dropped(pool)
-        pool = after
-    best = pool.where(f"kind = {_POOL}").repartition(shards, "dst").sortWithinPartitions("dst").mapInArrow(_best_nodes(3 * k), "home long, near array<long>")
-    found = written(best, "op10-found")
-    dropped(links, pool)
-    return found
-
-
-def build_nodes(vectors: DataFrame, k: int) -> DataFrame:
-    """node, ids, exact: the different vectors, with their k + 1 smallest ids."""
-    plain = clean_vectors(vectors).where(F.exists("v", lambda x: x != 0))
+def build_nodes(plain: DataFrame, most: int, kind: str) -> DataFrame:
+    """node, ids, x: the different vectors, with their `most` smallest ids."""
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    few = plain.withColumn("r", first).where(F.col("r") <= k + 1)
+    few = plain.withColumn("r", first).where(F.col("r") <= most)
     grouped = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    return written(grouped.select(F.element_at("ids", 1).alias("node"), "ids", F.col("v").alias("exact")), "op10-nodes")
+    return written(grouped.select(F.element_at("ids", 1).alias("node"), "ids", F.col("v").cast(kind).alias("x")), "op10-nodes")
 
 
 def nearest(vectors: DataFrame, chosen: F.Column, k: int = 20) -> DataFrame:
@@ -618,30 +346,49 @@ def nearest(vectors: DataFrame, chosen: F.Column, k: int = 20) -> DataFrame:
     k nearest found among all others by inner product in doubles, ties to the
     smaller vec_id.
 
-    Rows that are null, zero, have a null id, or null or non-finite components
-    take no part. Rows that share a query's vec_id count as its own; of several
-    query rows of an id the least vector is taken. With fewer than k candidates
-    all are returned. Vectors of different lengths are never compared. Products
-    beyond the range of doubles are infinite. An empty table gives an empty
-    result. Other columns are not read.
+    Of the true neighbours TARGET or more are found, as measured on TRIED of the
+    queries; all of them among up to PLAIN different vectors. Rows that are null,
+    zero, have a null id, or null or non-finite components take no part. Rows
+    that share a query's vec_id count as its own; of several query rows of an id
+    the least vector is taken. With fewer than k candidates all are returned.
+    Vectors of different lengths are never compared. Products beyond the range
+    of doubles are infinite. An empty table gives an empty result. Other columns
+    are not read.
     """
-    nodes = build_nodes(vectors, k)
-    asked = written(clean_vectors(vectors.where(chosen)).where(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("q")), "op10-asked")
-    by_vector = asked.groupBy(F.col("q").alias("e")).agg(F.count("*").alias("n"))
-    homes = written(by_vector.join(nodes.select("node", "exact", "ids"), F.col("e") == F.col("exact")).select("e", "n", F.col("node").alias("home"), F.size("e").cast("long").alias("width")), "op10-homes")
-    graph = Graph(nodes, nodes.count())
-    found = search(graph, homes.select("home", "width"), k)
-    dropped(graph.rows, graph.vectors)
-    near = homes.join(found.withColumnRenamed("home", "h"), F.col("home") == F.col("h"), "left").select("e", "n", F.array_union(F.array("home"), F.coalesce("near", F.array().cast("array<long>"))).alias("near"))
-    pairs = joined_by_key(asked, "q", written(near, "op10-near"), "e", "n", asked.count())
-    exact = nodes.select(F.col("node").alias("m"), "ids", "exact")
-    score = F.aggregate(F.zip_with("q", "exact", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    rows = (
-        pairs.select("vec_id", "q", F.explode("near").alias("at"))
-        .join(exact, F.col("at") == F.col("m"))
-        .select(F.col("vec_id").alias("query_id"), F.explode("ids").alias("vec_id"), score.alias("score"))
-        .where("vec_id <> query_id")
-    )
+    kind = vectors.schema["embedding"].dataType
+    kind = "array<float>" if isinstance(kind.elementType, T.FloatType) else "array<double>"
+    some = F.exists("v", lambda x: x != 0)
+    plain = clean_vectors(vectors).where(some)
+    # rows of one id are all its own: so many more are needed for k others
+    counts = plain.groupBy("vec_id").agg(F.count("*").alias("own"))
+    repeats = counts.where("own > 1")
+    most = repeats.agg(F.max("own")).first()[0] or 1
+    asked = clean_vectors(vectors.where(chosen)).where(some).groupBy("vec_id").agg(F.min("v").alias("q"))
+    if most > 1:
+        asked = asked.join(repeats.withColumnRenamed("vec_id", "i"), F.col("vec_id") == F.col("i"), "left").select("vec_id", "q", F.coalesce("own", F.lit(1)).alias("own"))
+    else:
+        asked = asked.withColumn("own", F.lit(1).cast("long"))
+    asked = written(asked, "op10-asked")
+    total = asked.count()
+    by_vector = asked.groupBy(F.col("q").alias("e")).agg(F.min("vec_id").alias("name"), (F.max("own") + k).alias("want"), F.count("*").alias("n"))
+    queries = written(by_vector.select(F.col("e").cast(kind).alias("e"), "name", "want", "n"), "op10-queries")
+    named = queries.select(F.col("e").cast("array<double>").alias("e"), "name", "n")
+    homes = written(joined_by_key(asked, "q", named, "e", "n", total).select("vec_id", "name", "n"), "op10-homes")
+    nodes = build_nodes(plain, k + most, kind)
+    index = Index(nodes)
+    dropped(nodes, asked)
+    index.measure(queries)
+    bytes_ = queries.agg(F.sum((4 if kind == "array<float>" else 8) * F.size("e") + 32)).first()[0] or 0
+    blocks = max(1, -(-bytes_ // QUERY_BYTES))
+    found = None
+    for b in range(blocks):
+        part = index.search(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b))
+        found = part if found is None else found.unionAll(part)
+    dropped(index.rows)
+    best = found.groupBy(F.col("name").alias("a")).agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))
+    met = best.join(queries.select(F.col("name").alias("m"), "n"), F.col("a") == F.col("m")).select("a", "near", "n")
+    rows = joined_by_key(homes.select(F.col("vec_id").alias("query_id"), "name"), "name", written(met, "op10-near"), "a", "n", total)
+    rows = rows.select("query_id", F.inline("near")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -284,6 +285,25 @@ def test_nearest_neighbours_with_hubs(spark):
     assert recall_of(spark, df, x, list(range(len(x))), 25) >= 0.9
 
 
+def test_nearest_neighbours_by_cells_and_blocks(spark, monkeypatch):
+    """Over PLAIN vectors there are cells, and queries come in blocks: the
+    measured recall holds, and a task keeps no more than is owed."""
+    monkeypatch.setattr(ann_search, "QUERY_BYTES", 1 << 14)
+    x = np.random.default_rng(10).standard_normal((5000, 16)).astype(np.float32)
+    x[:20] *= 30
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert recall_of(spark, vectors(spark, rows), x, list(range(len(x))), 20) >= 0.9
+    cells = ann_search._Cells(np.arange(1), np.zeros((1, 16), np.float32), np.array([5000]), np.ones(1))
+    held = ann_search._Queries(np.arange(50), x[50:100], np.full(50, 21), np.full(50, -np.inf, np.float32), np.full(50, -np.inf), cells)
+    monkeypatch.setattr(ann_search, "_KEPT", 1000)
+    for at in range(0, 5000, 500):
+        held.batch(np.zeros(500, np.int64), pa.array([[i] for i in range(at, at + 500)]), x[at : at + 500])
+        assert held.n + held.added <= 2 * 50 * 21 + 1000
+    held.settle()
+    order = np.argsort(-(x[50:100].astype(float) @ x.T.astype(float)), axis=1, kind="stable")[:, :21]
+    assert held.rows[1].tolist() == order.ravel().tolist()
+
+
 def test_nearest_neighbours_of_few_and_of_other_lengths(spark):
     rows = [(0, [1.0, 2.0]), (20, [2.0, 1.0]), (1, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (41, [3.0, 1.0, 0.0]), (60, [1e200, 1.0, 1.0, 1.0]), (61, [1e200, 1.0, 1.0, 2.0]), (80, [5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
