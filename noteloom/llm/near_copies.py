@@ -16,7 +16,10 @@ At a similarity of 0.8 some 15 % of all SimHash bits differ, which no ball of a
    order of its own, is tried, as all pairs would grow with the square. Copies of one text lie around it, so the CENTRES
    members whose fingerprints are nearest to the majority of those with the same
    piece are found next, and each member of a group is tried with the centres in
-   it that are of another component.
+   it that are of another component;
+5. the members of such groups are then joined exactly, over all of them: similar
+   sets share one of the rarest fifth of their shingles. Pairs within a component
+   are left out, and those whose parity bits show that they cannot be similar.
 """
 
 from __future__ import annotations
@@ -45,6 +48,10 @@ MOST_CENTRES = 1
 #: 0.8 the share is 0.15, with a deviation of 0.02.
 FAR = 0.21
 FIELD_BITS = 27
+#: Shingles are ordered by how often their bucket was met; words of 64 parity bits of a set; members held against each other at a time.
+BUCKETS = 1 << 18
+PARITY = 16
+SIDE = 512
 #: Ids of rows to drop that are broadcast at most.
 MOST_SENT = 500_000
 
@@ -177,28 +184,34 @@ def _pairs_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _met(batches):
-    """a < b: pairs to verify of the groups at each variant; a = b names a
-    member of a group that was not paired whole. Two equal pieces meet at every
-    variant; they are paired at the one that neither has flipped."""
+    """a < b: pairs to verify of the groups at each variant, early where both
+    have the piece itself; a = b names a member of a group that was not paired
+    whole. Two equal pieces meet at every variant; they are paired at the one
+    that neither has flipped."""
     for key, flip, digest in _runs(batches, ("key", "flip", "digest"), 100_000, MOST_PAIRED + 1):
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(start, len(key)))
         large = count > MOST_PAIRED
-        a, b = [], []
+        a, b, early_a, early_b = [], [], [], []
         small, size = start[~large & (count > 1)], count[~large & (count > 1)]
         for step in range(1, int(size.max(initial=0))):
             wide = size > step
             s, c = small[wide], size[wide] - step
             left = np.repeat(s - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
             apart = (flip[left] != flip[left + step]) | (flip[left] == 0)
-            a.append(digest[left[apart]])
-            b.append(digest[left[apart] + step])
+            left = left[apart]
+            same = (flip[left] == 0) & (flip[left + step] == 0)
+            early_a.append(digest[left[same]])
+            early_b.append(digest[left[same] + step])
+            a.append(digest[left[~same]])
+            b.append(digest[left[~same] + step])
         for s, c in zip(start[large].tolist(), count[large].tolist(), strict=True):
             order = s + np.argsort(mix64(digest[s : s + c].view(np.uint64) ^ mix64(key[s : s + 1].view(np.uint64))))
             own, same = digest[order], digest[order[flip[order] == 0]]
-            a += [own, same[:-1]]
-            b += [own, same[1:]]
-        yield _pairs_of(a, b)
+            early_a += [own, same[:-1]]
+            early_b += [own, same[1:]]
+        for early, pairs in ((True, _pairs_of(early_a, early_b)), (False, _pairs_of(a, b))):
+            yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(np.full(len(pairs), early))], ["a", "b", "early"])
 
 
 def _bits_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -333,6 +346,90 @@ def _similar(size: int, least: float):
     return run
 
 
+def _bucket_counts(size: int):
+    """How many sets hold a shingle of each bucket."""
+
+    def run(batches):
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for _, _, texts in lowered(batch.column("t")):
+                h, _ = shingle_sets(texts, size, _SHINGLE)
+                counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
+        freed()
+
+    return run
+
+
+def _rarest(size: int, least: float, sent):
+    """Of each set its rarest shingles, so many that similar sets share one,
+    with the root, the size of the set and its parity bits."""
+
+    def run(batches):
+        counts = np.frombuffer(sent.value, "<i8")
+        for batch in batches:
+            for i, j, texts in lowered(batch.column("t")):
+                h, edge = shingle_sets(texts, size, _SHINGLE)
+                n = np.diff(edge)
+                owner = np.repeat(np.arange(j - i), n)
+                bits = np.zeros((j - i, 64 * PARITY), dtype=np.uint8)
+                np.bitwise_xor.at(bits, (owner, (mix64(h) >> np.uint64(32)).astype(np.int64) % (64 * PARITY)), 1)
+                order = np.lexsort((h, counts[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], owner))
+                rank = np.arange(len(h)) - edge[:-1][owner]
+                order = order[rank < (n - np.ceil(least * n - 1e-6).astype(np.int64) + 1)[owner]]
+                rows = pa.array(owner[order])
+                parity = pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())
+                columns = [pa.array(h[order].astype(np.int64)), *(batch.column(c).slice(i, j - i).take(rows) for c in ("root", "digest")), pa.array(n[owner[order]].astype(np.int32)), parity.take(rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "root", "digest", "n", "parity"])
+        freed()
+
+    return run
+
+
+def _across(least: float):
+    """a < b: pairs of other roots that share a rare shingle and can be similar.
+    Rows come sorted by shingle and root. The sets differ in at least as many
+    shingles as their parities in bits."""
+
+    def pairs(root, digest, n, parity):
+        for lo in range(0, len(root), SIDE):
+            x = slice(lo, lo + SIDE)
+            for at in range(lo, len(root), SIDE):
+                y = slice(at, at + SIDE)
+                if root[x][0] == root[y][-1]:  # sorted: all of one component
+                    continue
+                i, j = np.nonzero(root[x][:, None] < root[y][None, :])
+                i, j = i + lo, j + at
+                keep = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6
+                i, j = i[keep], j[keep]
+                apart = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+                both = n[i].astype(np.int64) + n[j]
+                keep = both - apart >= least * (both + apart) - 1e-6
+                if keep.any():
+                    yield _pairs_of([digest[i[keep]]], [digest[j[keep]]])
+
+    def run(batches):
+        held, name = [], None
+        for batch in batches:
+            key = batch.column("shingle").to_numpy(zero_copy_only=False)
+            root, digest, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("root", "digest", "n"))
+            parity = text_buffers(batch.column("parity"))[0].view(np.uint64).reshape(-1, PARITY)
+            cut = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)).tolist() if len(key) else [0]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if key[i] != name:
+                    if held:
+                        yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, name = [], key[i]
+                if held or j == len(key) or root[i] != root[j - 1]:
+                    held.append((root[i:j].copy(), digest[i:j].copy(), n[i:j].copy(), parity[i:j].copy()))
+        if held:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        freed()
+
+    return run
+
+
 class _Classes:
     """The classes of a table of texts, and the verification of their pairs."""
 
@@ -358,7 +455,14 @@ class _Classes:
         sides = [self.classes.select(F.col("digest").alias(k), F.col("sid").alias(f"sid_{k}"), *(F.col(s).alias(f"{k}{s}") for s in self.names)) for k in ("a", "b")]
         differ = sum((F.bit_count(F.col(f"a{s}").bitwiseXOR(F.col(f"b{s}"))) for s in self.names), F.lit(0))
         close = written(pairs.join(sides[0], "a").join(sides[1], "b").where(differ <= int(FAR * 64 * self.words)).select("a", "b", "sid_a", "sid_b"), "near-close")
-        needed = close.select(F.col("a").alias("digest"), F.col("sid_a").alias("sid")).unionAll(close.select("b", "sid_b")).distinct()
+        texts = self.texts(close.select(F.col("a").alias("digest"), F.col("sid_a").alias("sid")).unionAll(close.select("b", "sid_b")).distinct())
+        links = self.similar(close, texts)
+        dropped(close, texts)
+        return links
+
+    def texts(self, needed: DataFrame) -> DataFrame:
+        """digest, t: the texts of the classes (digest, sid), written."""
+        spark = needed.sparkSession
         marks = needed.mapInArrow(_slots, "at long, bit long").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits")).toArrow()
         bits = np.zeros(1 << (FIELD_BITS - 6), dtype="<i8")
         bits[marks["at"].to_numpy()] = marks["bits"].to_numpy()
@@ -366,21 +470,61 @@ class _Classes:
         named = needed.select(F.col("digest").alias("d"), "sid")
         found = self.docs.mapInArrow(_texts_of(self.size, field), "doc_id long, digest long, t string").join(named, F.expr("digest = d and doc_id = sid"))
         texts = written(found.groupBy("digest").agg(F.min(F.coalesce("t", F.lit(""))).alias("t")), "near-texts")
-        of = [texts.select(F.col("digest").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b")]
-        links = written(close.select("a", "b").join(of[0], "a").join(of[1], "b").select("a", "b", "ta", "tb").mapInArrow(_similar(self.size, self.least), "a long, b long"), "near-links")
         field.destroy()
-        dropped(close, texts)
+        return texts
+
+    def similar(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar, written."""
+        of = [texts.select(F.col("digest").alias(k), F.col("t").alias(f"t{k}")) for k in ("a", "b")]
+        return written(pairs.select("a", "b").join(of[0], "a").join(of[1], "b").select("a", "b", "ta", "tb").mapInArrow(_similar(self.size, self.least), "a long, b long"), "near-links")
+
+    def apart(self, pairs: DataFrame, roots: DataFrame, crowded: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are not of one component yet and not both of
+        the crowded classes (digest), all pairs of which rest() joins."""
+        of = roots.join(crowded, F.col("node") == F.col("digest"), "full").select(F.coalesce("node", "digest").alias("n"), F.coalesce("root", "digest").alias("r"), F.col("digest").isNotNull().alias("c"))
+        for end in ("a", "b"):
+            pairs = pairs.join(of.toDF(f"n{end}", f"r{end}", f"c{end}"), F.col(end) == F.col(f"n{end}"), "left")
+        both = F.coalesce("ca", F.lit(False)) & F.coalesce("cb", F.lit(False))
+        return pairs.where((F.coalesce("ra", "a") != F.coalesce("rb", "b")) & ~both).select("a", "b")
+
+    def rest(self, crowded: DataFrame, roots: DataFrame) -> DataFrame:
+        """All links between components of the crowded classes (digest): exact."""
+        some = self.classes.join(crowded, "digest", "left_semi").select("digest", "sid")
+        texts = self.texts(some)
+        rooted = texts.join(roots, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("root", "digest").alias("root"), "t")
+        met = texts.mapInArrow(_bucket_counts(self.size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(BUCKETS, dtype="<i8")
+        counts[met["bucket"].to_numpy()] = met["n"].to_numpy()
+        sent = crowded.sparkSession.sparkContext.broadcast(counts.tobytes())
+        rows = rooted.mapInArrow(_rarest(self.size, self.least, sent), "shingle long, root long, digest long, n int, parity binary")
+        pairs = rows.repartition(self.tasks, "shingle").sortWithinPartitions("shingle", "root").mapInArrow(_across(self.least), "a long, b long")
+        links = self.similar(pairs.distinct(), texts)
+        sent.destroy()
+        dropped(texts)
         return links
 
     def roots(self) -> DataFrame:
         """node, root of the components that all links make of the digests."""
-        met = self.variants(self.classes).repartition(self.tasks, "key").sortWithinPartitions("key", "digest").mapInArrow(_met, "a long, b long")
-        met = written(met.distinct(), "near-met")
-        roots = written(connected_components(self.verified(met.where("a <> b"))), "near-roots")
+        met = self.variants(self.classes).repartition(self.tasks, "key").sortWithinPartitions("key", "digest").mapInArrow(_met, "a long, b long, early boolean")
+        met = written(met.groupBy("a", "b").agg(F.max("early").alias("early")), "near-met")
+
+        def joined(links: DataFrame, roots: DataFrame) -> DataFrame:
+            return written(connected_components(links.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "near-roots")
+
+        roots = written(connected_components(self.verified(met.where("a <> b and early").select("a", "b"))), "near-roots")
         crowded = met.where("a = b").select(F.col("a").alias("digest"))
-        if not crowded.limit(1).count():
-            dropped(met)
-            return roots
+        some = bool(crowded.limit(1).count())
+        if some:  # most of a crowd is one component then, and its other pairs need no look
+            roots = joined(self.verified(self.central(crowded, roots).join(met, ["a", "b"], "left_anti")), roots)
+        late = met.where("a <> b and not early").select("a", "b")
+        roots = joined(self.verified(self.apart(late, roots, crowded)), roots)
+        if some:
+            roots = joined(self.rest(crowded, roots), roots)
+        dropped(met)
+        return roots
+
+    def central(self, crowded: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the crowded classes (digest) with the centres of their groups."""
         some = self.classes.join(crowded, "digest", "left_semi").select("digest", *self.names)
         rooted = written(some.join(roots, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("root", "digest").alias("root"), *self.names), "near-crowds")
         fields = "key long, order long, digest long, root long, " + ", ".join(f"{s} long" for s in self.names)
@@ -388,12 +532,10 @@ class _Classes:
         chosen = owned.mapInArrow(_central(self.names), "digest long").groupBy(F.col("digest").alias("centre")).agg(F.count("*").alias("times"))
         marked = rooted.join(written(chosen, "near-centres"), F.col("digest") == F.col("centre"), "left").withColumn("other", (-F.coalesce("times", F.lit(0))).cast("int"))
         rows = marked.mapInArrow(_variants(self.bits, self.pieces, self.names, ("root", "other")), "key long, flip tinyint, digest long, root long, other int")
-        more = rows.repartition(self.tasks, "key").sortWithinPartitions("key", "other", "digest").mapInArrow(_with_centres, "a long, b long").distinct()
-        more = self.verified(more.join(met, ["a", "b"], "left_anti"))
-        dropped(met, rooted)
-        if not more.limit(1).count():
-            return roots
-        return connected_components(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        more = rows.repartition(self.tasks, "key").sortWithinPartitions("key", "other", "digest").mapInArrow(_with_centres, "a long, b long")
+        found = written(more.distinct(), "near-central")
+        dropped(rooted)
+        return found
 
 
 def near_copies(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
@@ -404,9 +546,8 @@ def near_copies(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> Data
 
     Links are found with a probability, not surely: by calculation over 99 in
     100 at 0.8 where single words were changed and some 9 in 10 where a passage
-    was added, more above that (the README has what was measured); in groups of
-    over MOST_PAIRED that agree in a piece, one is lost if no chain and no centre
-    connects its ends. Null
+    was added, more above that (the README has what was measured). Texts that
+    meet in groups of over MOST_PAIRED are joined exactly with each other. Null
     and empty texts have an empty set and are copies of each other only. Rows
     without a doc_id take no part. Rows of one doc_id are judged each on its own
     text; repeated rows give repeated rows. A very long text is one set of

@@ -274,6 +274,20 @@ def test_many_copies_of_one_text(spark):
     assert sum(c == 0 for c in got.values()) == 301
 
 
+def test_links_within_a_crowd_without_a_centre(spark):
+    """Copies of a text that is not there are not similar to each other, but
+    some have a copy of their own among them: no such link is lost."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, edited(rng, base, 7)) for i in range(500)]
+    rows += [(1000 + i, edited(rng, rows[i][1], 4)) for i in range(150)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = dict(similar_components([(d, shingles(t)) for d, t in rows]))
+    assert sum(d != c for d, c in want.items()) >= 140
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_one_row_of_each_group_stays(spark, copies):
     rows = [(d, t, "x") for d, t in copies]
     df = spark.createDataFrame([*rows, (None, None, "y"), (None, "no id", None)], "doc_id long, text string, lang string").repartition(4)
