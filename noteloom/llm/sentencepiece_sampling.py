@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SHARPNESS = 2.0
 SEED = 7
 RUN = 3_000_000
 MOST_CHARS = 30
+#: Units that are filtered at a time: their arrays stay in a core's cache.
+TOGETHER = 8192
 _UNITS = re.compile(" *[^ ]+| +")
 
 
@@ -79,6 +82,14 @@ class _Lookup:
         return self.place[slot], hit & (self.place[slot] >= 0)
 
 
+class _Numbers(dict):
+    """Numbers strings as they come."""
+
+    def __missing__(self, string: str) -> int:
+        self[string] = n = len(self)
+        return n
+
+
 class Sampler:
     """Lattices of a vocabulary file and draws from them."""
 
@@ -184,56 +195,71 @@ class Sampler:
             found.append((start[hit], start[hit] + n, self.known.ids[k[hit]], self.known.weights[k[hit]]))
             start = start[self.open.find(h)[1]]
         start, end, ids, weight = (np.concatenate(c) for c in zip(*found, strict=True))
+        # node p of unit u is p + u + 1: one more than characters for each unit.
+        # Edges of one length are sorted already, which a stable sort makes use of
+        into = end + owner[start]
+        order = np.argsort(into, kind="stable")
+        start, end, ids, weight, into = start[order], end[order], ids[order], weight[order], into[order]
         unit = owner[start]
-        order = np.argsort(end - at[unit], kind="stable")
-        start, end, ids, weight, unit = start[order], end[order], ids[order], weight[order], unit[order]
-        # node p of unit u is p + u + 1: one more than characters for each unit
+        off, depth = at[unit], np.empty(len(start), np.int16)
+        np.subtract(end, off, out=depth, casting="unsafe")
+        by_depth = np.argsort(depth, kind="stable")
         forward = np.zeros(len(points) + len(units) + 1)
         forward[at[:-1] + np.arange(len(units))] = 1.0
-        into = end + unit
-        part = np.empty(len(start))
-        depth = end - at[unit]
-        edges = np.searchsorted(depth, np.arange(1, int(depth.max(initial=0)) + 2))
+        part, source = np.empty(len(start)), start + unit
+        edges = np.concatenate([[0], np.cumsum(np.bincount(depth, minlength=2)[1:])])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            part[a:b] = forward[start[a:b] + unit[a:b]] * weight[a:b]
-            np.add.at(forward, into[a:b], part[a:b])
-        order = np.argsort(into, kind="stable")
-        start, end, ids, unit, into = start[order], end[order], ids[order], unit[order], into[order]
-        odds = np.cumsum(part[order] / forward[into])
+            some = by_depth[a:b]
+            if len(some):
+                got = forward[source[some]] * weight[some]
+                part[some] = got
+                node = into[some]
+                heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+                forward[node[heads]] = np.add.reduceat(got, heads)
+        odds = np.cumsum(part / forward[into])
         last = np.append(into[1:] != into[:-1], True)
         heads = np.flatnonzero(np.concatenate([[True], last[:-1]]))
         before = np.where(heads > 0, odds[heads - 1], 0.0)
         odds -= np.repeat(before, np.diff(np.append(heads, len(odds))))
         odds[last] = 1.0
-        return unit, ids, start - at[unit], end - at[unit], np.minimum(odds, 1.0)
+        return unit, ids, start - off, end - off, np.minimum(odds, 1.0)
 
-    def _lattices(self, units: list[str]) -> tuple[list[str], np.ndarray, tuple[np.ndarray, ...]]:
-        """The units in another order, their nodes, and all edges by end node."""
+    def _lattices(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """The places of the units in another order, their nodes in that order,
+        and all edges by end node."""
         points, at = _points(units)
         single = np.isin(points - np.uint64(1), self.singles)
         good = np.add.reduceat(np.append(~single, False), at[:-1]) == 0 if units else np.empty(0, bool)
         good &= np.diff(at) <= MOST_CHARS
         quick = [u for u, g in zip(units, good.tolist(), strict=True) if g]
         slow = [u for u, g in zip(units, good.tolist(), strict=True) if not g]
-        parts = [self._together(quick)] if quick else []
+        parts = []
+        for lo in range(0, len(quick), TOGETHER):
+            unit, *rest = self._together(quick[lo : lo + TOGETHER])
+            parts.append((unit + lo, *rest))
         held = [self._lattice(u) for u in slow]
         if held:
             owner = np.repeat(np.arange(len(held)) + len(quick), [len(h[0]) // 2 for h in held])
             parts.append((owner, *(np.frombuffer(b"".join(h[k] for h in held), t) for k, t in enumerate(("u2", "i4", "i4", "f8")))))
         size = np.array([len(u) for u in quick] + [h[4] for h in held], dtype=np.int64)
         edges = tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 5
-        return quick + slow, size, edges
+        places = np.empty(len(units), dtype=np.int64)
+        places[np.argsort(~good, kind="stable")] = np.arange(len(units))
+        return places, size, edges
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int = SEED) -> list[np.ndarray]:
         """The sampled ids of each text."""
         split = [self.units(t) for t in texts]
-        met, size, (unit_of, ids, starts, ends, odds) = self._lattices(list(set().union(*split)) if split else [])
-        number = {u: k for k, u in enumerate(met)}
+        counts = np.array([len(s) for s in split], dtype=np.int64)
+        number = _Numbers()
+        unit = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        places, size, (unit_of, ids, starts, ends, odds) = self._lattices(list(number))
+        unit = places[unit]
         base = np.concatenate([[0], np.cumsum(size + 1)])
         into = base[unit_of] + ends
-        head = np.searchsorted(into, np.arange(base[-1]))
-        counts = np.array([len(s) for s in split], dtype=np.int64)
-        unit = np.fromiter((number[u] for s in split for u in s), np.int64, int(counts.sum()))
+        head = np.zeros(base[-1], dtype=np.int64)
+        first = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]])) if len(into) else np.empty(0, np.int64)
+        head[into[first]] = first
         text = np.repeat(np.arange(len(texts)), counts)
         first = np.concatenate([[0], np.cumsum(counts)])
         place = np.arange(len(unit)) - first[:-1][text]

@@ -239,6 +239,22 @@ def recall_of(spark, df, x, ids, every, k=20):
     return found / total
 
 
+def test_sampled_units_are_filtered_in_parts():
+    """Units are filtered few at a time, each new one once, whatever the part:
+    the draws are those of one text at a time."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(3000)) + " \u4e2d\u6587 \u2581" for _ in range(4)]
+    s, sizes = Sampler(PIECES), []
+    plain = s._together
+    s._together = lambda units: sizes.append(len(units)) or plain(units)
+    got = s.sample(texts, np.arange(4))
+    assert 8000 < sum(sizes) < 12_000 and max(sizes) <= 8192
+    for k, t in enumerate(texts):
+        assert s.sample([t], np.array([k]))[0].tolist() == got[k].tolist()
+        assert s.decode(got[k].tolist()) == t
+    assert [g.tolist() for g in s.sample(["", ""], np.arange(2))] == [[], []] and s.sample([], np.arange(0)) == []
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((30, 16))
