@@ -279,18 +279,15 @@ class KnowledgeBase:
         held = tables.read(self.spark, self.store, "embeddings")
         if self.embedder is not None:
             held = held.where(F.col("model_version") == self.model_version)
-        parts = []
-        if method != "embedding_only":
-            parts.append(codegraph.name_match(known.select(F.col("id").alias("symbol_id"), "short_name"), held.select("concept").distinct()))
+        named, concepts, nearest = known.select(F.col("id").alias("symbol_id"), "short_name"), held.select("concept").distinct(), None
         if method != "name_only" and self.embedder is not None:
             text = codegraph.embedding_text(F.col("short_name"), F.col("docstring"))
             asked = known.select(F.col("id").alias("query_id"), text.alias("text")).where("text is not null")
             near = vectors.vector_search(held, asked.select("query_id", embed(F.col("text"), self.embedder).alias("vec")), codegraph.NEAREST)
-            parts.append(codegraph.rank_concepts(near.select(F.col("query_id").alias("symbol_id"), "concept", "score")))
-        if not parts:
-            return self.spark.createDataFrame([], "symbol_id long, concept string, link_type string, score double")
-        every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return codegraph.merge_links(every)
+            nearest = codegraph.rank_concepts(near.select(F.col("query_id").alias("symbol_id"), "concept", "score"))
+        if method == "embedding_only":
+            return self.spark.createDataFrame([], "symbol_id long, concept string, link_type string, score double") if nearest is None else nearest
+        return codegraph.name_match(named, concepts) if nearest is None else codegraph.links(named, concepts, nearest)
 
     def code_table(self, name: str) -> DataFrame:
         """symbols, links, call_edges, import_edges or index_state."""
