@@ -2,35 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.functions.text import index_text, snippet, tokens
 
 MOST_TERMS = 100_000
+#: Rows that are counted, and rows that are given out, at once.
+ROWS_AT_ONCE, ROWS_GIVEN = 512, 1 << 16
+
+
+def _counted(wanted: list[str] | None):
+    """name, term, tf, most of rows (name, t: its tokens); only of the wanted
+    terms, if they are given. most is the largest tf of all."""
+    sought = None if wanted is None else pa.array(wanted, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), ROWS_AT_ONCE):
+                part = whole.slice(at, ROWS_AT_ONCE)
+                name, t = part.column(0), part.column(1)
+                word = t.flatten().dictionary_encode()
+                n = len(word.dictionary)
+                if not n:
+                    continue
+                place = pc.list_parent_indices(t).to_numpy().astype(np.int64) * n + word.indices.to_numpy()
+                pair, tf = np.unique(place, return_counts=True)
+                row, code = pair // n, pair % n
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                most = np.repeat(np.maximum.reduceat(tf, first), np.diff(first, append=len(row)))
+                if sought is not None:
+                    kept = pc.is_in(word.dictionary, value_set=sought).to_numpy(zero_copy_only=False)[code]
+                    row, code, tf, most = row[kept], code[kept], tf[kept], most[kept]
+                for i in range(0, len(row), ROWS_GIVEN):
+                    to = slice(i, i + ROWS_GIVEN)
+                    columns = [name.take(pa.array(row[to])).cast(pa.string()), word.dictionary.take(pa.array(code[to])).cast(pa.string()), pa.array(tf[to], pa.int64()), pa.array(most[to], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["name", "term", "tf", "most"])
+
+    return run
 
 
 def postings(pages: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """term, name, weight with weight = tf / max tf * ln(pages / (1 + pages
-    with the term)). Pages are dealt by name once, which serves both the term
-    counts and the largest count of a page.
+    with the term)).
+
+    The tokens of a page are counted within its row, some rows at a time; only
+    where names repeat (counted) are the texts of a name brought together first.
 
     For queries (query_id, text) only the postings of their terms. Up to
-    MOST_TERMS of these (counted) they and their page counts are broadcast, so
-    a term that every page has is no hot key of a join.
+    MOST_TERMS of these (counted) they go along with the count and their page
+    counts are broadcast, so a term that every page has is no hot key of a join.
     """
     text = index_text(F.col("name"), F.coalesce("content", F.lit("")), F.col("tags"))
-    words = pages.select("name", text.alias("text")).repartition("name").select("name", F.explode(tokens(F.col("text"))).alias("term"))
-    tf = words.groupBy("name", "term").agg(F.count("*").alias("tf")).withColumn("most", F.max("tf").over(Window.partitionBy("name")))
-    few = False
+    n, rows = pages.agg(F.countDistinct("name"), F.count("*")).first()
+    texts = pages.select("name", text.alias("text"))
+    if rows > n:
+        texts = texts.groupBy("name").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    few, wanted = False, None
     if queries is not None:
         asked = queries.select(F.explode(tokens(F.col("text"))).alias("q")).distinct()
-        few = asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-        tf = tf.join(F.broadcast(asked) if few else asked, F.col("term") == F.col("q"), "left_semi")
-    n = pages.agg(F.countDistinct("name").alias("n"))
+        first = [r["q"] for r in asked.limit(MOST_TERMS + 1).collect()]
+        few = len(first) <= MOST_TERMS
+        wanted = first if few else None
+    tf = texts.select("name", tokens(F.col("text")).alias("t")).mapInArrow(_counted(wanted), "name string, term string, tf long, most long")
+    if queries is not None and not few:
+        tf = tf.join(asked, F.col("term") == F.col("q"), "left_semi")
     df = tf.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df"))
-    rows = tf.join(F.broadcast(df) if few else df, F.col("term") == F.col("t"))
-    return rows.join(F.broadcast(n)).select("term", "name", (F.col("tf") / F.col("most") * F.ln(F.col("n") / (1 + F.col("df")))).alias("weight"))
+    found = tf.join(F.broadcast(df) if few else df, F.col("term") == F.col("t"))
+    return found.select("term", "name", (F.col("tf") / F.col("most") * F.ln(F.lit(n) / (1 + F.col("df")))).alias("weight"))
 
 
 def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from noteloom.operators import graph, index
@@ -73,3 +75,28 @@ def test_negative_largest_score_is_kept(spark):
     hits = spark.createDataFrame([(1, -2.0), (1, -4.0), (2, 0.0), (3, 4.0), (3, 2.0)], "query_id int, score double")
     got = sorted((r.query_id, r.score) for r in index.normalised(hits).collect())
     assert got == [(1, 1.0), (1, 2.0), (2, 0.0), (3, 0.5), (3, 1.0)]
+
+
+def test_tokens_are_counted_within_a_page(spark, monkeypatch):
+    """In parts of any size, with names that repeat and pages without tokens;
+    texts are not dealt and no window runs over the terms."""
+    rows = [(f"p{i}", " ".join(f"w{j % (i % 7 + 1)}" for j in range(i)), "c", ["tag"] if i % 2 else None) for i in range(40)] + [("-", None, "c", None), ("", "é É 設計", "c", [])]
+    pages = spark.createDataFrame(rows, "name string, content string, category string, tags array<string>")
+    schema = lambda d: sorted((r.term, r.name, round(r.weight, 9)) for r in d.collect())
+    want = schema(index.postings(pages))
+    assert ("w0", "p39", round(8 / 8 * math.log(42 / 40), 9)) in want and ("設計", "") in {w[:2] for w in want}
+    monkeypatch.setattr(index, "ROWS_AT_ONCE", 3)
+    monkeypatch.setattr(index, "ROWS_GIVEN", 2)
+    assert schema(index.postings(pages)) == want
+    asked = spark.createDataFrame([(1, "W0 tag none")], "query_id int, text string")
+    some = [w for w in want if w[0] in ("w0", "tag")]
+    assert schema(index.postings(pages, asked)) == some
+    monkeypatch.setattr(index, "MOST_TERMS", 1)
+    assert schema(index.postings(pages, asked)) == some
+    for found in (index.postings(pages), index.postings(pages, asked)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "RepartitionByExpression" not in plan
+    halves = spark.createDataFrame([("a", "x x y", "c", None), ("a", "x z", "c", None), ("b", "y", "c", None)], pages.schema)
+    whole = spark.createDataFrame([("a", "x x y a x z", "c", None), ("b", "y", "c", None)], pages.schema)
+    assert {w[:2] for w in schema(index.postings(halves))} == {w[:2] for w in schema(index.postings(whole))}
+    assert ("x", "a", round(3 / 3 * math.log(2 / 2), 9)) in schema(index.postings(halves))
