@@ -33,3 +33,10 @@ def test_scans_read_only_what_they_need(spark):
     assert "value" not in plan.split("ReadSchema")[1].split("\n")[0]
     plan = q.QUERIES["content_hash"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_hybrid_merge_searches_only_what_it_shows(spark, monkeypatch):
+    asked, search = [], q.vectors.vector_search
+    monkeypatch.setattr(q.vectors, "vector_search", lambda held, queries, *a, **b: asked.append(queries.count()) or search(held, queries, *a, **b))
+    q.QUERIES["hybrid_merge"](spark, SF)
+    assert asked == [3]
